@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from quantra.llm.dac import op5_token_output
+from quantra.llm.simhash import op3_simhash_near_dedup
 from quantra.llm.substring import op4_substring_dedup
 
 QUERIES = {
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_token_output": op5_token_output,
 }
 
 ORACLES: dict[str, str] = {}
