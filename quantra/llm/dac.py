@@ -101,7 +101,7 @@ class Encoder:
     Texts with a special token's string, or with white space outside ASCII, are encoded whole.
     """
 
-    KEPT = 400_000
+    KEPT = 600_000
     UNITS = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
     ODD = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf|[\x1c-\x1f]")
     HINTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe1\xa0", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80", b"\xef\xbb", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
@@ -111,8 +111,36 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of(cls, vocabulary: str) -> Encoder:
+        if vocabulary not in _ENCODERS:
+            _ENCODERS[vocabulary] = cls(vocabulary)
+        return _ENCODERS[vocabulary]
+
+    def _learn(self, units: set[bytes]) -> None:
+        if len(self.kept) > self.KEPT:
+            self.older, self.kept = self.kept, {}
+        known = units & self.older.keys() if self.older else set()
+        self.kept.update((x, self.older[x]) for x in known)
+        new = list(units - known)
+        # One call for all units that aren't white space: a line end between them is always a token of its own.
+        joined = [x for x in new if not x.isspace()]
+        if joined:
+            ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(joined).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line)
+            if len(cuts) + 1 == len(joined):
+                whole, ends = ids.tobytes(), [*cuts.tolist(), len(ids)]
+                self.kept.update((x, whole[4 * a : 4 * b]) for x, a, b in zip(joined, [0, *(c + 1 for c in ends)], ends))
+            else:
+                joined = []
+        rest = [x for x in new if x.isspace()] if joined else new
+        for unit, got in zip(rest, self.tokenizer.encode_batch([x.decode() for x in rest], add_special_tokens=False)):
+            self.kept[unit] = np.array(got.ids, "<u4").tobytes()
 
     def _plain(self, text: bytes) -> bool:
         return not any(x in text for x in self.special) and not (any(x in text for x in self.HINTS) and self.ODD.search(text))
@@ -121,21 +149,21 @@ class Encoder:
         """The ids of each text as little-endian 32-bit integers."""
         raw = [(x or "").encode() for x in texts]
         units = [self.UNITS.findall(x) if self._plain(x) else None for x in raw]
-        if len(self.kept) > self.KEPT:
-            self.kept = {}
-        missing = list(set().union(*(x for x in units if x)) - self.kept.keys())
-        for unit, got in zip(missing, self.tokenizer.encode_batch([x.decode() for x in missing], add_special_tokens=False)):
-            self.kept[unit] = np.array(got.ids, "<u4").tobytes()
+        everything = set().union(*(x for x in units if x))
+        if missing := everything - self.kept.keys():
+            self._learn(missing if len(self.kept) <= self.KEPT else everything)
         kept = self.kept.__getitem__
         return [np.array(self.tokenizer.encode(x.decode(), add_special_tokens=False).ids, "<u4").tobytes() if u is None else b"".join(map(kept, u)) for x, u in zip(raw, units)]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
 SEGMENTS = "part int, seq int, first long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 
 
 def _segments(vocabulary: str, end_id: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(vocabulary), TaskContext.get().partitionId()
+        encoder, part = Encoder.of(vocabulary), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         seq = first = held = 0
         ids, blobs = [], []
