@@ -5,17 +5,23 @@ from __future__ import annotations
 from quantra.llm.cascade import OP9_SQL, op9_url_filter
 from quantra.llm.dac import op5_token_output
 from quantra.llm.mixing import op8_mixing
+from quantra.llm.posindex import op7_decontamination
 from quantra.llm.simhash import op3_simhash_near_dedup
 from quantra.llm.substring import op4_substring_dedup
+from quantra.llm.suffix import op6_suffix_dedup
 from quantra.llm.toxicity import op10_toxicity
+from quantra.llm.vafile import OP1_SQL, op1_vector_top_k
 
 QUERIES = {
+    "op1_vector_top_k": op1_vector_top_k,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_output": op5_token_output,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op9_url_filter": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_vector_top_k": OP1_SQL, "op9_url_filter": OP9_SQL}

@@ -50,6 +50,7 @@ class Rolling:
         return out
 
     def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        self._grow(len(prefix))
         return mix((prefix[ends] - prefix[starts]) * self.down[starts])
 
     def windows(self, values: np.ndarray, width: int) -> np.ndarray:
