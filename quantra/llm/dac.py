@@ -17,6 +17,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import public_tokenizers
@@ -125,7 +127,7 @@ class Encoder:
     def _learn(self, units: set[bytes]) -> None:
         if len(self.kept) > self.KEPT:
             self.older, self.kept = self.kept, {}
-        known = units & self.older.keys() if self.older else set()
+        known = {x for x in units if x in self.older}
         self.kept.update((x, self.older[x]) for x in known)
         new = list(units - known)
         # One call for all units that aren't white space: a line end between them is always a token of its own.
@@ -149,11 +151,21 @@ class Encoder:
         """The ids of each text as little-endian 32-bit integers."""
         raw = [(x or "").encode() for x in texts]
         units = [self.UNITS.findall(x) if self._plain(x) else None for x in raw]
-        everything = set().union(*(x for x in units if x))
-        if missing := everything - self.kept.keys():
-            self._learn(missing if len(self.kept) <= self.KEPT else everything)
-        kept = self.kept.__getitem__
-        return [np.array(self.tokenizer.encode(x.decode(), add_special_tokens=False).ids, "<u4").tobytes() if u is None else b"".join(map(kept, u)) for x, u in zip(raw, units)]
+        found, missing = [], set()
+        for x in units:
+            got = None if x is None else list(map(self.kept.get, x))
+            if got and None in got:
+                missing.update(compress(x, map(is_, got, repeat(None))))
+            found.append(got)
+        if missing:
+            self._learn(missing)
+        kept, out = self.kept, []
+        for text, x, got in zip(raw, units, found):
+            if x is None:
+                out.append(np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                out.append(b"".join([kept[u] if g is None else g for u, g in zip(x, got)] if None in got else got))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
