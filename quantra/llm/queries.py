@@ -9,11 +9,13 @@ from quantra.llm.posindex import op7_decontamination
 from quantra.llm.simhash import op3_simhash_near_dedup
 from quantra.llm.substring import op4_substring_dedup
 from quantra.llm.suffix import op6_suffix_dedup
+from quantra.llm.surrogates import op2_pii_surrogates
 from quantra.llm.toxicity import op10_toxicity
 from quantra.llm.vafile import OP1_SQL, op1_vector_top_k
 
 QUERIES = {
     "op1_vector_top_k": op1_vector_top_k,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_token_output": op5_token_output,
