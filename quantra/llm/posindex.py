@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quantra.llm.common import chunks, row_key, scratch, small, stored, text_bytes
 from quantra.llm.texthash import ALNUM, LOWER, U, word_hashes, words
 
-SEGMENT_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20
+SEGMENT_BYTES, BLOCK_BYTES = 2 << 20, 16 << 20
 INDEX = "segment long, doc_ids array<long>, row_keys array<long>, firsts array<int>, terms binary, starts binary, places binary"
 
 

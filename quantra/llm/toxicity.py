@@ -71,7 +71,7 @@ class Ftrl:
         return np.where(np.abs(z) <= L1, 0.0, shrunk / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
     def learn(self, at: np.ndarray, label: float, weight: float = 1.0) -> None:
-        at = np.append(at, BIAS)
+        at = np.append(at.astype(np.int64), BIAS)
         w = self.weights(at)
         g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * weight
         n = self.n[at]
@@ -84,7 +84,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("places", "ascending")])
-        places = [np.frombuffer(x, "<u4").astype(np.int64) for x in table["places"].to_pylist()]
+        places = [np.frombuffer(x, "<u4") for x in table["places"].to_pylist()]
         labels = table["label"].to_numpy()
         toxic = max(1, int(labels.sum()))
         weight = float(np.sqrt(max(1.0, (len(labels) - toxic) / toxic)))
