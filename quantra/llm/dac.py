@@ -103,7 +103,7 @@ class Encoder:
     Texts with a special token's string, or with white space outside ASCII, are encoded whole.
     """
 
-    KEPT = 200_000
+    KEPT = 400_000
     UNITS = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
     ODD = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf|[\x1c-\x1f]")
     HINTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe1\xa0", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80", b"\xef\xbb", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
