@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,6 +81,11 @@ def column(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x computed once a row, however often it is used."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def text(x: Column | str) -> Column:
     """A null is an empty text."""
     return F.coalesce(column(x).cast("string"), F.lit(""))
@@ -103,8 +109,7 @@ def _lookup(table: dict[str, str], key: Column, default: Column) -> Column:
 
 def normalize_unit(x: Column | str) -> Column:
     """Normalized text without spaces, by the synonyms; an unknown unit passes."""
-    key = F.replace(normalize_text(x), F.lit(" "), F.lit(""))
-    return _lookup(UNIT_SYNONYMS, key, key)
+    return let(F.replace(normalize_text(x), F.lit(" "), F.lit("")), lambda key: _lookup(UNIT_SYNONYMS, key, key))
 
 
 def title_case(x: Column | str) -> Column:
@@ -115,8 +120,7 @@ def title_case(x: Column | str) -> Column:
 
 def normalize_region(x: Column | str) -> Column:
     """By the aliases, else the normalized text in title case; blank stays blank."""
-    key = normalize_text(x)
-    return _lookup(REGION_ALIASES, key, title_case(key))
+    return let(normalize_text(x), lambda key: _lookup(REGION_ALIASES, key, title_case(key)))
 
 
 def safe_number(x: Column | str, kind: str = "double") -> Column:
@@ -164,8 +168,7 @@ def titleize(x: Column | str) -> Column:
 
 def heading_like(x: Column | str) -> Column:
     """C11: all upper case, or ends with a colon, or at most six words."""
-    v = clean_text(x)
-    return (v != "") & (((F.upper(v) == v) & (F.lower(v) != v)) | v.endswith(":") | (F.size(F.split(v, " ")) <= 6))
+    return let(clean_text(x), lambda v: (v != "") & (((F.upper(v) == v) & (F.lower(v) != v)) | v.endswith(":") | (F.size(F.split(v, " ")) <= 6)))
 
 
 def bullet_text(x: Column | str) -> Column:
@@ -175,11 +178,14 @@ def bullet_text(x: Column | str) -> Column:
 
 def sheet_section(x: Column | str) -> Column:
     """The section that a sheet's name hints at, else blank."""
-    v = F.regexp_replace(normalize_text(x), r"\bbill no\b", "bill")
-    out = F.lit("")
-    for hint, section in reversed(SHEET_HINTS.items()):
-        out = F.when(F.contains(v, F.lit(hint)), F.lit(section)).otherwise(out)
-    return out
+
+    def first(v: Column) -> Column:
+        out = F.lit("")
+        for hint, section in reversed(SHEET_HINTS.items()):
+            out = F.when(F.contains(v, F.lit(hint)), F.lit(section)).otherwise(out)
+        return out
+
+    return let(F.regexp_replace(normalize_text(x), r"\bbill no\b", "bill"), first)
 
 
 def subtotal_flag(row_text: Column) -> Column:

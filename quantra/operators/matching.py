@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantra.functions.scores import partial_of, token_set, token_sort
-from quantra.functions.text import normalize_text, normalize_unit, sheet_section
+from quantra.functions.text import let, normalize_text, normalize_unit, sheet_section
 
 
 @dataclass(frozen=True)
@@ -47,11 +47,12 @@ def infer_sections(lines: DataFrame, rules: DataFrame) -> DataFrame:
     (table order on ties); else the sheet's hint. Distinct corpora are tested once; the rules are folded into one ordered array."""
     trigger = rules.select(normalize_text("trigger_text").alias("trigger"), "inferred_section", "priority", "ordinal").where("trigger <> ''")
     ordered = trigger.agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "ordinal", "trigger", "inferred_section"))).alias("rules"))
-    hint = sheet_section("sheet_name")
-    corpus = normalize_text(F.array_join(F.filter(F.concat(F.array("sheet_name", hint), F.col("headings"), F.array("description")), lambda x: x.isNotNull() & (x != "")), " "))
-    keyed = lines.withColumn("__hint", hint).withColumn("__corpus", corpus)
-    hit = F.try_element_at(F.filter("rules", lambda r: F.contains(F.col("__corpus"), r["trigger"])), F.lit(1))["inferred_section"]
-    return keyed.join(F.broadcast(ordered)).withColumn("inferred_section", F.coalesce(hit, F.col("__hint"))).drop("rules", "__hint", "__corpus")  # one row of rules
+    def pick(hint: Column) -> Column:
+        parts = F.filter(F.concat(F.array("sheet_name", hint), F.col("headings"), F.array("description")), lambda x: x.isNotNull() & (x != ""))
+        first = let(normalize_text(F.array_join(parts, " ")), lambda corpus: F.try_element_at(F.filter("rules", lambda r: F.contains(corpus, r["trigger"])), F.lit(1))["inferred_section"])
+        return F.coalesce(first, hint)
+
+    return lines.join(F.broadcast(ordered)).withColumn("inferred_section", let(sheet_section("sheet_name"), pick)).drop("rules")  # one row of rules
 
 
 def apply_aliases(lines: DataFrame, aliases: DataFrame, column: str = "description") -> DataFrame:
@@ -107,14 +108,14 @@ def best_matches(lines: DataFrame, library: DataFrame, weights: Weights = Weight
             note(both_sections & ~section_same, "section mismatch"),
             note(both_units & ~unit_same, F.concat(F.lit("unit mismatch: boq="), F.col("line_unit"), F.lit(" library="), F.col("item_unit_key"))),
             note(F.col("line_unit") == "", "missing boq unit"),
-            note(F.abs(F.col("sort_score") - F.col("partial_score")) > 20, "unstable text score"),
+            note(F.col("unstable"), "unstable text score"),
         ),
         lambda x: x != "",
     )
     order = Window.partitionBy(*KEYS).orderBy(F.desc("raw_score"), "ordinal")
-    slim = product.select(*KEYS, "ordinal", "item_text", "text_score", "sort_score", "partial_score", score.alias("raw_score"))
-    top = slim.withColumn("place", F.row_number().over(order)).where("place <= 4").drop("item_text", "text_score", "sort_score", "partial_score")
-    scored = top.join(items, "ordinal").join(text_scores(keys, items), ["query", "item_text"])
+    slim = product.select(*KEYS, "ordinal", (F.abs(F.col("sort_score") - F.col("partial_score")) > 20).alias("unstable"), score.alias("raw_score"))
+    top = slim.withColumn("place", F.row_number().over(order)).where("place <= 4")
+    scored = top.join(items, "ordinal")
     option = F.format_string("%s | %s | %s | %.2f | %.1f", "item_code", "item_description", "item_unit", F.col("item_rate").cast("double"), "raw_score")
     first = lambda c: F.max(F.when(F.col("place") == 1, c if isinstance(c, Column) else F.col(c)))
     best = scored.groupBy(*KEYS).agg(
