@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantra.plans import queries_pricing
+from quantra.plans import queries_library, queries_pricing, queries_tender
 
-QUERIES = {**queries_pricing.QUERIES}
-ORACLES = {**queries_pricing.ORACLES}
+QUERIES = {**queries_pricing.QUERIES, **queries_library.QUERIES, **queries_tender.QUERIES}
+ORACLES = {**queries_pricing.ORACLES, **queries_library.ORACLES, **queries_tender.ORACLES}

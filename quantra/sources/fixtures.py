@@ -60,6 +60,12 @@ VIEWS = {
     "decisions": """
         SELECT event_id, ts, user_id AS candidate_row_number, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'pending' WHEN 'click' THEN 'merge' ELSE 'hold' END AS reviewer_status,
           CAST(value AS DECIMAL(18,2)) AS approved_rate FROM {events}""",
+    "phrases": """
+        SELECT * FROM (VALUES ('securities', 1, 'loser', 1, 'Commercial Manager'), ('securities', 1, 'license', 2, 'Commercial Manager'), ('meetings', 2, 'stupid', 1, 'Estimator'), ('periods', 3, 'the thing', 1, 'Planner'),
+          ('pricing_instructions', 4, 'worthless', 1, 'QS'), ('technical_compliance', 5, 'ation the', 1, 'Technical Lead'), ('submission_documents', 6, 'einheit', 1, 'Estimator')) AS t(category, cat_ord, phrase, phrase_ord, owner)""",
+    "scopes": """
+        SELECT * FROM (VALUES ('Earthworks', 1, 'erthe', 1), ('Earthworks', 1, 'tion the', 2), ('Dayworks', 2, 'queque', 1), ('Plumbing', 3, 'einheit', 1), ('Concrete', 4, 'trash', 1), ('Concrete', 4, 'clown', 2)) AS t(section, sec_ord, keyword, key_ord)""",
+    "patterns": "SELECT * FROM (VALUES ('unclear_scope', 1, 'idiot'), ('missing_measurements', 2, 'would the'), ('conflicting_instructions', 3, 'pathetic'), ('unusual_requirements', 4, 'license')) AS t(category, cat_ord, pattern)",
     "cells": """
         SELECT o_custkey AS boq_id, CASE o_custkey % 4 WHEN 0 THEN 'Summary' ELSE concat('Bill ', CAST(o_custkey % 4 AS VARCHAR(2))) END AS sheet_name, CAST(k + 2 + o_custkey % 3 AS INT) AS row, c.col,
           CASE c.col WHEN 1 THEN concat('supply of item ', CAST(o_orderkey AS VARCHAR(12))) WHEN 2 THEN CASE o_orderkey % 3 WHEN 0 THEN 'm2' WHEN 1 THEN 'nr' ELSE '' END
