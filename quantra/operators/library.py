@@ -6,11 +6,12 @@ part makes no key.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantra.functions.text import active, normalize_region, normalize_text, normalize_unit, safe_number, text
@@ -136,13 +137,17 @@ def greedy_keep(rows: DataFrame, rounds: int = 4) -> DataFrame:
     return state.where("kept IS NOT NULL").select("ordinal", "kept").unionByName(done)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder all executors share; a temporary one only where none is set."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where none is set."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
 
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+def _cut(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
