@@ -50,6 +50,18 @@ def row_key(text: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
+def wrapped(docs: DataFrame, *more: Column) -> DataFrame:
+    """row (all columns of docs, whatever their names), doc_id, row_key and more; `row.*` gives docs back."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", row_key().alias("row_key"), *more)
+
+
+def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """docs without the rows that `lost` (doc_id, row_key) names; lost is broadcast if it is small, so the texts are shuffled only if it isn't."""
+    lost = small(stored(lost.select(F.col("doc_id").alias("lost_id"), F.col("row_key").alias("lost_key")).distinct(), "lost"), 100_000)
+    rows = wrapped(docs)
+    return rows.join(lost, rows.doc_id.eqNullSafe(lost.lost_id) & (rows.row_key == lost.lost_key), "left_anti").select("row.*")
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and where each row's begin; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

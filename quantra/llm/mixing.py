@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantra.llm.common import row_key, small, stored
+from quantra.llm.common import small, stored, wrapped
 
 CELLS = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -30,11 +30,12 @@ def _uniform(seed: int) -> Column:
 
 
 def _ranked(docs: DataFrame, seed: int, odds: Column | None) -> DataFrame:
-    """Adds __key, __rank in (0, 1) (its odds are the uniform's odds over the document's own) and __cell."""
+    """row, doc_id, source, text and __key, __rank in (0, 1) (its odds are the uniform's odds over the document's own) and __cell."""
     u = _uniform(seed)
-    w = F.greatest(F.coalesce(odds.cast("double"), F.lit(1.0)), F.lit(1e-9)) if odds is not None else F.lit(1.0)
-    rank = u / (u + (1 - u) * w)
-    return docs.withColumn("__key", row_key()).withColumn("__rank", rank).withColumn("__cell", F.least((F.col("__rank") * CELLS).cast("int"), F.lit(CELLS - 1)))
+    weight = F.greatest(F.coalesce(odds.cast("double"), F.lit(1.0)), F.lit(1e-9)) if odds is not None else F.lit(1.0)
+    rank = u / (u + (1 - u) * F.col("__odds"))
+    base = wrapped(docs, F.col("source"), F.col("text"), weight.alias("__odds")).withColumnRenamed("row_key", "__key")
+    return base.withColumn("__rank", rank).withColumn("__cell", F.least((F.col("__rank") * CELLS).cast("int"), F.lit(CELLS - 1)))
 
 
 def _place() -> Column:
@@ -105,7 +106,7 @@ def mixed(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[
     """docs as the mix has them: each row as often as its copies, so not at all where it has none. Columns as given."""
     _, goal = _planned(docs, share, cap, weights, seed, odds)
     rows = _ranked(docs, seed, odds).join(goal, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__n", _copies())
-    return rows.where("__n > 0").withColumn("__i", F.explode(F.expr("array_repeat(1, cast(__n as int))"))).select(*docs.columns)
+    return rows.where("__n > 0").withColumn("__i", F.explode(F.expr("array_repeat(1, cast(__n as int))"))).select("row.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

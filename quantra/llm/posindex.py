@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantra.llm.common import chunks, row_key, scratch, small, stored, text_bytes
+from quantra.llm.common import chunks, row_key, scratch, stored, text_bytes, without
 from quantra.llm.texthash import ALNUM, LOWER, U, word_hashes, words
 
 SEGMENT_BYTES, BLOCK_BYTES = 2 << 20, 16 << 20
@@ -223,10 +223,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
     """docs without the contaminated rows; columns as given."""
-    bad = contamination(docs, benchmark, width, share).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__bad")).distinct()
-    bad = small(stored(bad, "contaminated"), 100_000)
-    keyed = docs.withColumn("__key", row_key())
-    return keyed.join(bad, keyed.doc_id.eqNullSafe(bad["__id"]) & (keyed["__key"] == bad["__bad"]), "left_anti").drop("__key")
+    return without(docs, contamination(docs, benchmark, width, share).where("contaminated"))
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

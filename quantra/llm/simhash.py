@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantra.llm import trie
-from quantra.llm.common import chunks, row_key, small, stored, text_bytes
+from quantra.llm.common import chunks, row_key, stored, text_bytes, without
 from quantra.llm.components import components
 from quantra.llm.texthash import LOWER, SEQUENCE, SPACED, U, mix, word_hashes, words
 
@@ -30,7 +30,7 @@ _BITS = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(np.float32)
 def majority(hashes: np.ndarray) -> bytes:
     """hashes: n rows of 64-bit words. Each bit of the result is 1 if it is set in over half of the rows; no rows: zero."""
     n = len(hashes)
-    octets = np.ascontiguousarray(hashes.astype(">u8")).view(np.uint8).reshape(n, -1)
+    octets = np.ascontiguousarray(hashes.astype(">u8")).view(np.uint8).reshape(n, 8 * hashes.shape[1])
     wide = octets.shape[1]
     seen = np.bincount((octets + np.arange(wide, dtype=np.int64) * 256).ravel(), minlength=256 * wide).reshape(wide, 256)
     return np.packbits((2 * (seen @ _BITS)).ravel() > n).tobytes()
@@ -75,6 +75,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     groups = linked.join(least, "root").select("fp", "least_id")
     classes = nodes.join(groups, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    classes = stored(classes, "classes")  # then both sides of the last join are shuffled for it alone, and Spark can split a common fingerprint
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -120,7 +121,6 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     are no one's copies and all stay. A row without doc_id comes after those with one. Links are by a 256-bit fingerprint within most_bits(similarity); each of its eight segments is
     joined with at most three differing bits, which finds 93 % of pairs at similarity 0.8 and 99.9 % at 0.9.
     """
-    keyed = docs.withColumn("__key", row_key())
     texts = docs.select("doc_id", "text", row_key().alias("row_key"))
     prints = stored(texts.mapInArrow(_long_prints(shingle), "doc_id long, row_key long, fp binary"), "long-fingerprints")
     zero = F.col("fp") == F.lit(bytes(32))
@@ -135,9 +135,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     kept = nodes.join(lost, "fp", "left_anti").select("doc_id", "row_key")
     stay = prints.where(zero).select("doc_id", "row_key").unionByName(kept)
     gone = prints.select("doc_id", "row_key").distinct().join(stay, prints.doc_id.eqNullSafe(stay.doc_id) & (prints.row_key == stay.row_key), "left_anti")
-    gone = small(stored(gone.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__gone")), "near-copies"), 100_000)
-    left = keyed.join(gone, keyed.doc_id.eqNullSafe(gone["__id"]) & (keyed["__key"] == gone["__gone"]), "left_anti")
-    return left.drop("__key")
+    return without(docs, gone)
 
 
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
