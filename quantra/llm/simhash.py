@@ -79,7 +79,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-SEGMENTS, SEGMENT_BITS, SEGMENT_BUDGET, SEGMENT_LEAF = 8, 32, 3, 1 << 18
+#: SEGMENT_LEAF bounds a leaf over all segments together, so each task has an eighth of it on either side.
+SEGMENTS, SEGMENT_BITS, SEGMENT_BUDGET, SEGMENT_LEAF = 8, 32, 3, 1 << 20
 SEEDS = (0x452821E638D01377, 0xBE5466CF34E90C6C, 0xC0AC29B7C97C50DD, 0x3F84D5B5B5470917)
 
 
