@@ -17,8 +17,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import compress, repeat
-from operator import is_
+from contextlib import suppress
 
 import numpy as np
 import public_tokenizers
@@ -129,7 +128,14 @@ class Encoder:
             self.older, self.kept = self.kept, {}
         known = {x for x in units if x in self.older}
         self.kept.update((x, self.older[x]) for x in known)
-        new = list(units - known)
+        new, composed = set(), []
+        for x in units - known:
+            # A full stop or comma after an ASCII letter is a token apart, so such a unit is its two parts.
+            if x[-1] in b".," and len(x) > 1 and x[-2:-1].isalpha():
+                composed.append(x)
+                new.update(y for y in (x[:-1], x[-1:]) if y not in self.kept)
+            else:
+                new.add(x)
         # One call for all units that aren't white space: a line end between them is always a token of its own.
         joined = [x for x in new if not x.isspace()]
         if joined:
@@ -140,9 +146,10 @@ class Encoder:
                 self.kept.update((x, whole[4 * a : 4 * b]) for x, a, b in zip(joined, [0, *(c + 1 for c in ends)], ends))
             else:
                 joined = []
-        rest = [x for x in new if x.isspace()] if joined else new
+        rest = [x for x in new if x.isspace()] if joined else list(new)
         for unit, got in zip(rest, self.tokenizer.encode_batch([x.decode() for x in rest], add_special_tokens=False)):
             self.kept[unit] = np.array(got.ids, "<u4").tobytes()
+        self.kept.update((x, self.kept[x[:-1]] + self.kept[x[-1:]]) for x in composed)
 
     def _plain(self, text: bytes) -> bool:
         return not any(x in text for x in self.special) and not (any(x in text for x in self.HINTS) and self.ODD.search(text))
@@ -153,18 +160,24 @@ class Encoder:
         units = [self.UNITS.findall(x) if self._plain(x) else None for x in raw]
         found, missing = [], set()
         for x in units:
-            got = None if x is None else list(map(self.kept.get, x))
-            if got and None in got:
-                missing.update(compress(x, map(is_, got, repeat(None))))
-            found.append(got)
+            got = [] if x is None else list(map(self.kept.get, x))
+            new, at = [], -1
+            with suppress(ValueError):
+                while True:
+                    at = got.index(None, at + 1)
+                    new.append(at)
+            missing.update(x[i] for i in new)
+            found.append((got, new))
         if missing:
             self._learn(missing)
         kept, out = self.kept, []
-        for text, x, got in zip(raw, units, found):
+        for text, x, (got, new) in zip(raw, units, found):
             if x is None:
                 out.append(np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join([kept[u] if g is None else g for u, g in zip(x, got)] if None in got else got))
+                continue
+            for i in new:
+                got[i] = kept[x[i]]
+            out.append(b"".join(got))
         return out
 
 
