@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints of word shingles, joined with themselves by a binary trie.
 
 `near_duplicates` is the general operator: fingerprint rows, link fingerprints that differ in few bits, and give each document
-the least doc_id it reaches. `drop_near_copies` is the filter for corpora: a 256-bit fingerprint of five-word shingles, tries
-over its eight 32-bit segments for candidates, and the whole fingerprint's distance for the decision.
+the least doc_id it reaches. `drop_near_copies` is the filter for corpora: a 512-bit fingerprint of five-word shingles, tries
+over its segments for candidates, and the exact Jaccard similarity of the shingle sets for the decision.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantra.llm import trie
-from quantra.llm.common import chunks, row_key, stored, text_bytes, without
+from quantra.llm.common import chunks, lists, row_key, small, stored, text_bytes, without
 from quantra.llm.components import components
 from quantra.llm.texthash import LOWER, SEQUENCE, SPACED, U, mix, word_hashes, words
 
@@ -79,62 +79,129 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: SEGMENT_LEAF bounds a leaf over all segments together, so each task has an eighth of it on either side.
-SEGMENTS, SEGMENT_BITS, SEGMENT_BUDGET, SEGMENT_LEAF = 8, 32, 3, 1 << 20
-SEEDS = (0x452821E638D01377, 0xBE5466CF34E90C6C, 0xC0AC29B7C97C50DD, 0x3F84D5B5B5470917)
+#: SEGMENT_LEAF bounds a leaf over all segments together, so each task has a sixteenth of it on either side.
+SEGMENTS, SEGMENT_BITS, SEGMENT_BUDGET, SEGMENT_LEAF = 16, 32, 3, 1 << 23
+SEEDS = (0x452821E638D01377, 0xBE5466CF34E90C6C, 0xC0AC29B7C97C50DD, 0x3F84D5B5B5470917, 0x9216D5D98979FB1B, 0xD1310BA698DFB5AC, 0x2FFD72DBD01ADFB7, 0xB8E1AFED6A267E96)
+#: Words of the fingerprint that go with each segment for the distance of candidates, and the seeds of the keys by which groups are linked first.
+COMPARED, STARS = 4, SEEDS[:4]
 
 
-def most_bits(similarity: float, size: int = 64 * len(SEEDS)) -> int:
-    """The distance of fingerprints whose shingle sets have this Jaccard similarity: the mean (arccos of 2s/(1+s), over pi) and one standard deviation."""
+def most_bits(similarity: float, size: int = 64 * COMPARED) -> int:
+    """A distance that hardly any two fingerprints exceed whose shingle sets have this Jaccard similarity: the mean (arccos of 2s/(1+s), over pi) and four standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(size * p + math.sqrt(size * p * (1 - p)))
+    return round(size * p + 4 * math.sqrt(size * p * (1 - p)))
+
+
+def _shingles(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """The shingle hashes of each text, a shorter text being one shingle."""
+    data, offsets = text_bytes(column)
+    for _, _, part, off in chunks(data, offsets):
+        starts, ends, first = words(part, off, SPACED)
+        prefix = SEQUENCE.prefix(word_hashes(LOWER[part], starts, ends))
+        for lo, hi in zip(first[:-1], first[1:]):
+            at = np.arange(lo, max(lo + 1, hi - shingle + 1)) if hi > lo else np.zeros(0, np.int64)
+            yield SEQUENCE.spans(prefix, at, np.minimum(at + shingle, hi))
 
 
 def _long_prints(shingle: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch["text"])
-            out = []
-            for _, _, part, off in chunks(data, offsets):
-                starts, ends, first = words(part, off, SPACED)
-                hashes = word_hashes(LOWER[part], starts, ends)
-                prefix = SEQUENCE.prefix(hashes)
-                for lo, hi in zip(first[:-1], first[1:]):
-                    at = np.arange(lo, max(lo + 1, hi - shingle + 1)) if hi > lo else np.zeros(0, np.int64)
-                    h = SEQUENCE.spans(prefix, at, np.minimum(at + shingle, hi))
-                    out.append(majority(np.stack([mix(h ^ U(s)) for s in SEEDS], axis=1)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_key"], pa.array(out, pa.binary())], ["doc_id", "row_key", "fp"])
+            out, ids, sizes, stars = [], [], [], []
+            for h in _shingles(batch["text"], shingle):
+                own = np.unique(h)
+                mixed = np.stack([mix(h ^ U(s)) for s in SEEDS], axis=1)
+                out.append(majority(mixed))
+                ids.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                sizes.append(len(own))
+                stars.append(mixed[:, : len(STARS)].min(axis=0) if len(h) else np.zeros(len(STARS), U))
+            stars = lists(np.concatenate(stars).view(np.int64) if stars else np.zeros(0, np.int64), np.full(len(out), len(STARS)), pa.int64())
+            made = [pa.array(np.array(ids, U).view(np.int64)), pa.array(out, pa.binary()), pa.array(sizes, pa.int64()), stars]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_key"], *made], ["doc_id", "row_key", "id", "fp", "size", "stars"])
+
+    return rows
+
+
+def _shingle_sets(shingle: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(h) for h in _shingles(batch["text"], shingle)]
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch["id"], lists(flat, np.array([len(x) for x in sets], np.int64), pa.int64())], ["id", "shingles"])
 
     return rows
 
 
-def _close(limit: int):
+def _close(similarity: float):
+    """Which pairs of payloads (fingerprint words, size, group) may reach the similarity and are not of one group yet."""
+    limit = most_bits(similarity)
+
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(x ^ y).sum(axis=1) <= limit
+        ok = x[:, -1] != y[:, -1]
+        m, n = x[ok, -2].byteswap(), y[ok, -2].byteswap()
+        ok[ok] = (np.minimum(m, n) / np.maximum(m, n) >= similarity) & (np.bitwise_count(x[ok, :-2] ^ y[ok, :-2]).sum(axis=1) <= limit)
+        return ok
 
     return near
 
 
+def _close_rows(similarity: float):
+    near = _close(similarity)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[k].to_pylist()), U).reshape(-1, COMPARED + 2) for k in ("x", "y"))
+            yield batch.select(["u", "v"]).filter(pa.array(near(x, y)))
+
+    return rows
+
+
+def _payload(group: str):
+    word = lambda k: F.unhex(F.lpad(F.hex(k), 16, "0"))
+    return F.concat(F.substring("fp", 1, 8 * COMPARED), word("size"), word(group))
+
+
+def _alike(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) of node ids whose shingle sets have the Jaccard similarity; only their texts are cut into shingles again."""
+    pairs = stored(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-pairs")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    wanted = small(stored(nodes.join(ids, "id").select("id", F.col("doc_id").alias("at_id"), F.col("row_key").alias("at_key")), "near-rows"), 100_000)
+    found = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.at_id) & (texts.row_key == wanted.at_key)).select("id", "text")
+    sets = stored(found.mapInArrow(_shingle_sets(shingle), "id long, shingles array<long>"), "shingle-sets").dropDuplicates(["id"])
+    side = lambda k, name: sets.select(F.col("id").alias(k), F.col("shingles").alias(name))
+    common = F.size(F.array_intersect("x", "y"))
+    both = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
+    return stored(both.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("u", "v"), "near-links")
+
+
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: of each group of documents linked at about `similarity` or more, the row with the least doc_id stays.
+    """docs without near copies: of each group of documents linked at a Jaccard similarity of `similarity` or more, the row with the least doc_id stays.
 
-    Exact copies go first (the least doc_id stays; rows that share id and text are one document and stay or go together). Texts without words
-    are no one's copies and all stay. A row without doc_id comes after those with one. Links are by a 256-bit fingerprint within most_bits(similarity); each of its eight segments is
-    joined with at most three differing bits, which finds 93 % of pairs at similarity 0.8 and 99.9 % at 0.9.
+    Texts with one set of shingles go first (the least doc_id stays; rows that share id and text are one document and stay or go together). Texts
+    without words are no one's copies and all stay. A row without doc_id comes after those with one. Candidates are pairs within most_bits(similarity)
+    of whose fingerprints one of 16 segments differs in at most three bits; a pair links only if its shingle sets have the similarity. To spare large
+    groups most of their pairs, each text is first held against the least one with an equal least hash, and what links so is one group.
     """
     texts = docs.select("doc_id", "text", row_key().alias("row_key"))
-    prints = stored(texts.mapInArrow(_long_prints(shingle), "doc_id long, row_key long, fp binary"), "long-fingerprints")
-    zero = F.col("fp") == F.lit(bytes(32))
+    prints = stored(texts.mapInArrow(_long_prints(shingle), "doc_id long, row_key long, id long, fp binary, size long, stars array<long>"), "long-fingerprints")
+    empty = F.col("size") == 0
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    nodes = stored(prints.where(~zero).groupBy("fp").agg(F.min(order).alias("first")).select("fp", "first.doc_id", "first.row_key", F.xxhash64("fp").alias("id")), "fingerprint-nodes")
+    nodes = prints.where(~empty).groupBy("id", "size", "stars").agg(F.min(F.struct(order.alias("order"), "fp")).alias("first"))
+    nodes = stored(nodes.select("id", "size", "stars", "first.fp", "first.order.doc_id", "first.order.row_key"), "fingerprint-nodes")
+    rays = nodes.select(F.posexplode("stars").alias("star", "low"), "id", _payload("id").alias("payload"))
+    hubs = rays.groupBy("star", "low").agg(F.min(F.struct("id", "payload")).alias("hub"))
+    starred = rays.join(hubs, ["star", "low"]).where("id <> hub.id").select(F.col("id").alias("u"), F.col("hub.id").alias("v"), F.col("payload").alias("x"), F.col("hub.payload").alias("y"))
+    starred = _alike(texts, nodes, starred.mapInArrow(_close_rows(similarity), "u long, v long"), shingle, similarity)
+    grouped = nodes.join(components(starred).withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("root", "id"))
     segment = lambda k: F.shiftleft(F.conv(F.hex(F.substring("fp", 4 * k + 1, 4)), 16, 10).cast("long"), 32)
-    items = nodes.select(F.posexplode(F.array(*(segment(k) for k in range(SEGMENTS)))).alias("seg", "key"), "id", F.col("fp").alias("payload"))
-    roots = components(trie.links(items, SEGMENT_BITS, SEGMENT_BUDGET, SEGMENT_LEAF, _close(most_bits(similarity)), len(SEEDS)))
+    items = stored(grouped.select("fp", "id", _payload("group").alias("payload")), "fingerprint-items")
+    items = items.select(F.posexplode(F.array(*(segment(k) for k in range(SEGMENTS)))).alias("seg", "key"), "id", "payload")
+    pairs = trie.links(items, SEGMENT_BITS, SEGMENT_BUDGET, SEGMENT_LEAF, _close(similarity), COMPARED + 2, every=True)
+    roots = components(starred.unionByName(_alike(texts, nodes, pairs, shingle, similarity)))
     linked = roots.join(nodes, roots.node == nodes.id)
     first = linked.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.doc_id").alias("keep_id"), F.col("first.row_key").alias("keep_key"))
-    lost = linked.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_key") == F.col("keep_key")))).select("fp")
-    kept = nodes.join(lost, "fp", "left_anti").select("doc_id", "row_key")
-    stay = prints.where(zero).select("doc_id", "row_key").unionByName(kept)
+    lost = linked.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_key") == F.col("keep_key")))).select("id")
+    kept = nodes.join(lost, "id", "left_anti").select("doc_id", "row_key")
+    stay = prints.where(empty).select("doc_id", "row_key").unionByName(kept)
     gone = prints.select("doc_id", "row_key").distinct().join(stay, prints.doc_id.eqNullSafe(stay.doc_id) & (prints.row_key == stay.row_key), "left_anti")
     return without(docs, gone)
 

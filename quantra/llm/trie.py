@@ -155,11 +155,11 @@ def leaf_pairs(leaves: list[tuple[int, int]], budget: int) -> list[tuple[int, in
     return sorted(set(found))
 
 
-def links(items: DataFrame, width: int, budget: int, leaf: int, close: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, payload: int = 0) -> DataFrame:
+def links(items: DataFrame, width: int, budget: int, leaf: int, close: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, payload: int = 0, every: bool = False) -> DataFrame:
     """Links (u, v) that join every two items whose keys of one seg differ in at most `budget` bits, as a forest in each task.
 
     items: (seg int, key long, id long, payload binary); the key is in the high `width` bits. close(x, y), if given, gets the
-    payloads (rows of `payload` 64-bit words) of such pairs and says which to link.
+    payloads (rows of `payload` 64-bit words) of such pairs and says which to link. every: not a forest, but each such pair (once for each seg).
     """
     leaves = top(items.select("seg", "key"), width, leaf)
     pairs = leaf_pairs(leaves, budget)
@@ -201,7 +201,16 @@ def links(items: DataFrame, width: int, budget: int, leaf: int, close: Callable[
         n = len(a[3])
         forest = Forest(n if within else n + len(b[3]))
 
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
         def check(i: np.ndarray, j: np.ndarray) -> None:
+            if every:
+                i, j = (i[i != j], j[i != j]) if within else (i, j)
+                if close is not None:
+                    ok = close(a[4][i], b[4][j])
+                    i, j = i[ok], j[ok]
+                pairs.append((a[3][i], b[3][j]))
+                return
             at = j if within else j + n
             apart = forest.label[i] != forest.label[at]  # what is one set already needs no look
             i, j, at = i[apart], j[apart], at[apart]
@@ -229,6 +238,8 @@ def links(items: DataFrame, width: int, budget: int, leaf: int, close: Callable[
             expand(same, same)
         for i, j in walk(a[0], None if within else b[0], width, budget):
             expand(i, j)
+        if every:
+            return pa.table([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (zip(*pairs) if pairs else ((), ()))], ["u", "v"])
         ids = a[3] if within else np.concatenate([a[3], b[3]])
         below, root = forest.links()
         return pa.table([pa.array(ids[below]), pa.array(ids[root])], ["u", "v"])

@@ -179,6 +179,33 @@ def test_drop_near_copies(docs, nothing, spark):
     assert {0, 1, 2, 3, 4, 14} <= set(ids) and simhash.drop_near_copies(nothing).count() == 0
 
 
+def jaccard(a: str, b: str) -> float:
+    x, y = ({tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_are_those_of_the_similarity(spark):
+    r = random.Random(8)
+    rows, alike, apart = [], set(), set()
+    for k in range(120):
+        base = [r.choice(WORDS) for _ in range(240)]
+        other = base[: 240 - r.choice((22, 26, 30, 34, 40))] if k % 2 else base + [r.choice(WORDS) for _ in range(r.choice((30, 50, 62, 70, 80)))]
+        if k % 4 > 1:
+            other = [f"edit{x}" if n % 40 == 20 else x for n, x in enumerate(other)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        (alike if jaccard(rows[-2][1], rows[-1][1]) >= 0.8 else apart).add(2 * k + 1)
+    assert len(alike) > 25 and len(apart) > 25
+    left = {x.doc_id for x in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {i for i, _ in rows} - alike
+
+
+def test_large_group_of_near_copies(spark):
+    r = random.Random(9)
+    base = [r.choice(WORDS) for _ in range(200)]
+    rows = [(k, " ".join(f"edit{k}" if n == k % 200 else x for n, x in enumerate(base))) for k in range(400)]
+    assert [x.doc_id for x in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
 # 4
 
 
