@@ -92,28 +92,27 @@ def most_bits(similarity: float, size: int = 64 * COMPARED) -> int:
     return round(size * p + 4 * math.sqrt(size * p * (1 - p)))
 
 
-def _shingles(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
-    """The shingle hashes of each text, a shorter text being one shingle."""
+def _shingle_sets_of(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes of each text in order, a shorter text being one shingle."""
     data, offsets = text_bytes(column)
     for _, _, part, off in chunks(data, offsets):
         starts, ends, first = words(part, off, SPACED)
         prefix = SEQUENCE.prefix(word_hashes(LOWER[part], starts, ends))
         for lo, hi in zip(first[:-1], first[1:]):
             at = np.arange(lo, max(lo + 1, hi - shingle + 1)) if hi > lo else np.zeros(0, np.int64)
-            yield SEQUENCE.spans(prefix, at, np.minimum(at + shingle, hi))
+            yield np.unique(SEQUENCE.spans(prefix, at, np.minimum(at + shingle, hi)))
 
 
 def _long_prints(shingle: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, ids, sizes, stars = [], [], [], []
-            for h in _shingles(batch["text"], shingle):
-                own = np.unique(h)
-                mixed = np.stack([mix(h ^ U(s)) for s in SEEDS], axis=1)
+            for own in _shingle_sets_of(batch["text"], shingle):
+                mixed = np.stack([mix(own ^ U(s)) for s in SEEDS], axis=1)
                 out.append(majority(mixed))
                 ids.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                 sizes.append(len(own))
-                stars.append(mixed[:, : len(STARS)].min(axis=0) if len(h) else np.zeros(len(STARS), U))
+                stars.append(mixed[:, : len(STARS)].min(axis=0) if len(own) else np.zeros(len(STARS), U))
             stars = lists(np.concatenate(stars).view(np.int64) if stars else np.zeros(0, np.int64), np.full(len(out), len(STARS)), pa.int64())
             made = [pa.array(np.array(ids, U).view(np.int64)), pa.array(out, pa.binary()), pa.array(sizes, pa.int64()), stars]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_key"], *made], ["doc_id", "row_key", "id", "fp", "size", "stars"])
@@ -124,7 +123,7 @@ def _long_prints(shingle: int):
 def _shingle_sets(shingle: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(h) for h in _shingles(batch["text"], shingle)]
+            sets = list(_shingle_sets_of(batch["text"], shingle))
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch["id"], lists(flat, np.array([len(x) for x in sets], np.int64), pa.int64())], ["id", "shingles"])
 

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -199,6 +200,18 @@ def test_near_copies_are_those_of_the_similarity(spark):
     assert left == {i for i, _ in rows} - alike
 
 
+def test_repeated_lines_count_once_in_long_prints():
+    r = random.Random(10)
+    say = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    line, one, other = say(12), say(200), say(200)
+    texts = [f"{one}\n" + f"{line}\n" * 40, f"{other}\n" + f"{line}\n" * 40, f"{one}\n{line}\n", f"{one}\n{line}\n{line}\n"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(4)), "row_key": list(range(4)), "text": texts})
+    fp = [x for out in simhash._long_prints(5)([batch]) for x in out["fp"].to_pylist()]
+    apart = lambda i, j: (int.from_bytes(fp[i], "big") ^ int.from_bytes(fp[j], "big")).bit_count() / (8 * len(fp[i]))
+    assert jaccard(texts[0], texts[1]) < 0.1 and apart(0, 1) > 0.35
+    assert jaccard(texts[0], texts[2]) > 0.9 and apart(0, 2) < 0.15 and apart(0, 3) < 0.05
+
+
 def test_large_group_of_near_copies(spark):
     r = random.Random(9)
     base = [r.choice(WORDS) for _ in range(200)]
