@@ -56,7 +56,7 @@ VIEWS = {
         SELECT o_orderkey AS candidate_row_number, concat('C', CAST(o_orderkey % 97 AS VARCHAR(8))) AS item_code, concat('item ', CAST(o_orderkey % 211 AS VARCHAR(8))) AS description, o_orderpriority AS section,
           CASE o_orderkey % 3 WHEN 0 THEN 'm2' WHEN 1 THEN 'nr' ELSE 'SQM' END AS unit, CAST(o_totalprice AS DECIMAL(18,2)) AS rate, '' AS reviewer_status,
           CASE o_orderkey % 4 WHEN 0 THEN 'aliases' WHEN 1 THEN 'ratelibrary' WHEN 2 THEN '' ELSE 'ratelibrary' END AS promote_target
-        FROM {orders} WHERE o_orderkey < (SELECT count(*) / 15 FROM {orders})""",
+        FROM {orders}""",
     "decisions": """
         SELECT event_id, ts, user_id AS candidate_row_number, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'pending' WHEN 'click' THEN 'merge' ELSE 'hold' END AS reviewer_status,
           CAST(value AS DECIMAL(18,2)) AS approved_rate FROM {events}""",
