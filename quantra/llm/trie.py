@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quantra.llm.common import ranges
 from quantra.llm.texthash import U
 
-BUCKET, FRONTIER, PAIRS = 16, 1 << 17, 1 << 20
+BUCKET, FRONTIER, PAIRS, BLOCK = 16, 1 << 17, 1 << 20, 1 << 16
 
 
 def walk(a: np.ndarray, b: np.ndarray | None, width: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -205,11 +205,12 @@ def links(items: DataFrame, width: int, budget: int, leaf: int, close: Callable[
 
         def check(i: np.ndarray, j: np.ndarray) -> None:
             if every:
-                i, j = (i[i != j], j[i != j]) if within else (i, j)
-                if close is not None:
-                    ok = close(a[4][i], b[4][j])
-                    i, j = i[ok], j[ok]
-                pairs.append((a[3][i], b[3][j]))
+                for lo in range(0, len(i), BLOCK):
+                    x, y = i[lo : lo + BLOCK], j[lo : lo + BLOCK]
+                    ok = x < y if within else np.ones(len(x), bool)
+                    if close is not None:
+                        ok[ok] = close(a[4][x[ok]], b[4][y[ok]])
+                    pairs.append((a[3][x[ok]], b[3][y[ok]]))
                 return
             at = j if within else j + n
             apart = forest.label[i] != forest.label[at]  # what is one set already needs no look
