@@ -5,28 +5,29 @@ those that have one; a bit map beside each level marks the ids that go on, and a
 512 bits) takes a place in one level to its place in the next. Any token is read from as many bytes as it has chunks, without
 decoding what is around it.
 
-The files are tables of segments of whole documents (about SEGMENT_TOKENS tokens each) in ascending doc_id order: `part` and
+The files are tables of segments of whole documents (SEGMENT_TOKENS tokens and a chunk's at most, unless one document has more) in ascending doc_id order: `part` and
 `seq` give the order, `first` the tokens of the part before the segment, `doc_ids` and `doc_tokens` its documents, `payload` its codes.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from contextlib import suppress
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantra.llm.common import row_key, scratch, small
+from quantra.llm.common import chunks, ranges, row_key, scratch, small, text_bytes
 
 SEGMENT_TOKENS = 1 << 20
 END_ID = 2
@@ -94,28 +95,70 @@ class Codes:
         return ids
 
 
+def _classes() -> np.ndarray:
+    """Bytes by what the byte-level splitter never joins: 1 ASCII letters, 2 digits, 3 other printable ASCII, 4 white space; 0 for the rest and the apostrophe."""
+    out = np.zeros(256, np.uint8)
+    for b in range(33, 127):
+        out[b] = 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 * (chr(b) != "'")
+    out[[9, 10, 11, 12, 13, 32]] = 4
+    return out
+
+
+CLASSES, WHITE = _classes(), 4
+#: White space outside ASCII and separators, which the splitter may read as white space.
+ODD = r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+#: The splitter that `unit_starts` knows.
+BYTE_LEVEL = {"normalizer": None, "post_processor": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}}
+
+
+def unit_starts(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Where the units of every row start; a row marked in `whole` is one unit.
+
+    A unit is a run of one class (or of unclassed bytes and what they touch) with one space before it, or a run of white space; before a word, the
+    last byte of a run of white space is a unit of its own, or the word's space.
+    """
+    n = len(data)
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    kind = CLASSES[data]
+    start = np.zeros(n + 1, bool)
+    white = kind == WHITE
+    before, now = kind[:-1], kind[1:]
+    start[1:n] = (before != now) & (now > 0) & (before > 0) & ~white[:-1]
+    start[1:n] |= white[1:] & ~white[:-1]
+    word = np.flatnonzero(white[:-1] & ~white[1:]) + 1
+    word = word[~first[word]]
+    start[word - 1] = True
+    start[word[data[word - 1] != 0x20]] = True
+    if whole.any():
+        inside = np.repeat(whole, np.diff(offsets))
+        start[:n][inside] = False
+    start[offsets] = True
+    return np.flatnonzero(start[:n])
+
+
 class Encoder:
-    """Token ids by the tokenizers library, unit by unit.
+    """Token ids by the tokenizers library, each distinct unit of text once.
 
-    A unit is a run of non-space bytes with one space before it, or a run of white space: the byte-level splitter of
-    the vocabulary never joins text across such units, so each distinct unit is encoded once and kept (at most KEPT; then the store starts anew).
-    Texts with a special token's string, or with white space outside ASCII, are encoded whole.
+    For a byte-level vocabulary whose splitter never joins text across units, texts are cut into units, a chunk's distinct units are looked up
+    in a store, and the library encodes those that are new. At KEPT units the store keeps only those met again since the last time. Texts with
+    a special token's string or with odd white space, and all texts of any other kind of vocabulary, are units as a whole.
     """
 
-    KEPT = 400_000
-    UNITS = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-    ODD = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf|[\x1c-\x1f]")
-    HINTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe1\xa0", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80", b"\xef\xbb", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
+    KEPT, CHUNK, CALL = 600_000, 4 << 20, 256
 
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        splitter = made["pre_tokenizer"] or {}
+        self.by_unit = all(made[k] is None for k in ("normalizer", "post_processor")) and all(splitter.get(k) == v for k, v in BYTE_LEVEL["pre_tokenizer"].items())
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.place: dict[bytes, int] = {}
+        self.ids, self.counts, self.again = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
 
     @classmethod
     def of(cls, vocabulary: str) -> Encoder:
@@ -123,62 +166,66 @@ class Encoder:
             _ENCODERS[vocabulary] = cls(vocabulary)
         return _ENCODERS[vocabulary]
 
-    def _learn(self, units: set[bytes]) -> None:
-        if len(self.kept) > self.KEPT:
-            self.older, self.kept = self.kept, {}
-        known = {x for x in units if x in self.older}
-        self.kept.update((x, self.older[x]) for x in known)
-        new, composed = set(), []
-        for x in units - known:
-            # A full stop or comma after an ASCII letter is a token apart, so such a unit is its two parts.
-            if x[-1] in b".," and len(x) > 1 and x[-2:-1].isalpha():
-                composed.append(x)
-                new.update(y for y in (x[:-1], x[-1:]) if y not in self.kept)
-            else:
-                new.add(x)
-        # One call for all units that aren't white space: a line end between them is always a token of its own.
-        joined = [x for x in new if not x.isspace()]
-        if joined:
-            ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(joined).decode()], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.line)
-            if len(cuts) + 1 == len(joined):
-                whole, ends = ids.tobytes(), [*cuts.tolist(), len(ids)]
-                self.kept.update((x, whole[4 * a : 4 * b]) for x, a, b in zip(joined, [0, *(c + 1 for c in ends)], ends))
-            else:
-                joined = []
-        rest = [x for x in new if x.isspace()] if joined else list(new)
-        for unit, got in zip(rest, self.tokenizer.encode_batch([x.decode() for x in rest], add_special_tokens=False)):
-            self.kept[unit] = np.array(got.ids, "<u4").tobytes()
-        self.kept.update((x, self.kept[x[:-1]] + self.kept[x[-1:]]) for x in composed)
-
-    def _plain(self, text: bytes) -> bool:
-        return not any(x in text for x in self.special) and not (any(x in text for x in self.HINTS) and self.ODD.search(text))
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        raw = [(x or "").encode() for x in texts]
-        units = [self.UNITS.findall(x) if self._plain(x) else None for x in raw]
-        found, missing = [], set()
-        for x in units:
-            got = [] if x is None else list(map(self.kept.get, x))
-            new, at = [], -1
-            with suppress(ValueError):
-                while True:
-                    at = got.index(None, at + 1)
-                    new.append(at)
-            missing.update(x[i] for i in new)
-            found.append((got, new))
-        if missing:
-            self._learn(missing)
-        kept, out = self.kept, []
-        for text, x, (got, new) in zip(raw, units, found):
-            if x is None:
-                out.append(np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes())
-                continue
-            for i in new:
-                got[i] = kept[x[i]]
-            out.append(b"".join(got))
-        return out
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, units: list[bytes], whole: list[bool]) -> None:
+        """Encode new units; those that are neither white space nor whole texts in lines, as a line end between them is always a token of its own."""
+        lined, rest = [], []
+        for x, apart in zip(units, whole):
+            (rest if apart or x.isspace() else lined).append(x)
+        ids, counts = [self.ids], [self.counts]
+        for lo in range(0, len(lined), self.CALL * 64):
+            part = lined[lo : lo + self.CALL * 64]
+            got = np.concatenate([np.append(x, self.line) for x in self._encoded([b"\n".join(part[k : k + self.CALL]).decode() for k in range(0, len(part), self.CALL)])])
+            ends = np.flatnonzero(got == self.line[0])
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary joins text across line ends")
+            ids.append(got[got != self.line[0]])
+            counts.append(np.diff(ends, prepend=-1) - 1)
+        for x in self._encoded([x.decode() for x in rest]):
+            ids.append(x)
+            counts.append(np.array([len(x)]))
+        self.place.update(zip(lined + rest, range(len(self.place), len(self.place) + len(units))))
+        self.ids, self.counts = np.concatenate(ids), np.concatenate(counts)
+        self.again = np.append(self.again, np.zeros(len(units), bool))
+
+    def _forget(self) -> None:
+        keep = self.again if 2 * self.again.sum() <= self.KEPT else np.zeros(len(self.again), bool)
+        self.ids, self.counts = self.ids[np.repeat(keep, self.counts)], self.counts[keep]
+        self.place = {x: i for i, x in enumerate(x for x, k in zip(self.place, keep.tolist()) if k)}
+        self.again = np.zeros(len(self.counts), bool)
+
+    def _chunk(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, and each row's count."""
+        starts = unit_starts(data, offsets, whole)
+        edges = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
+        units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, edges, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        distinct = units.dictionary.to_pylist()
+        if len(self.place) > self.KEPT:
+            self._forget()
+        place = np.fromiter(map(self.place.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(place < 0)
+        self.again[place[place >= 0]] = True
+        if len(new):
+            apart = np.zeros(len(distinct), bool)
+            apart[units.indices.to_numpy()[np.searchsorted(starts, offsets[:-1])[whole & (np.diff(offsets) > 0)]]] = True
+            self._learn([distinct[i] for i in new], apart[new].tolist())
+            place[new] = np.fromiter((self.place[distinct[i]] for i in new), np.int64, len(new))
+        which = place[units.indices.to_numpy()]
+        counts = self.counts[which]
+        ids = self.ids[ranges((np.cumsum(self.counts) - self.counts)[which], counts)]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return ids, np.diff(ends[np.searchsorted(starts, offsets)])
+
+    def __call__(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """First row, end row, ids of all rows between, and each row's count; a null text has no ids."""
+        text = pc.fill_null(column, "")
+        whole = np.full(len(text), not self.by_unit)
+        for odd in (pc.match_substring_regex(text, ODD), *(pc.match_substring(text, x) for x in self.special)):
+            whole |= odd.to_numpy(zero_copy_only=False)
+        for lo, hi, part, offsets in chunks(*text_bytes(text), self.CHUNK):
+            yield lo, hi, *self._chunk(part, offsets, whole[lo:hi])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -189,27 +236,22 @@ SEGMENTS = "part int, seq int, first long, n_tokens long, doc_ids array<long>, d
 def _segments(vocabulary: str, end_id: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.of(vocabulary), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
-        seq = first = held = 0
-        ids, blobs = [], []
+        seq = first = 0
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, first, held, ids, blobs
-            tokens = np.frombuffer(b"".join(blobs), "<u4")
-            out = [[part], [seq], [first], [len(tokens)], [ids], [[len(x) // 4 for x in blobs]], [pack(tokens)]]
-            seq, first, held, ids, blobs = seq + 1, first + len(tokens), 0, [], []
+            nonlocal seq, first, held
+            ids, counts = (np.concatenate(x) for x in zip(*(x[:2] for x in held)))
+            out = [[part], [seq], [first], [len(ids)], [[x for y in held for x in y[2].to_pylist()]], [counts], [pack(ids)]]
+            seq, first, held = seq + 1, first + len(ids), []
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))], ["part", "seq", "first", "n_tokens", "doc_ids", "doc_tokens", "payload"])
 
         for batch in batches:
-            doc_ids, text = batch["doc_id"].to_pylist(), batch["text"]
-            for lo in range(0, len(batch), 256):
-                for doc_id, blob in zip(doc_ids[lo : lo + 256], encoder(text[lo : lo + 256].to_pylist())):
-                    ids.append(doc_id)
-                    blobs.append(blob + end)
-                    held += len(blob) // 4 + 1
-                    if held >= SEGMENT_TOKENS:
-                        yield flush()
-        if ids:
+            for lo, hi, ids, counts in encoder(batch["text"]):
+                held.append((np.insert(ids, np.cumsum(counts), end_id), counts + 1, batch["doc_id"][lo:hi]))
+                if sum(len(x[0]) for x in held) >= SEGMENT_TOKENS:
+                    yield flush()
+        if held:
             yield flush()
 
     return rows
