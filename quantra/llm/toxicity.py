@@ -1,12 +1,12 @@
 """Toxicity by logistic regression over hashed word n-grams and skip-grams, trained with FTRL-proximal.
 
-Features are the distinct single words, word pairs and pairs around one skipped word (`w _ w`) of a text, lower-cased, hashed into
-2**BITS places. Each coordinate has its own learning rate (from the sum of its squared gradients), and the L1 term keeps most
+Features are the distinct single words, word pairs and pairs around one skipped word (`w _ w`) of a text, lower-cased, and the stems of its
+words (the first STEMS bytes of words that go on after them, for languages that build their words), hashed into 2**BITS places. Each coordinate has its own learning rate (from the sum of its squared gradients), and the L1 term keeps most
 weights at exactly zero: the model that is broadcast is the few non-zero weights.
 
 Training: FTRL is a sequential method, so one task runs it, ROUNDS times over a bounded sample of the labelled rows (about SAMPLE
 of each label at most, drawn by a hash of the id). Averaging the states of parallel learners was tried: it left more weights
-and missed more toxic rows. A toxic row's gradient counts for the root of the ratio of the classes.
+and missed more toxic rows. A toxic row's gradient counts for the ratio of the classes to the power CLASS_POWER.
 """
 
 from __future__ import annotations
@@ -19,25 +19,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantra.llm.common import chunks, stored, text_bytes
-from quantra.llm.texthash import ALNUM, LOWER, U, mix, word_hashes, words
+from quantra.llm.texthash import ALNUM, LOWER, WORD, U, mix, words
 
-BITS = 20
+BITS = 22
 #: Bound on the labelled rows used from each class.
 SAMPLE = 8000
-ROUNDS = 4
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 8.0, 0.5
+ROUNDS = 6
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 16.0, 0.5
 PAIR, SKIP = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)
+STEMS = {5: U(0x8EBC6AF09C88C6E3), 6: U(0x589965CC75374CC3), 7: U(0x1D8E4E27C47D124F)}
 BIAS = 1 << BITS
+CLASS_POWER = 0.75
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed places of every feature of every row, rows in order, and each row's count (repeats included)."""
     data = LOWER[data]
     starts, ends, first = words(data, offsets, ALNUM)
-    h = word_hashes(data, starts, ends)
+    prefix = WORD.prefix(data.astype(U) + U(1))
+    h = WORD.spans(prefix, starts, ends)
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
     keys, rows = [h], [row]
+    for size, salt in STEMS.items():
+        long = ends - starts > size
+        keys.append(mix(WORD.spans(prefix, starts[long], starts[long] + size) * salt))
+        rows.append(row[long])
     for gap, salt in ((1, PAIR), (2, SKIP)):
         if len(h) > gap:
             same = row[gap:] == row[:-gap]
@@ -87,7 +94,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray
         places = [np.frombuffer(x, "<u4") for x in table["places"].to_pylist()]
         labels = table["label"].to_numpy()
         toxic = max(1, int(labels.sum()))
-        weight = float(np.sqrt(max(1.0, (len(labels) - toxic) / toxic)))
+        weight = max(1.0, (len(labels) - toxic) / toxic) ** CLASS_POWER
         state = Ftrl()
         for turn in range(rounds):
             for i in np.random.default_rng(turn).permutation(len(places)):
@@ -143,8 +150,8 @@ def _scores(model):
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id long, text string; labels: doc_id, toxic).
 
-    Null and empty texts score by the bias alone; a null doc_id is not held out (and never trained on). With no labelled rows every
-    score is 0.5. Repeated rows score alike. Other columns are ignored.
+    Null and empty texts score by the bias alone, very long ones by all their words; a null doc_id is not held out (and never trained on). With no labelled
+    rows every score is 0.5. Repeated rows score alike, ties stay ties, and an empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, sample))
     scored = docs.select("doc_id", "text").mapInArrow(_scores(model), "doc_id long, score double")
@@ -152,8 +159,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """docs without the rows that score `threshold` or more; columns as given."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, sample))
+    """docs without the rows that score `threshold` or more; columns as given, whatever their names.
+
+    A null or empty text stays if the bias alone does; repeated rows stay or go together; rows with a null doc_id are judged like any other. Without
+    labelled rows, or if no weight is left, docs stay as they are. An empty table stays empty.
+    """
+    at, w = fit_toxicity(docs, labels, sample)
+    if not len(at):
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast((at, w))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scores(model)
