@@ -98,10 +98,10 @@ def inclusion_rates(sized: DataFrame, goal: DataFrame) -> DataFrame:
 
 
 def cuts(ranked: DataFrame, goal: DataFrame) -> DataFrame:
-    """(__source, cut_cell, cut): the cell where the words needed are reached and the last place taken in it (null: none)."""
+    """(__source, cut_cell, cut): the cell where the words needed are reached and the last place taken in it (null: none), for sources that need a sample."""
     by_cell = Window.partitionBy("source").orderBy("__cell")
     cells = ranked.where("size > 0").groupBy("source", "__cell").agg(F.sum("size").alias("n")).withColumn("to", F.sum("n").over(by_cell))
-    crossing = cells.join(goal.select(F.col("source").alias("__source"), "need"), F.col("source").eqNullSafe(F.col("__source"))).where("to > need")
+    crossing = cells.join(goal.where("need > 0").select(F.col("source").alias("__source"), "need"), F.col("source").eqNullSafe(F.col("__source"))).where("to > need")
     at = F.min_by(F.struct(F.col("__cell").alias("cut_cell"), (F.col("need") - F.col("to") + F.col("n")).alias("left")), "__cell")
     crossing = stored(crossing.groupBy("__source").agg(at.alias("at")).select("__source", "at.cut_cell", "at.left"), "mix-cells")
     inside = ranked.where("size > 0").drop("__source").join(small(crossing, 100_000), F.col("source").eqNullSafe(F.col("__source")) & (F.col("__cell") == F.col("cut_cell")))
@@ -112,8 +112,9 @@ def cuts(ranked: DataFrame, goal: DataFrame) -> DataFrame:
 
 
 def _copies() -> Column:
-    """The certain copies, and one more for documents before the cut."""
-    chosen = (F.col("__cell") < F.coalesce("cut_cell", F.lit(CELLS))) | (F.col("__cell").eqNullSafe(F.col("cut_cell")) & F.coalesce(_place() <= F.col("cut"), F.lit(False)))
+    """The certain copies, and one more for documents before the cut, if the source needs any."""
+    cut = F.when(F.col("need") > 0, F.coalesce("cut_cell", F.lit(CELLS))).otherwise(F.lit(-2))
+    chosen = (F.col("__cell") < cut) | (F.col("__cell").eqNullSafe(F.col("cut_cell")) & F.coalesce(_place() <= F.col("cut"), F.lit(False)))
     return F.coalesce("copies", F.lit(0).cast("long")) + (chosen & (F.col("size") > 0)).cast("long")
 
 
