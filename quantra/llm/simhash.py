@@ -83,13 +83,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
 SEGMENTS, SEGMENT_BITS, SEGMENT_BUDGET, SEGMENT_LEAF = 16, 32, 3, 1 << 23
 SEEDS = (0x452821E638D01377, 0xBE5466CF34E90C6C, 0xC0AC29B7C97C50DD, 0x3F84D5B5B5470917, 0x9216D5D98979FB1B, 0xD1310BA698DFB5AC, 0x2FFD72DBD01ADFB7, 0xB8E1AFED6A267E96)
 #: Words of the fingerprint that go with each segment for the distance of candidates, and the seeds of the keys by which groups are linked first.
-COMPARED, STARS = 4, SEEDS[:4]
+COMPARED, STARS = 8, SEEDS[:4]
 
 
 def most_bits(similarity: float, size: int = 64 * COMPARED) -> int:
-    """A distance that hardly any two fingerprints exceed whose shingle sets have this Jaccard similarity: the mean (arccos of 2s/(1+s), over pi) and four standard deviations."""
+    """A distance that few fingerprints (0.6 %) exceed whose shingle sets have just this Jaccard similarity: the mean (arccos of 2s/(1+s), over pi) and 2.5 standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(size * p + 4 * math.sqrt(size * p * (1 - p)))
+    return round(size * p + 2.5 * math.sqrt(size * p * (1 - p)))
 
 
 def _shingle_sets_of(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
