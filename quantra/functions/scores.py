@@ -30,13 +30,38 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * lcs(a, b) / total if total else 100.0
 
 
+def _growing(a: str, b: str) -> list[int]:
+    """The longest common subsequence of a with each beginning of b, in one pass."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    out = [0]
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & full
+        out.append(len(a) - row.bit_count())
+    return out
+
+
 def partial(a: str, b: str) -> float:
-    """The shorter text against every window of its length of the longer."""
+    """The shorter text against every window of its length of the longer, and against the shorter windows at the longer's ends; of texts of one length, each against the other's."""
     if len(a) > len(b):
         a, b = b, a
-    if not a:
+    n = len(a)
+    if not n:
         return 100.0 if not b else 0.0
-    return max(ratio(a, b[k : k + len(a)]) for k in range(len(b) - len(a) + 1))
+    best = 0.0
+    for k in range(len(b) - n + 1):
+        best = max(best, 100.0 * lcs(a, b[k : k + n]) / n)
+        if best == 100.0:
+            return best
+    sides = [(a, b), (a[::-1], b[::-1])]
+    if len(b) == n:
+        sides += [(b, a), (b[::-1], a[::-1])]
+    for x, y in sides:
+        best = max(best, *(200.0 * common / (n + i) for i, common in enumerate(_growing(x, y[: n - 1]))))
+    return best
 
 
 @F.pandas_udf(T.DoubleType())
@@ -59,10 +84,10 @@ def token_sort(a: Column, b: Column) -> Column:
 
 
 def token_set(a: Column, b: Column) -> Column:
-    """100 if one side's words (at least one) are among the other's, else the best ratio of shared words, shared and a's own, shared and b's own."""
+    """0 if a side has no words, 100 if one side's words are among the other's, else the best ratio of shared words, shared and a's own, shared and b's own."""
     ta, tb = F.array_distinct(_tokens(a)), F.array_distinct(_tokens(b))
     both = F.array_sort(F.array_intersect(ta, tb))
     one, other = F.array_sort(F.array_except(ta, tb)), F.array_sort(F.array_except(tb, ta))
     s, sa, sb = F.array_join(both, " "), F.array_join(F.concat(both, one), " "), F.array_join(F.concat(both, other), " ")
     best = F.greatest(F.when(F.size(both) > 0, F.greatest(ratio_of(s, sa), ratio_of(s, sb))).otherwise(F.lit(0.0)), ratio_of(sa, sb))
-    return F.when((F.size(both) > 0) & ((F.size(one) == 0) | (F.size(other) == 0)), F.lit(100.0)).otherwise(best)
+    return F.when((F.size(ta) == 0) | (F.size(tb) == 0), F.lit(0.0)).when((F.size(both) > 0) & ((F.size(one) == 0) | (F.size(other) == 0)), F.lit(100.0)).otherwise(best)

@@ -1,8 +1,10 @@
 """Section inference and fuzzy matching of bill lines to a rate library.
 
 The text scores depend on two texts alone, and everything else on a few attributes of the line. So lines are reduced to distinct match keys, items to
-distinct texts, only distinct text pairs are scored (in Arrow batches), and the bonuses are native arithmetic on keys times items. The row
-count of that product is bounded by (distinct keys) x (items), whatever the number of lines.
+distinct texts, and only distinct text pairs are scored (in Arrow batches). Items of one text differ in their bonuses alone: of those that share the
+section, region and unit a key asks for (each or any of the three), only the first few by hint and table order can be among its best. So a key meets a
+bounded number of items a text, whatever the size of the library, and texts that cannot reach a key's best are left out by their bounds. All of
+this is exact. `blocked` scores only pairs of texts that share a word instead of all pairs; a query states what that finds.
 """
 
 from __future__ import annotations
@@ -70,28 +72,68 @@ def apply_aliases(lines: DataFrame, aliases: DataFrame, column: str = "descripti
     return done.withColumn("query", F.col("__done.t")).withColumn("alias_hits", F.col("__done.h")).drop("__aliases", "__done")
 
 
-def text_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """(query, item_text, text_score, sort_score, partial_score, set_score) for all distinct pairs."""
-    pairs = queries.select("query").distinct().crossJoin(items.select("item_text").distinct())
+def text_pairs(queries: DataFrame, items: DataFrame, blocked: bool = False) -> DataFrame:
+    """(query, item_text): all distinct pairs, or only those that share a word."""
+    left, right = queries.select("query").distinct(), items.select("item_text").distinct()
+    if not blocked:
+        return left.crossJoin(right)
+    words = lambda x: F.explode(F.array_distinct(F.filter(F.split(x, " +"), lambda w: w != ""))).alias("word")
+    return left.select("query", words("query")).join(right.select("item_text", words("item_text")), "word").select("query", "item_text").distinct()
+
+
+def text_scores(queries: DataFrame, items: DataFrame, blocked: bool = False) -> DataFrame:
+    """(query, item_text, text_score, sort_score, partial_score, set_score) for the distinct pairs."""
     a, b = F.col("query"), F.col("item_text")
-    scored = pairs.select("query", "item_text", token_sort(a, b).alias("sort_score"), partial_of(a, b).alias("partial_score"), token_set(a, b).alias("set_score"))
+    scored = text_pairs(queries, items, blocked).select("query", "item_text", token_sort(a, b).alias("sort_score"), partial_of(a, b).alias("partial_score"), token_set(a, b).alias("set_score"))
     return scored.withColumn("text_score", F.expr("sort_score * 0.45D + partial_score * 0.20D + set_score * 0.35D"))
 
 
+#: A key's best item and its alternates.
+PLACES, ANY = 4, "\x00"
+
+
+def leading_items(items: DataFrame) -> DataFrame:
+    """(item_text, at_section, at_region, at_unit, ordinal): the first PLACES items, by confidence hint and table order, of each text and each choice of a section, region and unit or ANY of them."""
+    wide = items.select("item_text", "ordinal", "confidence_hint", F.explode(F.array(F.lower("item_section"), F.lit(ANY))).alias("at_section"), F.lower("item_region").alias("__region"), F.when(F.col("item_unit") == "", F.lit("")).otherwise(F.col("item_unit_key")).alias("__unit"))
+    wide = wide.withColumn("at_region", F.explode(F.array("__region", F.lit(ANY)))).withColumn("at_unit", F.explode(F.array("__unit", F.lit(ANY))))
+    order = Window.partitionBy("item_text", "at_section", "at_region", "at_unit").orderBy(F.desc("confidence_hint"), "ordinal")
+    return wide.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PLACES).select("item_text", "at_section", "at_region", "at_unit", "ordinal")
+
+
+def reachable(texts: DataFrame, items: DataFrame, weights: Weights) -> DataFrame:
+    """texts without those whose best possible score is under what PLACES items of another text have at least."""
+    turn = F.row_number().over(Window.partitionBy("item_text").orderBy(F.desc("confidence_hint"), "ordinal"))
+    bounds = items.withColumn("turn", turn).where(F.col("turn") <= PLACES).groupBy("item_text").agg(F.max("confidence_hint").alias("most"), F.max(F.when(F.col("turn") == PLACES, F.col("confidence_hint"))).alias("least"))
+    bounded = texts.join(bounds, "item_text")
+    floor = F.max(F.col("text_score") - weights.unit_penalty * 1.25 + F.col("least")).over(Window.partitionBy("query"))
+    top = F.col("text_score") + F.lit(float(weights.section + weights.region + weights.unit)) + F.col("most")
+    return bounded.withColumn("floor", floor).where(F.col("floor").isNull() | (top >= F.col("floor") - 1e-6)).select(*texts.columns)
+
+
+def candidate_items(keys: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
+    """keys with the texts' scores and the ordinals of all items that can be among their best PLACES."""
+    met = keys.join(texts, "query")
+    levels = lambda c, *more: F.explode(F.array_distinct(F.array(c, *more, F.lit(ANY))))
+    met = met.withColumn("at_section", levels(F.lower("inferred_section"))).withColumn("at_region", levels(F.lower("region"))).withColumn("at_unit", levels(F.col("line_unit"), F.lit("")))
+    columns = [*keys.columns, *(c for c in texts.columns if c != "query")]
+    return met.join(leading_items(items), ["item_text", "at_section", "at_region", "at_unit"]).select(*columns, "ordinal").distinct()
+
+
 KEYS = ["query", "inferred_section", "region", "line_unit", "alias_count", "alias_section"]
 
 
-def best_matches(lines: DataFrame, library: DataFrame, weights: Weights = Weights()) -> DataFrame:
+def best_matches(lines: DataFrame, library: DataFrame, weights: Weights = Weights(), blocked: bool = False) -> DataFrame:
     """One row a line with its best active item, up to three alternates and the decision.
 
     lines: query, alias_hits (apply_aliases), inferred_section, unit, region. score = text score + section, region, unit and alias bonuses - 1.25 penalty for
     another unit + confidence_hint; ties to the first item of the table.
     """
-    items = library.where("active").select("ordinal", "item_code", F.col("description").alias("item_description"), normalize_text("description").alias("item_text"), F.col("section").alias("item_section"), F.col("unit").alias("item_unit"), normalize_unit("unit").alias("item_unit_key"), F.col("region").alias("item_region"), F.col("rate").alias("item_rate"), "basis", "confidence_hint")
+    items = library.where("active").select("ordinal", "item_code", F.col("description").alias("item_description"), normalize_text("normalized_description" if "normalized_description" in library.columns else "description").alias("item_text"), F.col("section").alias("item_section"), F.col("unit").alias("item_unit"), normalize_unit("unit").alias("item_unit_key"), F.col("region").alias("item_region"), F.col("rate").alias("item_rate"), "basis", (F.col("source") if "source" in library.columns else F.lit("")).alias("item_source"), "confidence_hint")
     same = F.filter("alias_hits", lambda h: (h["b"] != "") & (F.col("inferred_section") != "") & (F.lower(h["b"]) == F.lower("inferred_section")))
     keyed = lines.withColumn("line_unit", normalize_unit("unit")).withColumn("alias_count", F.least(F.size("alias_hits"), F.lit(2))).withColumn("alias_section", F.size(same) > 0)
     keys = keyed.select(*KEYS).distinct()
-    product = keys.join(text_scores(keys, items), "query").join(items, "item_text")
+    texts = reachable(text_scores(keys, items, blocked), items, weights)
+    product = candidate_items(keys, texts, items).join(items.drop("item_text"), "ordinal")
     both_sections = (F.col("inferred_section") != "") & (F.col("item_section") != "")
     section_same = both_sections & (F.lower("inferred_section") == F.lower("item_section"))
     region_same = (F.col("region") != "") & (F.col("item_region") != "") & (F.lower("region") == F.lower("item_region"))
@@ -102,7 +144,7 @@ def best_matches(lines: DataFrame, library: DataFrame, weights: Weights = Weight
         F.col("text_score") + bonus(section_same, weights.section) + bonus(region_same, weights.region) + bonus(unit_same, weights.unit) - bonus(both_units & ~unit_same, weights.unit_penalty * 1.25)
         + F.col("alias_count") * F.lit(float(weights.alias)) + bonus(F.col("alias_section"), weights.alias) + F.col("confidence_hint")
     )
-    note = lambda test, x: F.when(test, x if isinstance(x, Column) else F.lit(x)).otherwise(F.lit(""))
+    note = lambda test, x: F.when(F.col(test) if isinstance(test, str) else test, x if isinstance(x, Column) else F.lit(x)).otherwise(F.lit(""))
     flags = F.filter(
         F.array(
             note(both_sections & ~section_same, "section mismatch"),
@@ -113,17 +155,23 @@ def best_matches(lines: DataFrame, library: DataFrame, weights: Weights = Weight
         lambda x: x != "",
     )
     order = Window.partitionBy(*KEYS).orderBy(F.desc("raw_score"), "ordinal")
-    slim = product.select(*KEYS, "ordinal", (F.abs(F.col("sort_score") - F.col("partial_score")) > 20).alias("unstable"), score.alias("raw_score"))
-    top = slim.withColumn("place", F.row_number().over(order)).where("place <= 4")
+    parts = ["text_score", "sort_score", "partial_score", "set_score"]
+    slim = product.select(*KEYS, "ordinal", *parts, (F.abs(F.col("sort_score") - F.col("partial_score")) > 20).alias("unstable"), section_same.alias("section_bonus"), region_same.alias("region_bonus"), unit_same.alias("unit_bonus"), (both_units & ~unit_same).alias("unit_penalty"), score.alias("raw_score"))
+    top = slim.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PLACES)
     scored = top.join(items, "ordinal")
+    said = [F.format_string(f"{n}=%.1f", f"{n}_score") for n in ("text", "sort", "set")]
+    said += [note(F.col(n), F.lit(n.replace("_", "-"))) for n in ("section_bonus", "region_bonus", "unit_bonus", "unit_penalty")]
+    said += [note(F.col("alias_count") > 0, "alias-bonus"), note("alias_section", "alias-section-bonus")]
+    why = F.concat(F.filter(F.array(*said), lambda x: x != ""), flags)
     option = F.format_string("%s | %s | %s | %.2f | %.1f", "item_code", "item_description", "item_unit", F.col("item_rate").cast("double"), "raw_score")
     first = lambda c: F.max(F.when(F.col("place") == 1, c if isinstance(c, Column) else F.col(c)))
     best = scored.groupBy(*KEYS).agg(
-        *(first(c).alias(n) for c, n in (("item_code", "matched_item_code"), ("item_description", "matched_description"), ("item_unit", "matched_unit"), ("item_rate", "rate"), ("item_section", "section_used"), ("item_region", "region_used"), ("basis", "basis"), ("raw_score", "raw_score"))),
+        *(first(c).alias(n) for c, n in (("item_code", "matched_item_code"), ("item_description", "matched_description"), ("item_unit", "matched_unit"), ("item_rate", "rate"), ("item_section", "section_used"), ("item_region", "item_region"), ("item_source", "source"), ("basis", "basis"), ("raw_score", "raw_score"))),
         first(flags).alias("flags"),
+        first(why).alias("match_rationale"),
         F.transform(F.array_sort(F.collect_list(F.when((F.col("place") > 1) & (F.col("raw_score") >= weights.review), F.struct("place", option.alias("o"))))), lambda x: x["o"]).alias("alternates"),
     )
-    out = keyed.join(best, KEYS, "left")
+    out = keyed.join(best, KEYS, "left").withColumn("region_used", F.when(F.col("raw_score").isNotNull(), F.coalesce(F.nullif("item_region", F.lit("")), "region"))).drop("item_region")
     return decide(out, weights).drop("line_unit", "alias_count", "alias_section")
 
 
@@ -138,6 +186,7 @@ def decide(results: DataFrame, weights: Weights = Weights()) -> DataFrame:
         .withColumn("confidence_score", F.coalesce(F.round("raw_score", 2), F.lit(0.0)))
         .withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))
         .withColumn("alternates", F.coalesce("alternates", F.array().cast("array<string>")))
+        .withColumn("match_rationale", F.coalesce("match_rationale", F.array(F.lit("no-active-items"))))
         .withColumn("built_up", F.lit(False))
     )
 

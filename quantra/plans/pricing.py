@@ -33,6 +33,9 @@ def price(lines: DataFrame, db: Database, weights: Weights = Weights(), terms: T
     floored = matching.review_floor(arbitrated, weights)
     section = F.coalesce(F.nullif("section_used", F.lit("")), F.nullif("inferred_section", F.lit("")), F.col("sheet_name"))
     priced = commercial.regional_rates(floored.withColumn("section", section), db.adjustments)
+    factor = F.col("regional_factor")
+    told = F.filter(F.array(F.format_string("regional-factor=%.3f", factor.cast("double")), F.col("factor_notes")), lambda x: x != "")
+    priced = priced.withColumn("rationale", F.when(factor != 1, F.concat("rationale", told)).otherwise(F.col("rationale")))
     return priced.withColumn("flags", commercial.commercial_flags(F.col("flags"))).withColumn("approval_status", commercial.approval_status(terms)).withColumn("flagged", F.size("flags") > 0)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantra.operators import library
-from quantra.plans.queries_pricing import sql_normalized, sql_unit
+from quantra.plans.sql_pricing import sql_normalized, sql_unit
 from quantra.sources.fixtures import view, with_views
 
 QUERIES, ORACLES = {}, {}

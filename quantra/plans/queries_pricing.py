@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantra.functions import scores
 from quantra.functions import text as X
-from quantra.operators import buildup, commercial, matching, sinks
+from quantra.operators import buildup, commercial, library, matching, sinks
 from quantra.plans import pricing
+from quantra.plans.sql_pricing import ALIAS_SQL, BUILD_SQL, COSTS_SQL, HEADINGS_SQL, LCS_SQL, MATCH_SQL, PRICE_SQL, SCORES_SQL, SECTION_SQL, sql_normalized, sql_unit
 from quantra.sources.fixtures import view, with_views
 
 QUERIES, ORACLES = {}, {}
@@ -24,25 +27,6 @@ def query(sql: str | None = None):
     return add
 
 
-def quoted(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
-def sql_normalized(x: str) -> str:
-    """normalize_text as SQL, step by step."""
-    v = f"lower(regexp_replace(translate(coalesce({x}, ''), {quoted(X.FOLD_FROM)}, {quoted(X.FOLD_TO)}), '[^\\x00-\\x7F]', '', 'g'))"
-    v = f"replace(replace({v}, 'm^3', 'm3'), 'm^2', 'm2')"
-    for a, b in (("(\\d)\\s*[^a-z0-9./ ]+\\s*(\\d)", "\\1 \\2"), ("\\bc\\.?f\\.?m\\b", "cfm"), ("\\btonnes?\\b", "ton"), ("\\blitres?\\b", "litre"), ("\\bhrs?\\b", "hr"), ("[^a-z0-9./ ]+", " ")):
-        v = f"regexp_replace({v}, '{a}', '{b}', 'g')"
-    words = ", ".join(map(quoted, X.STOP_WORDS))
-    return f"array_to_string(list_filter(string_split_regex({v}, ' +'), lambda w: w <> '' AND w NOT IN ({words})), ' ')"
-
-
-def sql_unit(x: str) -> str:
-    v = f"replace({sql_normalized(x)}, ' ', '')"
-    return f"CASE {v} " + " ".join(f"WHEN {quoted(a)} THEN {quoted(b)}" for a, b in X.UNIT_SYNONYMS.items()) + f" ELSE {v} END"
-
-
 # C: scalar functions
 
 
@@ -96,15 +80,7 @@ def c15_c16_sheet_hints_and_totals(spark, sf) -> DataFrame:
     return view(spark, sf, "lines").select("boq_id", "row_number", X.sheet_section("sheet_name").alias("hint"), X.subtotal_flag(text).alias("subtotal"), X.total_flag(text).alias("total"))
 
 
-# The alias fold: ring -> ring band, widget -> gadget, red -> scarlet, whole words; hits are substrings.
-ALIAS_SQL = """
-a0 AS (SELECT *, {norm} AS q0 FROM lines WHERE NOT is_heading AND NOT is_summary_row),
-a1 AS (SELECT *, contains(q0, 'ring') AS h1, CASE WHEN contains(q0, 'ring') THEN regexp_replace(q0, '\\bring\\b', 'ring band', 'g') ELSE q0 END AS q1 FROM a0),
-a2 AS (SELECT *, contains(q1, 'widget') AS h2, CASE WHEN contains(q1, 'widget') THEN regexp_replace(q1, '\\bwidget\\b', 'gadget', 'g') ELSE q1 END AS q2 FROM a1),
-a3 AS (SELECT *, contains(q2, 'red') AS h3, CASE WHEN contains(q2, 'red') THEN regexp_replace(q2, '\\bred\\b', 'scarlet', 'g') ELSE q2 END AS q3 FROM a2)""".replace("{norm}", sql_normalized("description"))
-
-
-@query(f"WITH {with_views('lines')}, {ALIAS_SQL} SELECT boq_id, row_number, q3 AS query, CAST(h1 AS INT) + CAST(h2 AS INT) + CAST(h3 AS INT) AS hits FROM a3")
+@query(f"WITH {with_views('lines')}, {ALIAS_SQL.format(rows='(SELECT * FROM lines WHERE NOT is_heading AND NOT is_summary_row)')} SELECT boq_id, row_number, q3 AS query, CAST(h1 AS INT) + CAST(h2 AS INT) + CAST(h3 AS INT) AS hits FROM a3")
 def c13_apply_aliases(spark, sf) -> DataFrame:
     done = matching.apply_aliases(matching.priceable(view(spark, sf, "lines")), view(spark, sf, "aliases"))
     return done.select("boq_id", "row_number", "query", F.size("alias_hits").alias("hits"))
@@ -112,15 +88,6 @@ def c13_apply_aliases(spark, sf) -> DataFrame:
 
 # L: scores of distinct texts
 
-LCS_SQL = """
-lcs(a, b, i, r) AS (
-  SELECT a, b, 0, list_transform(range(0, len(b) + 1), lambda j: 0) FROM pairs
-  UNION ALL
-  SELECT a, b, i + 1, list_transform(range(0, len(b) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda t: CASE WHEN t = 0 THEN 0 ELSE greatest(r[t + 1], r[t] + CASE WHEN substr(b, t, 1) = substr(a, i + 1, 1) THEN 1 ELSE 0 END) END)))
-  FROM lcs WHERE i < len(a)),
-ratios AS (SELECT a, b, CASE WHEN len(a) + len(b) = 0 THEN 100.0 ELSE 200.0 * r[len(b) + 1] / (len(a) + len(b)) END AS score FROM lcs WHERE i = len(a))"""
-
-
 @query(f"""
 WITH RECURSIVE n AS (SELECT DISTINCT p_name AS x FROM part), k AS (SELECT x, array_to_string(list_sort(string_split(x, ' ')), ' ') AS s FROM n),
 pairs AS (SELECT DISTINCT p.s AS a, q.s AS b FROM k p CROSS JOIN k q), {LCS_SQL}
@@ -130,22 +97,16 @@ def l01_token_sort(spark, sf) -> DataFrame:
     return names.select(F.col("p_name").alias("one")).crossJoin(names.select(F.col("p_name").alias("other"))).withColumn("score", scores.token_sort(F.col("one"), F.col("other")))
 
 
-@query(f"""
-WITH RECURSIVE n AS (SELECT DISTINCT p_name AS x FROM part), m AS (SELECT p.x AS one, q.x AS other, CASE WHEN len(p.x) > len(q.x) THEN q.x ELSE p.x END AS s, CASE WHEN len(p.x) > len(q.x) THEN p.x ELSE q.x END AS l FROM n p CROSS JOIN n q),
-w AS (SELECT one, other, s AS a, unnest(list_transform(range(0, len(l) - len(s) + 1), lambda k: substr(l, CAST(k AS INT) + 1, len(s)))) AS b FROM m), pairs AS (SELECT DISTINCT a, b FROM w), {LCS_SQL}
-SELECT one, other, CAST(max(score) AS DOUBLE) AS score FROM w JOIN ratios USING (a, b) GROUP BY one, other""")
+NAME_PAIRS = f"WITH RECURSIVE n AS (SELECT DISTINCT p_name AS x FROM part), qp AS (SELECT p.x AS one, q.x AS other FROM n p CROSS JOIN n q), {SCORES_SQL}"
+
+
+@query(NAME_PAIRS + " SELECT one, other, partial_score AS score FROM scored")
 def l02_partial(spark, sf) -> DataFrame:
     names = view(spark, sf, "part").select("p_name").distinct()
     return names.select(F.col("p_name").alias("one")).crossJoin(names.select(F.col("p_name").alias("other"))).withColumn("score", scores.partial_of("one", "other"))
 
 
-@query(f"""
-WITH RECURSIVE n AS (SELECT DISTINCT p_name AS x, list_distinct(string_split(p_name, ' ')) AS t FROM part),
-m AS (SELECT p.x AS one, q.x AS other, list_sort(list_intersect(p.t, q.t)) AS i, list_sort(list_filter(p.t, lambda w: NOT list_contains(q.t, w))) AS e, list_sort(list_filter(q.t, lambda w: NOT list_contains(p.t, w))) AS f FROM n p CROSS JOIN n q),
-s AS (SELECT *, array_to_string(i, ' ') AS x0, array_to_string(list_concat(i, e), ' ') AS x1, array_to_string(list_concat(i, f), ' ') AS x2 FROM m),
-pairs AS (SELECT x0 AS a, x1 AS b FROM s UNION SELECT x0, x2 FROM s UNION SELECT x1, x2 FROM s), {LCS_SQL}
-SELECT one, other, CAST(CASE WHEN len(i) > 0 AND (len(e) = 0 OR len(f) = 0) THEN 100.0 ELSE greatest(CASE WHEN len(i) > 0 THEN greatest(u.score, v.score) ELSE 0.0 END, w.score) END AS DOUBLE) AS score
-FROM s JOIN ratios u ON u.a = x0 AND u.b = x1 JOIN ratios v ON v.a = x0 AND v.b = x2 JOIN ratios w ON w.a = x1 AND w.b = x2""")
+@query(NAME_PAIRS + " SELECT one, other, set_score AS score FROM scored")
 def l03_token_set(spark, sf) -> DataFrame:
     names = view(spark, sf, "part").select("p_name").distinct()
     return names.select(F.col("p_name").alias("one")).crossJoin(names.select(F.col("p_name").alias("other"))).withColumn("score", scores.token_set(F.col("one"), F.col("other")))
@@ -153,21 +114,11 @@ def l03_token_set(spark, sf) -> DataFrame:
 
 # G, E: context, sections, matches
 
-HEADINGS_SQL = "SELECT *, list(description) FILTER (is_heading) OVER (PARTITION BY boq_id, sheet_name ORDER BY row_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hs FROM lines"
-
-
 @query(f"WITH {with_views('lines')}, h AS ({HEADINGS_SQL}) SELECT boq_id, row_number, array_to_string(coalesce(hs, []), '|') AS headings FROM h WHERE NOT is_heading AND NOT is_summary_row")
 def g01_heading_context(spark, sf) -> DataFrame:
     return matching.priceable(matching.heading_context(view(spark, sf, "lines"))).select("boq_id", "row_number", F.array_join("headings", "|").alias("headings"))
 
 
-SECTION_SQL = f"""
-h AS ({HEADINGS_SQL}),
-c AS (SELECT *, CASE WHEN contains(lower(sheet_name), 'plant') THEN 'Dayworks' WHEN contains(lower(sheet_name), 'earthworks') THEN 'Earthworks' ELSE '' END AS hint,
-  lower(concat_ws(' ', sheet_name, array_to_string(coalesce(hs, []), ' '), description)) AS corpus FROM h WHERE NOT is_heading AND NOT is_summary_row),
-sec AS (SELECT *, CASE WHEN contains(corpus, 'ring') THEN 'Brand#3' WHEN contains(corpus, 'small') THEN 'Brand#4' WHEN contains(corpus, 'widget') THEN 'Brand#2' WHEN contains(corpus, 'plant') THEN 'Brand#5' ELSE hint END AS inferred_section FROM c)"""
-
-
 @query(f"WITH {with_views('lines')}, {SECTION_SQL} SELECT boq_id, row_number, inferred_section FROM sec")
 def e02_infer_sections(spark, sf) -> DataFrame:
     lines = matching.priceable(matching.heading_context(view(spark, sf, "lines")))
@@ -178,28 +129,29 @@ def _database(spark, sf) -> pricing.Database:
     return pricing.Database(*(view(spark, sf, x) for x in ("library", "aliases", "rules", "inputs", "recipes", "adjustments")))
 
 
-@query()
-def e01_g02_best_matches(spark, sf) -> DataFrame:
+def _sectioned(spark, sf) -> DataFrame:
     db = _database(spark, sf)
     lines = matching.infer_sections(matching.priceable(matching.heading_context(view(spark, sf, "lines"))), db.rules)
-    got = matching.best_matches(matching.apply_aliases(lines, db.aliases), db.library)
-    return got.select("boq_id", "row_number", "matched_item_code", F.round("raw_score", 4).alias("score"), "decision", "review_flag", F.array_join("flags", ";").alias("flags"), F.array_join("alternates", "||").alias("alternates"))
+    return matching.apply_aliases(lines, db.aliases)
 
 
-@query(f"""
-WITH {with_views('inputs', 'recipes', 'adjustments')}, live AS (SELECT * FROM inputs WHERE active), regions AS (SELECT r_name AS region FROM region),
-rates AS (SELECT r.recipe_id, g.region, r.ordinal, r.factor, r.waste_factor, coalesce((SELECT arg_min(rate, ordinal) FROM live i WHERE i.input_code = r.component_code AND i.region = g.region), (SELECT arg_min(rate, ordinal) FROM live i WHERE i.input_code = r.component_code)) AS rate FROM recipes r CROSS JOIN regions g)
-SELECT recipe_id, region, CAST(round(sum(rate * CAST(factor AS DECIMAL(9,4)) * (1 + CAST(waste_factor AS DECIMAL(9,4)))), 2) AS DECIMAL(18,2)) AS cost FROM rates GROUP BY recipe_id, region HAVING count(*) = count(rate)""")
+@query(MATCH_SQL + " SELECT boq_id, row_number, matched_item_code, round(raw_score, 4) AS score, decision, review_flag, array_to_string(flags, ';') AS flags, array_to_string(alternates, '||') AS alternates, array_to_string(why, ';') AS rationale FROM bm")
+def e01_g02_best_matches(spark, sf) -> DataFrame:
+    got = matching.best_matches(_sectioned(spark, sf), view(spark, sf, "library"))
+    return got.select("boq_id", "row_number", "matched_item_code", F.round("raw_score", 4).alias("score"), "decision", "review_flag", F.array_join("flags", ";").alias("flags"), F.array_join("alternates", "||").alias("alternates"), F.array_join("match_rationale", ";").alias("rationale"))
+
+
+@query(f"WITH {with_views('inputs', 'recipes')}, {COSTS_SQL} SELECT recipe_id, region, cost FROM costs")
 def e05_f07_recipe_costs(spark, sf) -> DataFrame:
     regions = view(spark, sf, "region").select(F.col("r_name").alias("region"))
     return buildup.recipe_costs(view(spark, sf, "recipes"), view(spark, sf, "inputs"), regions)
 
 
-@query()
+@query(f"{MATCH_SQL}, {BUILD_SQL} SELECT description, inferred_section, unit, region, recipe_id, output_description, output_unit, recipe_section, cost, round(buildup_score, 6) AS buildup_score, buildup_decision, buildup_flag FROM bu")
 def e04_g06_build_ups(spark, sf) -> DataFrame:
     db = _database(spark, sf)
-    lines = matching.infer_sections(matching.priceable(matching.heading_context(view(spark, sf, "lines"))), db.rules)
-    return buildup.build_ups(lines, db.recipes, db.inputs)
+    got = buildup.build_ups(_sectioned(spark, sf), db.recipes, db.inputs)
+    return got.withColumn("buildup_score", F.round("buildup_score", 6))
 
 
 # E03, F, M14: rates and totals
@@ -258,37 +210,76 @@ def b03_h05_summary_rows(spark, sf) -> DataFrame:
     return sinks.summary_rows(m02_batch_quotations(spark, sf), sections)
 
 
-@query()
-def m01_price(spark, sf) -> DataFrame:
-    got = pricing.price(view(spark, sf, "lines"), _database(spark, sf))
-    return sinks.suggestions(got)
+def _priced(spark, sf) -> DataFrame:
+    return pricing.price(view(spark, sf, "lines"), _database(spark, sf))
+
 
+WORD_SQL = "CASE WHEN {x} THEN 'YES' ELSE 'NO' END AS {x}"
+SUGGESTED_SQL = f"""SELECT boq_id, sheet_name, row_number, description AS boq_description, unit AS boq_unit, quantity AS boq_quantity, decision, matched_item_code, matched_description, matched_unit, base_rate, rate, round(confidence_score, 4) AS confidence_score,
+  {WORD_SQL.format(x='review_flag')}, section_used, source, region_used, {WORD_SQL.format(x='built_up')}, basis AS basis_of_rate, approval_status, array_to_string(all_flags, '; ') AS commercial_review_flags, CAST(regional_factor AS DECIMAL(9,4)) AS regional_factor,
+  array_to_string(alternates, ' || ') AS alternate_options, array_to_string(all_rationale, '; ') AS rationale FROM priced"""
+_rounded = lambda df: df.withColumn("confidence_score", F.round("confidence_score", 4))
 
-@query()
-def m01_quotations(spark, sf) -> DataFrame:
-    return commercial.quotation_totals(pricing.price(view(spark, sf, "lines"), _database(spark, sf)))
 
+@query(f"{PRICE_SQL} {SUGGESTED_SQL}")
+def m01_b02_price(spark, sf) -> DataFrame:
+    return _rounded(sinks.suggestions(_priced(spark, sf)))
 
-@query()
-def b01_priced_bill(spark, sf) -> DataFrame:
-    return sinks.priced_bill(view(spark, sf, "lines"), pricing.price(view(spark, sf, "lines"), _database(spark, sf)))
 
+@query(
+    PRICE_SQL
+    + """,
+fs AS (SELECT boq_id, section, CAST(round(sum(CASE WHEN decision = 'matched' AND rate IS NOT NULL THEN coalesce(quantity, 0) * rate END), 2) AS DECIMAL(18,2)) AS subtotal, sum(CASE WHEN decision = 'matched' AND rate IS NOT NULL THEN 1 ELSE 0 END) AS matched,
+  sum(CASE WHEN decision = 'matched' AND rate IS NOT NULL THEN CAST(review_flag OR len(all_flags) > 0 AS INT) ELSE CAST(review_flag AS INT) END) AS flags, count(*) AS n FROM priced GROUP BY boq_id, section),
+fb AS (SELECT boq_id, CAST(coalesce(sum(subtotal), 0) AS DECIMAL(18,2)) AS subtotal, CAST(sum(matched) AS BIGINT) AS matched_items, CAST(sum(flags) AS BIGINT) AS flagged_items, CAST(sum(n) AS BIGINT) AS processed_items FROM fs GROUP BY boq_id),
+fm AS (SELECT *, CAST(round(subtotal * 0.08, 2) AS DECIMAL(18,2)) AS overhead_amount, CAST(round(subtotal * 0.05, 2) AS DECIMAL(18,2)) AS profit_amount, CAST(round(subtotal * 0.03, 2) AS DECIMAL(18,2)) AS risk_amount FROM fb),
+ft AS (SELECT *, CAST(subtotal + overhead_amount + profit_amount + risk_amount AS DECIMAL(18,2)) AS pre_vat_total FROM fm), fv AS (SELECT *, CAST(round(pre_vat_total * 0.16, 2) AS DECIMAL(18,2)) AS vat_amount FROM ft)
+SELECT *, CAST(pre_vat_total + vat_amount AS DECIMAL(18,2)) AS grand_total, flagged_items = 0 AND subtotal > 0 AS bid_ready, CASE WHEN flagged_items = 0 AND subtotal > 0 THEN 'Ready for issue' ELSE 'Human review required before issue' END AS bid_ready_reason, 'KES' AS currency FROM fv"""
+)
+def m02_price_batch(spark, sf) -> DataFrame:
+    return commercial.quotation_totals(_priced(spark, sf))
 
-@query()
+
+@query(PRICE_SQL + " SELECT l.*, CASE WHEN p.decision = 'matched' AND NOT l.is_summary_row THEN p.rate END AS rate, CAST(round(l.quantity * CASE WHEN p.decision = 'matched' AND NOT l.is_summary_row THEN p.rate END, 2) AS DECIMAL(18,2)) AS amount FROM lines l LEFT JOIN priced p ON p.boq_id = l.boq_id AND p.sheet_name = l.sheet_name AND p.row_number = l.row_number")
+def b01_e06_priced_bill(spark, sf) -> DataFrame:
+    return sinks.priced_bill(view(spark, sf, "lines"), _priced(spark, sf))
+
+
+@query(PRICE_SQL + " SELECT boq_id, sheet_name, row_number, description AS boq_description, matched_item_code, matched_description, source, basis AS basis_of_rate, region_used, CAST(regional_factor AS DECIMAL(9,4)) AS regional_factor FROM priced")
+def b05_basis_of_rates(spark, sf) -> DataFrame:
+    return sinks.basis_of_rates(_priced(spark, sf))
+
+
+@query(PRICE_SQL + " SELECT boq_id, sheet_name, row_number, description AS boq_description, decision, approval_status, array_to_string(all_flags, '; ') AS commercial_review_flags, array_to_string(alternates, ' || ') AS alternate_options FROM priced WHERE len(all_flags) > 0 OR review_flag")
 def b06_commercial_review(spark, sf) -> DataFrame:
-    return sinks.commercial_review(pricing.price(view(spark, sf, "lines"), _database(spark, sf)))
+    return sinks.commercial_review(_priced(spark, sf))
 
 
-@query()
+@query(
+    PRICE_SQL
+    + """ SELECT boq_id, row_number, 'one' AS run, sheet_name, description, CAST(quantity AS DOUBLE) AS quantity, decision, matched_item_code, CAST(base_rate AS DOUBLE) AS base_rate, CAST(rate AS DOUBLE) AS rate, review_flag, built_up, basis AS basis_of_rate, approval_status,
+  array_to_string(all_flags, ';') AS commercial_review_flags, array_to_string(alternates, ';') AS alternate_options, array_to_string(all_rationale, ';') AS rationale FROM priced"""
+)
 def b07_audit_json(spark, sf) -> DataFrame:
-    return sinks.audit_json(pricing.price(view(spark, sf, "lines"), _database(spark, sf)), ("boq_id", "row_number"))
+    """The audit texts, read back: what a reader of the JSON finds."""
+    texts = sinks.audit_json(_priced(spark, sf), {"run": "one"})
+    schema = "metadata struct<run:string>, result struct<sheet_name:string,row_number:int,description:string,unit:string,quantity:double,decision:string,matched_item_code:string,matched_description:string,base_rate:double,rate:double,confidence_score:double,review_flag:boolean,built_up:boolean,basis_of_rate:string,approval_status:string,commercial_review_flags:array<string>,alternate_options:array<string>,regional_factor:double,rationale:array<string>>"
+    read = texts.select("boq_id", "row_number", F.from_json("json", schema).alias("j"))
+    plain = ("sheet_name", "description", "quantity", "decision", "matched_item_code", "base_rate", "rate", "review_flag", "built_up", "basis_of_rate", "approval_status")
+    return read.select("boq_id", "row_number", "j.metadata.run", *(f"j.result.{c}" for c in plain), *(F.array_join(f"j.result.{c}", ";").alias(c) for c in ("commercial_review_flags", "alternate_options", "rationale")))
+
+
+UNMATCHED_SQL = "SELECT boq_id, sheet_name, row_number, description AS boq_description, unit AS boq_unit, decision, matched_item_code, matched_description, round(confidence_score, 4) AS confidence_score, {flag}, approval_status, array_to_string(all_flags, '; ') AS commercial_review_flags FROM priced WHERE NOT (decision = 'matched' AND NOT review_flag)"
 
 
-@query()
+@query(f"{PRICE_SQL} {UNMATCHED_SQL.format(flag='review_flag')}")
 def b08_unmatched(spark, sf) -> DataFrame:
-    return sinks.unmatched(pricing.price(view(spark, sf, "lines"), _database(spark, sf)))
+    return _rounded(sinks.unmatched(_priced(spark, sf)))
 
 
-@query()
-def m04_export_unmatched(spark, sf) -> DataFrame:
-    return sinks.unmatched_from_stored(m01_price(spark, sf))
+@query(f"{PRICE_SQL} {SUGGESTED_SQL} WHERE NOT (decision = 'matched' AND NOT review_flag)")
+def m04_b09_export_unmatched(spark, sf) -> DataFrame:
+    """From the suggestions as a run has stored them."""
+    path = f"{library.shared_folder(spark)}/suggestions-{uuid.uuid4().hex}"
+    m01_b02_price(spark, sf).write.parquet(path)
+    return sinks.unmatched_from_stored(spark.read.parquet(path))

@@ -17,7 +17,7 @@ VIEWS = {
         SELECT p_partkey AS ordinal, concat('P', CAST(p_partkey AS VARCHAR(20))) AS item_code, p_name AS description, p_brand AS section, p_type AS subsection,
           CASE p_size % 5 WHEN 0 THEN 'm2' WHEN 1 THEN 'SQM' WHEN 2 THEN 'nr' WHEN 3 THEN 'No' ELSE 'day' END AS unit,
           CAST(p_retailprice AS DECIMAL(18,2)) AS rate, {REGION.format(key='p_partkey')} AS region,
-          CASE WHEN p_partkey % 7 = 0 THEN '' ELSE 'list' END AS basis, CAST(p_size % 7 AS DOUBLE) AS confidence_hint, p_partkey % 11 <> 0 AS active
+          CASE WHEN p_partkey % 7 = 0 THEN '' ELSE 'list' END AS basis, CAST(p_size % 7 AS DOUBLE) AS confidence_hint, p_partkey % 11 <> 0 AS active, concat('cat', CAST(p_partkey % 3 AS VARCHAR(4))) AS source
         FROM {{part}}""",
     "ranked": """
         SELECT l.*, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
