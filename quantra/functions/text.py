@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -102,6 +103,12 @@ def normalize_text(x: Column | str) -> Column:
     return F.array_join(F.filter(F.split(v, " +"), lambda w: (w != "") & ~w.isin(STOP_WORDS)), " ")
 
 
+def plain_normalized(x: str) -> str:
+    """normalize_text of one word on the driver, for headers."""
+    v = unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower()
+    return " ".join(w for w in re.sub(r"[^a-z0-9./ ]+", " ", v).split() if w not in STOP_WORDS)
+
+
 def _lookup(table: dict[str, str], key: Column, default: Column) -> Column:
     pairs = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
     return F.coalesce(F.try_element_at(pairs, key), default)

@@ -8,13 +8,12 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantra.functions.text import active, normalize_region, normalize_text, normalize_unit, safe_number, text
+from quantra.functions.text import active, normalize_region, normalize_text, normalize_unit, plain_normalized, safe_number, text
 
 # Source column names by field, in order of preference.
 SOURCE_NAMES = {
@@ -28,65 +27,98 @@ SOURCE_NAMES = {
     "currency": ["currency"],
     "region": ["region", "county", "location", "market"],
     "source": ["source", "manual", "library", "origin"],
+    "source_sheet": ["source_sheet", "sheet", "sheet_name"],
+    "source_page": ["source_page", "page", "page_no"],
     "basis": ["basis", "basis_of_rate"],
+    "crew_type": ["crew_type", "labour_type"],
+    "plant_type": ["plant_type", "equipment_type"],
+    "material_type": ["material_type", "material_group"],
+    "keywords": ["keywords", "tags"],
+    "alias_group": ["alias_group"],
+    "build_up_recipe_id": ["build_up_recipe_id", "recipe_id"],
     "confidence_hint": ["confidence_hint", "confidence"],
     "notes": ["notes", "remark", "remarks"],
     "active": ["active", "status"],
     "input_type": ["input_type", "resource_type", "type"],
 }
 
-# Presets of the import kinds.
-KINDS = {"rate-library": {}, "materials": {"section": "Materials"}, "labour": {"section": "Labour"}, "plant": {"section": "Plant"}, "buildup-inputs": {}}
+# Columns of the tables that imports and reviews write.
+LIBRARY_COLUMNS = "item_code description normalized_description section subsection unit rate currency region source source_sheet source_page basis crew_type plant_type material_type keywords alias_group build_up_recipe_id confidence_hint notes active".split()
+INPUT_COLUMNS = "input_code input_type description unit rate region source active".split()
+CANDIDATE_COLUMNS = (
+    "timestamp import_batch_id source_file source_sheet target_sheet item_code description normalized_description section subsection unit rate currency region source source_page basis crew_type plant_type material_type keywords alias_group "
+    "build_up_recipe_id confidence_hint notes active duplicate_reason matched_item_code reviewer_status reviewer_name reviewed_at review_decision promote_target approved_item_code approved_description approved_rate approved_canonical_term "
+    "approved_section_bias confidence_override reviewer_note promotion_status promoted_at"
+).split()
+LOG_COLUMNS = "timestamp boq_file sheet_name row_number boq_description decision matched_item_code matched_description confidence_score reviewer_note".split()
+REVIEW_COLUMNS = (
+    "candidate_row_number reviewer_status reviewer_name reviewed_at review_decision promote_target approved_item_code approved_description approved_rate approved_canonical_term approved_section_bias confidence_override reviewer_note source_file "
+    "target_sheet item_code matched_item_code description section subsection unit rate currency region basis duplicate_reason promotion_status"
+).split()
+SNAPSHOT_COLUMNS = (
+    "candidate_row_number reviewer_status reviewer_name reviewed_at review_decision promote_target description normalized_description unit rate region matched_item_code approved_item_code approved_description approved_canonical_term confidence_hint "
+    "confidence_override reviewer_note"
+).split()
+PROMOTION_COLUMNS = (
+    "timestamp candidate_row_number reviewer_status reviewer_name review_decision promote_target promotion_status description normalized_description unit rate approved_rate matched_item_code approved_item_code approved_description approved_canonical_term "
+    "confidence_hint confidence_override reviewer_note"
+).split()
+
+# Target table, fields and their presets of the import kinds.
+KINDS = {
+    "rate-library": ("RateLibrary", {"section": "", "subsection": "", "region": "", "source": ""}),
+    "materials": ("RateLibrary", {"section": "Materials", "material_type": "general", "region": "", "source": ""}),
+    "labour": ("RateLibrary", {"section": "Dayworks", "crew_type": "labour", "region": "", "source": ""}),
+    "plant": ("RateLibrary", {"section": "Dayworks", "plant_type": "plant", "region": "", "source": ""}),
+    "buildup-inputs": ("BuildUpInputs", {"input_type": "", "region": "", "source": ""}),
+}
 
 APPROVED, REJECTED = ["approved", "merge", "approved_for_merge"], ["rejected", "reject"]
 MERGEABLE = ["approved", "approve_append", "approve_update"]
-
-
-@dataclass(frozen=True)
-class _Plain:
-    """Header cleaning on the driver: letters and digits, single spaces."""
-
-    @staticmethod
-    def key(name: str) -> str:
-        return " ".join("".join(c if c.isalnum() or c in "./" else " " for c in name.lower()).split())
+MONEY = "decimal(18,2)"
 
 
 def lookup(source: DataFrame, field: str, default: str = "") -> Column:
-    """C14: the first non-blank of the source's columns for this field, else the default. Headers are compared without case and punctuation."""
-    headers = {_Plain.key(c): c for c in source.columns}
-    names = [headers[k] for n in SOURCE_NAMES.get(field, [field]) if (k := _Plain.key(n)) in headers]
+    """C14: the first non-blank of the source's columns for this field, else the default. Headers are compared as normalized texts; of those that are then equal the last counts."""
+    headers = {plain_normalized(c): c for c in source.columns}
+    names = [headers[k] for n in SOURCE_NAMES.get(field, [field]) if (k := plain_normalized(n)) in headers]
     return F.coalesce(*(F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names), F.lit(default))
 
 
-def to_library(source: DataFrame, source_file: str, defaults: dict[str, str] | None = None, overrides: dict[str, str] | None = None) -> DataFrame:
-    """Source rows as library rows; rows without description go. Overrides replace mapped values as they are."""
-    d = defaults or {}
-    get = lambda f, x="": F.trim(lookup(source, f, d.get(f, x)))
-    out = source.select(
-        "ordinal", get("item_code").alias("item_code"), get("description").alias("description"), normalize_text(get("description")).alias("normalized_description"), get("section").alias("section"), get("subsection").alias("subsection"),
-        normalize_unit(get("unit")).alias("unit"), F.coalesce(safe_number(lookup(source, "rate"), "decimal(18,2)"), F.lit(0).cast("decimal(18,2)")).alias("rate"), get("currency", "KES").alias("currency"), normalize_region(get("region")).alias("region"),
-        get("source", source_file).alias("source"), get("basis", "Imported source table").alias("basis"), F.coalesce(safe_number(lookup(source, "confidence_hint")), F.lit(0.0)).alias("confidence_hint"), get("notes").alias("notes"), active(lookup(source, "active")).alias("active"),
-    )
-    out = out.where("description <> ''")
+def _replaced(rows: DataFrame, overrides: dict[str, str] | None) -> DataFrame:
+    """Non-blank overrides replace mapped values as they are. D07: then rows without description go."""
     for name, value in (overrides or {}).items():
-        if value not in (None, "") and name in out.columns:
-            out = out.withColumn(name, F.lit(value).cast(out.schema[name].dataType))
-    return out
+        if value not in (None, "") and name in rows.columns:
+            rows = rows.withColumn(name, F.lit(value).cast(rows.schema[name].dataType))
+    return rows.where("description <> ''")
 
 
-def to_inputs(source: DataFrame, source_file: str, defaults: dict[str, str] | None = None) -> DataFrame:
-    """Source rows as build-up inputs."""
-    d = defaults or {}
-    get = lambda f, x="": F.trim(lookup(source, f, d.get(f, x)))
-    return source.select("ordinal", get("input_code").alias("input_code"), get("input_type").alias("input_type"), get("description").alias("description"), normalize_unit(get("unit")).alias("unit"), F.coalesce(safe_number(lookup(source, "rate"), "decimal(18,2)"), F.lit(0).cast("decimal(18,2)")).alias("rate"), normalize_region(get("region")).alias("region"), get("source", source_file).alias("source"), active(lookup(source, "active")).alias("active"))
+def to_library(source: DataFrame, source_file: str, overrides: dict[str, str] | None = None, source_sheet: str = "") -> DataFrame:
+    """Source rows (with `ordinal`) as library rows of 22 columns; rows without description go."""
+    get = lambda f, x="": F.trim(lookup(source, f, x))
+    number = lambda f, kind: F.coalesce(safe_number(lookup(source, f), kind), F.lit(0).cast(kind)).alias(f)
+    made = {
+        "description": get("description"), "normalized_description": normalize_text(get("description")), "unit": normalize_unit(get("unit")), "region": normalize_region(get("region")), "currency": get("currency", "KES"),
+        "source": get("source", source_file), "source_sheet": get("source_sheet", source_sheet), "basis": get("basis", "Imported source table"), "rate": number("rate", MONEY), "confidence_hint": number("confidence_hint", "double"),
+        "active": active(lookup(source, "active")),
+    }
+    return _replaced(source.select("ordinal", *((made[c] if c in made else get(c)).alias(c) for c in LIBRARY_COLUMNS)), overrides)
+
+
+def to_inputs(source: DataFrame, source_file: str, overrides: dict[str, str] | None = None) -> DataFrame:
+    """Source rows as build-up inputs of 8 columns."""
+    get = lambda f, x="": F.trim(lookup(source, f, x))
+    made = {"unit": normalize_unit(get("unit")), "rate": F.coalesce(safe_number(lookup(source, "rate"), MONEY), F.lit(0).cast(MONEY)), "region": normalize_region(get("region")), "source": get("source", source_file), "active": active(lookup(source, "active"))}
+    return _replaced(source.select("ordinal", *((made[c] if c in made else get(c)).alias(c) for c in INPUT_COLUMNS)), overrides)
 
 
 def keyed(rows: DataFrame) -> DataFrame:
     """Adds code_key and text_key; null where the row has no such key."""
-    description, unit = normalize_text("description"), normalize_unit("unit")
-    both = F.struct(description.alias("d"), unit.alias("u"))
+    words = text("normalized_description") if "normalized_description" in rows.columns else normalize_text("description")
+    both = F.struct(words.alias("d"), normalize_unit("unit").alias("u"))
     out = rows.withColumn("__both", both)
-    return out.withColumn("code_key", F.nullif(F.trim(text("item_code")), F.lit(""))).withColumn("text_key", F.when((F.col("__both.d") != "") & (F.col("__both.u") != ""), F.concat_ws("|", "__both.d", "__both.u"))).drop("__both")
+    code = "item_code" if "item_code" in rows.columns else "input_code"
+    return out.withColumn("code_key", F.nullif(F.trim(text(code)), F.lit(""))).withColumn("text_key", F.when((F.col("__both.d") != "") & (F.col("__both.u") != ""), F.concat_ws("|", "__both.d", "__both.u"))).drop("__both")
 
 
 def _sequential(group: pd.DataFrame) -> pd.DataFrame:
@@ -152,32 +184,58 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def route_import(existing: DataFrame, arriving: DataFrame, mapper: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Each arriving row (ordinal order) with its outcome: append (new), skip (a duplicate with the same rate) or candidate (another rate, over 0.001
-    apart or missing), and matched_code. Existing rows are there from the start, a key's last one counting; appended rows are there for later ones. The code decides before the text."""
+    """Each arriving row (ordinal order) with outcome (append, skip: a duplicate with the same rate, or candidate: another rate, over 0.001 apart or missing), duplicate_reason
+    and matched_code: the row's own code, or the ordinal of the row it meets where it has none. Existing rows are there from the start, a key's last one counting;
+    appended rows are there for later ones. The code decides before the text."""
     if mapper:
         arriving = mapper(arriving)
     old, new = keyed(existing), keyed(arriving)
+    code = "item_code" if "item_code" in arriving.columns else "input_code"
     shift = F.lit(1 << 40)
     both = old.select((F.col("ordinal") - shift).alias("ordinal"), "code_key", "text_key", F.lit(True).alias("fixed")).unionByName(new.select("ordinal", "code_key", "text_key", F.lit(False).alias("fixed")))
     kept = greedy_keep(both).where("ordinal >= 0").select("ordinal", "kept")
     accepted = new.join(kept.where("kept").select("ordinal"), "ordinal", "left_semi")
-    value = F.struct("item_code", "rate", "ordinal")
+    value = F.struct(F.col("ordinal").cast("long").alias("ordinal"), F.col("rate").cast("double").alias("rate"))
     known = lambda k, name: old.where(F.col(k).isNotNull()).groupBy(k).agg(F.max_by(value, "ordinal").alias(f"old_{name}"))
     fresh = lambda k, name: accepted.where(F.col(k).isNotNull()).groupBy(k).agg(F.max_by(value, "ordinal").alias(f"new_{name}"))
     joined = new.join(kept, "ordinal")
     for k, name in (("code_key", "code"), ("text_key", "text")):
         joined = joined.join(known(k, name), k, "left").join(fresh(k, name), k, "left")
     earlier = lambda c: F.when(F.col(c)["ordinal"] < F.col("ordinal"), F.col(c))
-    found = F.coalesce(earlier("new_code"), F.col("old_code"), earlier("new_text"), F.col("old_text"))
-    joined = joined.withColumn("match", F.when(~F.col("kept"), found))
-    differs = F.coalesce(F.abs(F.col("match.rate") - F.col("rate")) > 0.001, F.lit(True))
+    by_code, by_text = F.coalesce(earlier("new_code"), F.col("old_code")), F.coalesce(earlier("new_text"), F.col("old_text"))
+    joined = joined.withColumn("__code", F.when(~F.col("kept"), by_code)).withColumn("__match", F.when(~F.col("kept"), F.coalesce("__code", by_text)))
+    differs = F.coalesce(F.abs(F.col("__match.rate") - F.col("rate").cast("double")) > 0.001, F.lit(True))
     outcome = F.when(F.col("kept"), F.lit("append")).when(differs, F.lit("candidate")).otherwise(F.lit("skip"))
-    return joined.withColumn("outcome", outcome).withColumn("matched_code", F.when(~F.col("kept"), F.col("match.item_code"))).select(*arriving.columns, "outcome", "matched_code")
+    reason = F.when(F.col("kept"), F.lit("")).when(F.col("__code").isNotNull(), F.lit(f"duplicate {code}")).otherwise(F.lit("duplicate normalized description + unit"))
+    matched = F.when(~F.col("kept"), F.coalesce("code_key", F.col("__match.ordinal").cast("string")))
+    return joined.withColumn("outcome", outcome).withColumn("duplicate_reason", reason).withColumn("matched_code", matched).select(*arriving.columns, "outcome", "duplicate_reason", "matched_code")
+
+
+def batch_id(as_of: str) -> str:
+    """Import- and the digits of an ISO time in seconds."""
+    return f"import-{as_of.replace(':', '').replace('-', '')}"
 
 
-def outcome_counts(routed: DataFrame) -> DataFrame:
-    """F11."""
-    return routed.groupBy("outcome").agg(F.count("*").alias("n"))
+def candidate_rows(routed: DataFrame, target: str, source_file: str, as_of: str, source_sheet: str = "") -> DataFrame:
+    """The rows for review in the 42 columns of candidates."""
+    named = {
+        "timestamp": F.lit(as_of), "import_batch_id": F.lit(batch_id(as_of)), "source_file": F.lit(source_file), "source_sheet": F.lit(source_sheet), "target_sheet": F.lit(target), "matched_item_code": F.col("matched_code"),
+        "normalized_description": normalize_text("description"), "unit": normalize_unit("unit"), "reviewer_status": F.lit("pending"), "review_decision": F.lit("hold"), "promote_target": F.lit("candidatematches"), "promotion_status": F.lit("not_promoted"),
+    }
+    if "item_code" not in routed.columns:
+        named["item_code"] = F.col("input_code")
+    if "confidence_hint" not in routed.columns:
+        named["confidence_hint"] = F.lit(0.0)
+    column = lambda c: named.get(c, F.col(c) if c in routed.columns else F.lit(""))
+    return routed.where("outcome = 'candidate'").select("ordinal", *(column(c).alias(c) for c in CANDIDATE_COLUMNS))
+
+
+def import_summary(source: DataFrame, routed: DataFrame, target: str, source_file: str) -> DataFrame:
+    """one row with the counters of an import."""
+    count = lambda x: F.count_if(F.col("outcome") == x)
+    counts = routed.agg(count("append").alias("appended"), count("skip").alias("skipped_duplicates"), count("candidate").alias("candidates_created"), F.count("*").alias("mapped"))
+    total = source.agg(F.count("*").alias("total_rows"))
+    return total.crossJoin(counts).select(F.lit(target).alias("target_sheet"), F.lit(source_file).alias("source_file"), "total_rows", "appended", "skipped_duplicates", "candidates_created", (F.col("total_rows") - F.col("mapped")).alias("blank_descriptions"))  # one row each
 
 
 def normalize_table(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -193,9 +251,15 @@ def deactivate_duplicates(rows: DataFrame) -> DataFrame:
     return rows.join(kept, "ordinal").withColumn("active", F.col("active") & F.col("kept")).withColumn("duplicate", ~F.col("kept")).drop("kept")
 
 
-def review_log(rows: DataFrame, as_of: str, decision: str) -> DataFrame:
-    """Log rows with confidence 100."""
-    return rows.select(F.lit(as_of).alias("timestamp"), F.lit(decision).alias("decision"), "item_code", "description", F.lit(100.0).alias("confidence_score"))
+def log_rows(rows: DataFrame, as_of: str, file: str, **columns: Column) -> DataFrame:
+    """Rows in the 10 columns of the review log; those not given are blank."""
+    given = {"timestamp": F.lit(as_of), "boq_file": F.lit(file), "row_number": F.lit(None).cast("long"), "confidence_score": F.lit(0.0), **columns}
+    return rows.select(*(given.get(c, F.lit("")).alias(c) for c in LOG_COLUMNS))
+
+
+def duplicate_log(deactivated: DataFrame, as_of: str, file: str) -> DataFrame:
+    """A log row of confidence 100 for each duplicate."""
+    return log_rows(deactivated.where("duplicate"), as_of, file, sheet_name=F.lit("RateLibrary"), row_number=F.col("ordinal").cast("long"), boq_description=text("description"), decision=F.lit("duplicate-deactivated"), matched_item_code=text("item_code"), matched_description=text("description"), confidence_score=F.lit(100.0))
 
 
 def candidate_defaults(candidates: DataFrame) -> DataFrame:
@@ -205,8 +269,22 @@ def candidate_defaults(candidates: DataFrame) -> DataFrame:
 
 
 def review_report(candidates: DataFrame) -> DataFrame:
-    """Every candidate with its workflow columns and whether it is a training record (its status is not pending)."""
-    return candidate_defaults(candidates).withColumn("training_record", F.lower(F.trim("reviewer_status")) != "pending")
+    """Every candidate in the 27 columns of a review, with the workflow's defaults; columns that candidates lack are blank."""
+    rows = candidate_defaults(candidates)
+    return rows.select(*((F.col(c) if c in rows.columns else F.lit("")).alias(c) for c in REVIEW_COLUMNS))
+
+
+def review_snapshots(candidates: DataFrame) -> DataFrame:
+    """One JSON text of 18 fields for each candidate whose status is not pending."""
+    rows = candidate_defaults(candidates).where("lower(reviewer_status) <> 'pending'")
+    return rows.select("candidate_row_number", F.to_json(F.struct(*((F.col(c) if c in rows.columns else F.lit("")).alias(c) for c in SNAPSHOT_COLUMNS)), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def review_summary(candidates: DataFrame) -> DataFrame:
+    """one row with the counters of a review (D16's sets)."""
+    status = F.lower(F.trim("reviewer_status"))
+    rows = candidate_defaults(candidates)
+    return rows.agg(F.count("*").alias("report_rows"), F.count_if(status.isin(APPROVED)).alias("reviewed"), F.count_if(status.isin(REJECTED)).alias("rejected"), F.count_if(status != "pending").alias("training_records"))
 
 
 def merge_reviews(candidates: DataFrame, decisions: DataFrame, reviewer: str = "reviewer") -> DataFrame:
@@ -240,9 +318,37 @@ def promote(candidates: DataFrame, aliases: DataFrame, library: DataFrame) -> Da
     return joined.select("candidate_row_number", "target", F.coalesce(status).alias("status"), rate.alias("promoted_rate"))
 
 
-def merge_candidates(candidates: DataFrame) -> DataFrame:
-    """Approved candidates as appended rows of their target; their status becomes merged."""
-    return candidates.where(F.lower(F.trim("reviewer_status")).isin(MERGEABLE)).withColumn("promotion_status", F.lit("merged"))
+def promotion_log(promoted: DataFrame, candidates: DataFrame, as_of: str) -> DataFrame:
+    """One JSON text of 19 fields for each candidate that `promote` looked at."""
+    status = promoted.select("candidate_row_number", F.col("status").alias("promotion_status"))
+    rows = candidates.drop("promotion_status").join(status, "candidate_row_number").withColumn("timestamp", F.lit(as_of))
+    rows = rows.withColumn("promote_target", F.coalesce(F.nullif(F.lower(F.trim("promote_target")), F.lit("")), F.lit("candidatematches")))
+    return rows.select("candidate_row_number", F.to_json(F.struct(*((F.col(c) if c in rows.columns else F.lit("")).alias(c) for c in PROMOTION_COLUMNS)), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def merge_candidates(candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(library rows, build-up input rows, candidates): approved candidates are appended to their target whatever is there, and their status becomes merged.
+    An input's type is the first non-blank of material, plant and crew type and notes."""
+    ready = F.lower(F.trim("reviewer_status")).isin(MERGEABLE)
+    take = lambda c: F.col(c) if c in candidates.columns else F.lit("")
+    target = F.coalesce(F.nullif(text("target_sheet"), F.lit("")), F.lit("RateLibrary")) if "target_sheet" in candidates.columns else F.lit("RateLibrary")
+    live = candidates.where(ready).withColumn("__target", target)
+    blank = lambda c: F.nullif(text(take(c)), F.lit(""))
+    to_library_rows = live.where("__target = 'RateLibrary'").select("candidate_row_number", *(take(c).alias(c) for c in LIBRARY_COLUMNS))
+    inputs = {"input_code": take("item_code"), "input_type": F.coalesce(blank("material_type"), blank("plant_type"), blank("crew_type"), text(take("notes")))}
+    to_input_rows = live.where("__target <> 'RateLibrary'").select("candidate_row_number", *(inputs.get(c, take(c)).alias(c) for c in INPUT_COLUMNS))
+    return to_library_rows, to_input_rows, candidates.withColumn("reviewer_status", F.when(ready, F.lit("merged")).otherwise(F.col("reviewer_status")))
+
+
+def merge_log(candidates: DataFrame, as_of: str, file: str) -> DataFrame:
+    """A log row for each candidate that `merge_candidates` appends."""
+    ready = candidates.where(F.lower(F.trim("reviewer_status")).isin(MERGEABLE))
+    get = lambda c: text(c) if c in candidates.columns else F.lit("")
+    code = F.coalesce(F.nullif(get("matched_item_code"), F.lit("")), get("item_code"))
+    hint = F.coalesce(F.col("confidence_hint").cast("double"), F.lit(0.0)) if "confidence_hint" in candidates.columns else F.lit(0.0)
+    sheet = F.coalesce(F.nullif(get("target_sheet"), F.lit("")), F.lit("RateLibrary"))
+    note = F.coalesce(F.nullif(get("reviewer_note"), F.lit("")), F.lit("Merged from CandidateMatches"))
+    return log_rows(ready, as_of, file, sheet_name=sheet, row_number=F.col("candidate_row_number").cast("long"), boq_description=get("description"), decision=F.lit("candidate-merged"), matched_item_code=code, matched_description=get("description"), confidence_score=hint, reviewer_note=note)
 
 
 def schema_gaps(expected: DataFrame, actual: DataFrame, optional: list[str]) -> DataFrame:

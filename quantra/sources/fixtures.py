@@ -50,12 +50,18 @@ VIEWS = {
         SELECT p_partkey AS ordinal, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE concat('I', CAST(p_partkey % 700 AS VARCHAR(20))) END AS item_code, concat(p_name, ' ', CAST(p_size AS VARCHAR(4)), ' ', p_brand) AS description,
           CASE p_size % 5 WHEN 0 THEN 'm2' WHEN 1 THEN 'SQM' WHEN 2 THEN 'nr' WHEN 3 THEN 'No' ELSE '' END AS unit, CAST(p_retailprice AS DECIMAL(18,2)) AS rate, {REGION.format(key='p_partkey')} AS region
         FROM {{part}}""",
+    "offers": """
+        SELECT ordinal, item_code AS Rate_Code, CASE WHEN ordinal % 23 = 0 THEN '' ELSE description END AS Particulars, unit AS UOM, CASE WHEN ordinal % 17 = 0 THEN 'on request' ELSE CAST(rate AS VARCHAR(24)) END AS Unit_Rate, region AS County,
+          CASE ordinal % 4 WHEN 0 THEN 'no' WHEN 1 THEN '' ELSE 'yes' END AS Status, concat('p', CAST(ordinal % 9 AS VARCHAR(4))) AS Page_No, CASE WHEN ordinal % 2 = 0 THEN 'gang' ELSE '' END AS labour_type, concat('tag', CAST(ordinal % 3 AS VARCHAR(4))) AS Tags
+        FROM {arriving}""",
     "existing": "SELECT * FROM {incoming} WHERE ordinal % 3 = 0",
     "arriving": "SELECT * FROM {incoming} WHERE ordinal % 3 <> 0",
     "candidates": """
         SELECT o_orderkey AS candidate_row_number, concat('C', CAST(o_orderkey % 97 AS VARCHAR(8))) AS item_code, concat('item ', CAST(o_orderkey % 211 AS VARCHAR(8))) AS description, o_orderpriority AS section,
           CASE o_orderkey % 3 WHEN 0 THEN 'm2' WHEN 1 THEN 'nr' ELSE 'SQM' END AS unit, CAST(o_totalprice AS DECIMAL(18,2)) AS rate, '' AS reviewer_status,
-          CASE o_orderkey % 4 WHEN 0 THEN 'aliases' WHEN 1 THEN 'ratelibrary' WHEN 2 THEN '' ELSE 'ratelibrary' END AS promote_target
+          CASE o_orderkey % 4 WHEN 0 THEN 'aliases' WHEN 1 THEN 'ratelibrary' WHEN 2 THEN '' ELSE 'ratelibrary' END AS promote_target,
+          CASE o_orderkey % 5 WHEN 0 THEN 'BuildUpInputs' WHEN 1 THEN '' ELSE 'RateLibrary' END AS target_sheet, CASE o_orderkey % 7 WHEN 0 THEN 'cement' ELSE '' END AS material_type,
+          CASE o_orderkey % 3 WHEN 0 THEN 'crane' ELSE '' END AS plant_type, concat('note ', CAST(o_orderkey % 13 AS VARCHAR(8))) AS notes
         FROM {orders}""",
     "decisions": """
         SELECT event_id, ts, user_id AS candidate_row_number, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'pending' WHEN 'click' THEN 'merge' ELSE 'hold' END AS reviewer_status,

@@ -59,10 +59,16 @@ def open_tables(spark: SparkSession, names: list[str] | None = None) -> dict[str
     return {n: spark.table(n) for n in names}
 
 
-def structured(spark: SparkSession, path: str) -> DataFrame:
-    """A10: a CSV file with a header, every column text; ordinal is the row's place (one file, so one partition holds its order)."""
-    rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    return rows.withColumn("ordinal", F.monotonically_increasing_id())
+def structured(spark: SparkSession, path: str | None = None, table: str | None = None, database: str | None = None) -> DataFrame:
+    """A10: a CSV file with a header, every column text; or a table of the catalog: the named one, else the database's first by name. ordinal rises with the rows of a file: where its
+    block starts plus the row's place in the block, so a file that is read in several parts keeps its order; a table has its own ordinal, or gets one in its files' order."""
+    if path is None:
+        name = table or min(t.name for t in spark.catalog.listTables(database))
+        rows = spark.table(f"{database}.{name}" if database else name)
+        return rows if "ordinal" in rows.columns else rows.withColumn("ordinal", F.monotonically_increasing_id())
+    rows = spark.read.option("header", True).option("encoding", "UTF-8").option("mode", "PERMISSIVE").csv(path)
+    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return rows.select("*", place.alias("ordinal"))
 
 
 def joined_rows(cells: DataFrame, with_sheet: bool = True) -> DataFrame:
