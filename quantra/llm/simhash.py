@@ -83,13 +83,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
 SEGMENTS, SEGMENT_BITS, SEGMENT_BUDGET, SEGMENT_LEAF = 16, 32, 3, 1 << 23
 SEEDS = (0x452821E638D01377, 0xBE5466CF34E90C6C, 0xC0AC29B7C97C50DD, 0x3F84D5B5B5470917, 0x9216D5D98979FB1B, 0xD1310BA698DFB5AC, 0x2FFD72DBD01ADFB7, 0xB8E1AFED6A267E96)
 #: Words of the fingerprint that go with each segment for the distance of candidates, and the seeds of the keys by which groups are linked first.
-COMPARED, STARS = 8, SEEDS[:4]
+COMPARED, STARS = 4, SEEDS[:4]
+#: A candidate's shape: its shingles counted by the first bits of their hashes, in half bytes, then how many there are and how many the half bytes leave out.
+PARTS, PART_BITS, SHAPE = 128, 7, 10
 
 
 def most_bits(similarity: float, size: int = 64 * COMPARED) -> int:
-    """A distance that few fingerprints (0.6 %) exceed whose shingle sets have just this Jaccard similarity: the mean (arccos of 2s/(1+s), over pi) and 2.5 standard deviations."""
+    """A distance that hardly any fingerprints (0.1 %) exceed whose shingle sets have just this Jaccard similarity: the mean (arccos of 2s/(1+s), over pi) and three standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(size * p + 2.5 * math.sqrt(size * p * (1 - p)))
+    return round(size * p + 3 * math.sqrt(size * p * (1 - p)))
 
 
 def _shingle_sets_of(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -103,19 +105,26 @@ def _shingle_sets_of(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
             yield np.unique(SEQUENCE.spans(prefix, at, np.minimum(at + shingle, hi)))
 
 
+def _shape(own: np.ndarray) -> bytes:
+    counts = np.bincount((own >> U(64 - PART_BITS)).astype(np.int64), minlength=PARTS)
+    capped = np.minimum(counts, 15).astype(np.uint8)
+    return (capped[::2] | capped[1::2] << 4).tobytes() + np.array([len(own), len(own) - int(capped.sum())], U).tobytes()
+
+
 def _long_prints(shingle: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, ids, sizes, stars = [], [], [], []
+            out, ids, sizes, stars, shapes = [], [], [], [], []
             for own in _shingle_sets_of(batch["text"], shingle):
                 mixed = np.stack([mix(own ^ U(s)) for s in SEEDS], axis=1)
                 out.append(majority(mixed))
                 ids.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                 sizes.append(len(own))
+                shapes.append(_shape(own))
                 stars.append(mixed[:, : len(STARS)].min(axis=0) if len(own) else np.zeros(len(STARS), U))
             stars = lists(np.concatenate(stars).view(np.int64) if stars else np.zeros(0, np.int64), np.full(len(out), len(STARS)), pa.int64())
-            made = [pa.array(np.array(ids, U).view(np.int64)), pa.array(out, pa.binary()), pa.array(sizes, pa.int64()), stars]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_key"], *made], ["doc_id", "row_key", "id", "fp", "size", "stars"])
+            made = [pa.array(np.array(ids, U).view(np.int64)), pa.array(out, pa.binary()), pa.array(sizes, pa.int64()), stars, pa.array(shapes, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_key"], *made], ["doc_id", "row_key", "id", "fp", "size", "stars", "shape"])
 
     return rows
 
@@ -130,14 +139,25 @@ def _shingle_sets(shingle: int):
     return rows
 
 
+def _most_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """No less than the shingles that two texts of these shapes share: of each part at most the smaller count."""
+    a, b = (np.ascontiguousarray(z[:, : SHAPE - 2]).view(np.uint8) for z in (x, y))
+    shared = np.minimum(a & 15, b & 15).sum(axis=1, dtype=np.int64) + np.minimum(a >> 4, b >> 4).sum(axis=1, dtype=np.int64)
+    return shared + np.minimum(x[:, -1], y[:, -1]).astype(np.int64)
+
+
 def _close(similarity: float):
-    """Which pairs of payloads (fingerprint words, size, group) may reach the similarity and are not of one group yet."""
+    """Which pairs of payloads (fingerprint words, shape, group) may reach the similarity and are not of one group yet: by size and distance, then by an exact bound from the shapes."""
     limit = most_bits(similarity)
 
-    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def near(x: np.ndarray, y: np.ndarray, seg: int = 0) -> np.ndarray:
         ok = x[:, -1] != y[:, -1]
-        m, n = x[ok, -2].byteswap(), y[ok, -2].byteswap()
-        ok[ok] = (np.minimum(m, n) / np.maximum(m, n) >= similarity) & (np.bitwise_count(x[ok, :-2] ^ y[ok, :-2]).sum(axis=1) <= limit)
+        m, n = x[ok, -3], y[ok, -3]
+        ok[ok] = (np.minimum(m, n) / np.maximum(m, n) >= similarity) & (np.bitwise_count(x[ok, :COMPARED] ^ y[ok, :COMPARED]).sum(axis=1) <= limit)
+        a, b = x[ok, COMPARED:-1], y[ok, COMPARED:-1]
+        ok[ok] = (1 + similarity) * _most_common(a, b) >= similarity * (a[:, -2] + b[:, -2]) - 1e-6
+        apart = np.bitwise_count(np.ascontiguousarray(x[ok, :COMPARED] ^ y[ok, :COMPARED]).view(np.uint32))
+        ok[ok] = (apart[:, :seg] > SEGMENT_BUDGET).all(axis=1)  # an earlier segment has the pair already
         return ok
 
     return near
@@ -148,7 +168,7 @@ def _close_rows(similarity: float):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[k].to_pylist()), U).reshape(-1, COMPARED + 2) for k in ("x", "y"))
+            x, y = (np.frombuffer(b"".join(batch[k].to_pylist()), U).reshape(-1, COMPARED + SHAPE + 1) for k in ("x", "y"))
             yield batch.select(["u", "v"]).filter(pa.array(near(x, y)))
 
     return rows
@@ -156,7 +176,7 @@ def _close_rows(similarity: float):
 
 def _payload(group: str):
     word = lambda k: F.unhex(F.lpad(F.hex(k), 16, "0"))
-    return F.concat(F.substring("fp", 1, 8 * COMPARED), word("size"), word(group))
+    return F.concat(F.substring("fp", 1, 8 * COMPARED), "shape", word(group))
 
 
 def _alike(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -177,15 +197,16 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     Texts with one set of shingles go first (the least doc_id stays; rows that share id and text are one document and stay or go together). Texts
     without words are no one's copies and all stay. A row without doc_id comes after those with one. Candidates are pairs within most_bits(similarity)
-    of whose fingerprints one of 16 segments differs in at most three bits; a pair links only if its shingle sets have the similarity. To spare large
+    of whose fingerprints one of 16 segments differs in at most three bits and whose shapes leave the similarity possible; a pair links only if its shingle sets have it. Ties do not
+    arise, and very long texts are compared by all their shingles. An empty table stays empty; columns come back as given, whatever their names. To spare large
     groups most of their pairs, each text is first held against the least one with an equal least hash, and what links so is one group.
     """
     texts = docs.select("doc_id", "text", row_key().alias("row_key"))
-    prints = stored(texts.mapInArrow(_long_prints(shingle), "doc_id long, row_key long, id long, fp binary, size long, stars array<long>"), "long-fingerprints")
+    prints = stored(texts.mapInArrow(_long_prints(shingle), "doc_id long, row_key long, id long, fp binary, size long, stars array<long>, shape binary"), "long-fingerprints")
     empty = F.col("size") == 0
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    nodes = prints.where(~empty).groupBy("id", "size", "stars").agg(F.min(F.struct(order.alias("order"), "fp")).alias("first"))
-    nodes = stored(nodes.select("id", "size", "stars", "first.fp", "first.order.doc_id", "first.order.row_key"), "fingerprint-nodes")
+    nodes = prints.where(~empty).groupBy("id", "size", "stars").agg(F.min(F.struct(order.alias("order"), "fp", "shape")).alias("first"))
+    nodes = stored(nodes.select("id", "size", "stars", "first.fp", "first.shape", "first.order.doc_id", "first.order.row_key"), "fingerprint-nodes")
     rays = nodes.select(F.posexplode("stars").alias("star", "low"), "id", _payload("id").alias("payload"))
     hubs = rays.groupBy("star", "low").agg(F.min(F.struct("id", "payload")).alias("hub"))
     starred = rays.join(hubs, ["star", "low"]).where("id <> hub.id").select(F.col("id").alias("u"), F.col("hub.id").alias("v"), F.col("payload").alias("x"), F.col("hub.payload").alias("y"))
@@ -194,7 +215,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     segment = lambda k: F.shiftleft(F.conv(F.hex(F.substring("fp", 4 * k + 1, 4)), 16, 10).cast("long"), 32)
     items = stored(grouped.select("fp", "id", _payload("group").alias("payload")), "fingerprint-items")
     items = items.select(F.posexplode(F.array(*(segment(k) for k in range(SEGMENTS)))).alias("seg", "key"), "id", "payload")
-    pairs = trie.links(items, SEGMENT_BITS, SEGMENT_BUDGET, SEGMENT_LEAF, _close(similarity), COMPARED + 2, every=True)
+    pairs = trie.links(items, SEGMENT_BITS, SEGMENT_BUDGET, SEGMENT_LEAF, _close(similarity), COMPARED + SHAPE + 1, every=True)
     roots = components(starred.unionByName(_alike(texts, nodes, pairs, shingle, similarity)))
     linked = roots.join(nodes, roots.node == nodes.id)
     first = linked.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.doc_id").alias("keep_id"), F.col("first.row_key").alias("keep_key"))

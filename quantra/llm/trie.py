@@ -155,11 +155,11 @@ def leaf_pairs(leaves: list[tuple[int, int]], budget: int) -> list[tuple[int, in
     return sorted(set(found))
 
 
-def links(items: DataFrame, width: int, budget: int, leaf: int, close: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, payload: int = 0, every: bool = False) -> DataFrame:
+def links(items: DataFrame, width: int, budget: int, leaf: int, close: Callable[[np.ndarray, np.ndarray, int], np.ndarray] | None = None, payload: int = 0, every: bool = False) -> DataFrame:
     """Links (u, v) that join every two items whose keys of one seg differ in at most `budget` bits, as a forest in each task.
 
-    items: (seg int, key long, id long, payload binary); the key is in the high `width` bits. close(x, y), if given, gets the
-    payloads (rows of `payload` 64-bit words) of such pairs and says which to link. every: not a forest, but each such pair (once for each seg).
+    items: (seg int, key long, id long, payload binary); the key is in the high `width` bits. close(x, y, seg), if given, gets the
+    payloads (rows of `payload` 64-bit words) of such pairs and says which to link. every: not a forest, but each such pair (once for each seg, unless close drops it).
     """
     leaves = top(items.select("seg", "key"), width, leaf)
     pairs = leaf_pairs(leaves, budget)
@@ -188,7 +188,7 @@ def links(items: DataFrame, width: int, budget: int, leaf: int, close: Callable[
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[lo : lo + 256]), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["seg", "pair", "side", "key", "id", "payload"])
 
     def join(table: pa.Table) -> pa.Table:
-        sides = []
+        sides, seg = [], table["seg"][0].as_py()
         for side in (0, 1):
             got = table.filter(pa.compute.equal(table["side"], side))
             whole = lambda k, t: np.frombuffer(b"".join(x.as_py() for x in got[k]), t)  # noqa: B023,E731
@@ -209,14 +209,14 @@ def links(items: DataFrame, width: int, budget: int, leaf: int, close: Callable[
                     x, y = i[lo : lo + BLOCK], j[lo : lo + BLOCK]
                     ok = x < y if within else np.ones(len(x), bool)
                     if close is not None:
-                        ok[ok] = close(a[4][x[ok]], b[4][y[ok]])
+                        ok[ok] = close(a[4][x[ok]], b[4][y[ok]], seg)
                     pairs.append((a[3][x[ok]], b[3][y[ok]]))
                 return
             at = j if within else j + n
             apart = forest.label[i] != forest.label[at]  # what is one set already needs no look
             i, j, at = i[apart], j[apart], at[apart]
             if close is not None and len(i):
-                ok = close(a[4][i], b[4][j])
+                ok = close(a[4][i], b[4][j], seg)
                 i, at = i[ok], at[ok]
             if len(i):
                 forest.add(i, at)
