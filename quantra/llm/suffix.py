@@ -2,14 +2,18 @@
 
 Every window of `width` bytes is stood for by its least 64-byte gram (an anchor), so equal windows have equal anchors at equal
 offsets. A count-min sketch of the anchors drops those that occur once. Around each repeated anchor a piece of text, all bytes of the
-windows it stands for, goes to the task of its gram. There, batches of pieces arrive; each gets a sparse suffix array (its anchors in
-the order of gram and text from the anchor on), is merge-scanned against the levels held so far, and enters as a level of its own,
-equal levels merging into one of twice the size. Two pieces of one gram share `fwd` bytes from the anchor on and `back`
-before it: exactly the windows with an anchor offset from width-fwd to back repeat.
+windows it stands for, goes to the task of its gram. There, batches of pieces arrive. Each batch gets a sparse suffix array (its anchors in
+the order of gram and text from the anchor on), is merge-scanned against the levels held so far, and enters as a level of its own;
+levels of equal size merge into one of twice the size.
+
+A scan compares neighbours only. It merges two runs in suffix order, takes the common prefix of each two neighbours, and does the same for the
+texts before the anchors, read backwards. A window with o bytes before its anchor repeats exactly if another piece shares o bytes
+backwards and width - o forwards: pieces between which no neighbours share less lie in one interval of either array, so for each o the
+pieces of one pair of intervals repeat each other. The work is that of the windows, however many pieces share a gram.
 
 Hot groups: pieces that are equal within a block of input are settled there and one of them is sent. Anchors that the sketch counts HOT
-times or more are not sent as text; their windows are compared by a 128-bit digest, one row for each digest and block, so no task holds a
-group of copies.
+times or more are not sent as text; their windows are compared by a 128-bit digest, one row for each digest and block, so no task holds an
+unbounded group.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from quantra.llm import sketch
 from quantra.llm.common import chunks, lists, row_key, stored, text_bytes
 from quantra.llm.texthash import WORD, WORD2, U, fitting, least
 
-GRAM, HOT = 64, 256
+GRAM, HOT = 64, 4096
 PIECE, WINDOW, SETTLED = 0, 1, 2
 SENT = "kind int, h1 long, h2 long, doc_id long, row_key long, at int, n int, off int, settled boolean, body binary, spans array<int>"
 SPANS = "doc_id long, row_key long, spans array<int>"
@@ -132,27 +136,18 @@ def _pieces(width: int, bitmaps, bits: int):
 
 
 class Piece:
-    """A piece of text around an anchor at `off`; its first n bytes begin windows, and `found` are the ones that repeat, as merged runs."""
+    """A piece of text around an anchor at `off`; its first n bytes begin windows, whose marks stand from `place` on in the family's marks."""
 
-    __slots__ = ("body", "found", "full", "gram", "n", "off", "row", "suffix")
+    __slots__ = ("body", "gram", "n", "off", "place", "row")
 
-    def __init__(self, gram: int, body: bytes, off: int, n: int, row, settled: bool) -> None:
-        self.gram, self.body, self.off, self.n, self.row, self.full, self.found = gram, body, off, n, row, settled, []
-        self.suffix = (gram, body[off:])
+    def __init__(self, gram: int, body: bytes, off: int, n: int, row) -> None:
+        self.gram, self.body, self.off, self.n, self.row, self.place = gram, body, off, n, row, 0
 
-    def add(self, lo: int, hi: int) -> None:
-        lo, hi = max(lo, 0), min(hi, self.n - 1)
-        if self.full or lo > hi:
-            return
-        runs = sorted([*self.found, (lo, hi)])
-        merged = [runs[0]]
-        for a, b in runs[1:]:
-            if a <= merged[-1][1] + 1:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        self.found = merged
-        self.full = merged[0] == (0, self.n - 1)
+    def suffix(self) -> tuple[int, bytes]:
+        return self.gram, self.body[self.off :]
+
+    def before(self) -> tuple[int, bytes]:
+        return self.gram, self.body[: self.off][::-1]
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -161,67 +156,81 @@ def _common(a: bytes, b: bytes) -> int:
     return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
 
 
-def match(x: Piece, y: Piece, width: int) -> None:
-    if x.full and y.full:
-        return
-    fwd = _common(x.suffix[1], y.suffix[1])
-    back = _common(x.body[: x.off][::-1], y.body[: y.off][::-1])
-    if back + fwd >= width:
-        for z in (x, y):
-            z.add(z.off - back, z.off - max(0, width - fwd))
+def _shared(keys: list[tuple[int, bytes]]) -> np.ndarray:
+    """Of each key and the one before it, the bytes shared, -1 for another gram."""
+    return np.array([-1, *(_common(x[1], y[1]) if x[0] == y[0] else -1 for x, y in zip(keys, keys[1:]))][: len(keys)], np.int64)
 
 
 class Family:
-    """Levels of suffix arrays: level k is empty or holds what 2**k batches brought."""
+    """Levels of suffix arrays: level k is empty or holds what 2**k batches brought. `compared` counts comparisons of texts."""
 
     def __init__(self, width: int) -> None:
-        self.width, self.levels, self.settled = width, [], []
+        self.width, self.levels, self.marks, self.compared = width, [], np.zeros(0, bool), 0
 
     def insert(self, batch: list[Piece]) -> None:
-        new = sorted(batch, key=lambda p: p.suffix)
-        self._scan(new, None)
+        place = len(self.marks)
+        for p in batch:
+            p.place, place = place, place + p.n
+        self.marks = np.append(self.marks, np.zeros(place - len(self.marks), bool))
+        new = sorted(batch, key=Piece.suffix)
+        self._scan(new)
+        grams = {p.gram for p in new}
         for level in self.levels:
-            if level:
-                self._scan(new, level)
+            known = [p for p in level if p.gram in grams]
+            if known:
+                both = {p.gram for p in known}
+                self._scan(sorted(known + [p for p in new if p.gram in both], key=Piece.suffix))  # two sorted runs: one merging pass
         k = 0
         while k < len(self.levels) and self.levels[k]:
-            new = sorted(self.levels[k] + new, key=lambda p: p.suffix)  # two sorted runs: one merging pass
+            new = sorted(self.levels[k] + new, key=Piece.suffix)
             self.levels[k] = []
             k += 1
         if k == len(self.levels):
             self.levels.append([])
         self.levels[k] = new
 
-    def _scan(self, new: list[Piece], old: list[Piece] | None) -> None:
-        """Match pieces of equal grams, neighbours in suffix order first, as they share most."""
-        grams = np.array([p.gram for p in new])
-        heads = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(new) else np.zeros(0, np.int64)
-        ends = np.append(heads[1:], len(new))
-        if old is None:
-            for lo, hi in zip(heads[ends - heads > 1], ends[ends - heads > 1]):
-                for step in range(1, hi - lo):
-                    for i in range(lo, hi - step):
-                        match(new[i], new[i + step], self.width)
+    def _scan(self, run: list[Piece]) -> None:
+        """Mark the windows that repeat within a run in suffix order."""
+        gram = np.array([p.gram for p in run], np.int64)
+        alone = np.ones(len(run), bool)
+        alone[1:] &= gram[1:] != gram[:-1]
+        alone[:-1] &= gram[1:] != gram[:-1]
+        run = [p for p, x in zip(run, alone.tolist()) if not x]
+        if not run:
             return
-        held = np.array([p.gram for p in old])
-        lefts, rights = np.searchsorted(held, grams[heads]), np.searchsorted(held, grams[heads], side="right")
-        for lo, hi, left, right in zip(heads, ends, lefts, rights):
-            for i in range(lo, hi) if right > left else ():
-                for j in range(left, right):
-                    match(new[i], old[j], self.width)
+        count, back = len(run), sorted(range(len(run)), key=lambda i: run[i].before())
+        fwd_shared, back_shared = _shared([p.suffix() for p in run]), _shared([run[i].before() for i in back])
+        self.compared += 2 * (count - 1)
+        rank = np.empty(count, np.int64)
+        rank[back] = np.arange(count)
+        off, n, place = (np.array([getattr(p, k) for p in run], np.int64) for k in ("off", "n", "place"))
+        for o in range(int((off - n).min()) + 1, int(off.max()) + 1):
+            at = np.flatnonzero((off - n < o) & (o <= off))
+            key = np.cumsum(fwd_shared < self.width - o)[at] * (count + 1) + np.cumsum(back_shared < o)[rank[at]]
+            order = np.argsort(key)
+            same = np.flatnonzero(np.diff(key[order]) == 0)
+            hit = at[order[np.concatenate([same, same + 1])]]
+            self.marks[place[hit] + off[hit] - o] = True
 
     def pieces(self) -> Iterator[Piece]:
         for level in self.levels:
             yield from level
 
+    def spans(self) -> Iterator[tuple[Piece, list[int]]]:
+        """Pieces with windows that repeat, and from, to, ... of the bytes these cover in the piece."""
+        for p in self.pieces():
+            found = np.flatnonzero(np.diff(np.concatenate([[0], self.marks[p.place : p.place + p.n].view(np.int8), [0]])))
+            if p.row and len(found):
+                yield p, (found + np.tile([0, self.width - 1], len(found) // 2)).tolist()
+
 
 def _repeats(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family(width)
         for batch in batches:
             columns = [batch[k].to_pylist() for k in ("h1", "body", "off", "n", "doc_id", "row_key", "at", "settled")]
-            family.insert([Piece(g, body, off, n, None if settled else (doc, key, at), settled) for g, body, off, n, doc, key, at, settled in zip(*columns)])
-        out = [(p.row[0], p.row[1], [x for a, b in p.found for x in (p.row[2] + a, p.row[2] + b + width)]) for p in family.pieces() if p.row and p.found]
+            family.insert([Piece(g, body, off, n, None if settled else (doc, key, at)) for g, body, off, n, doc, key, at, settled in zip(*columns)])
+        out = [(*p.row[:2], [p.row[2] + x for x in spans]) for p, spans in family.spans()]
         for lo in range(0, len(out), 1 << 14):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[lo : lo + (1 << 14)]), (pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["doc_id", "row_key", "spans"])
 

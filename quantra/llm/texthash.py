@@ -91,14 +91,20 @@ def fitting(offsets: np.ndarray, width: int, total: int) -> np.ndarray:
 
 
 def least(keys: np.ndarray, span: int) -> np.ndarray:
-    """For each start with `span` keys from it, the place of the least, the leftmost on ties: content alone decides it."""
+    """For each start with `span` keys from it, the place of the least, the leftmost on ties: content alone decides it.
+
+    Keys are compared by all but their lowest bits, as many as `span` takes; so the order is one for texts of every length.
+    """
     n = len(keys)
     if n < span:
         return np.zeros(0, np.int64)
-    low = U((1 << max(n, 2).bit_length()) - 1)
+    low = U((1 << max(span - 1, 1).bit_length()) - 1)
     padded = np.full(-(-n // span) * span, ~U(0), U)
-    padded[:n] = (keys & ~low) | np.arange(n, dtype=U)
+    padded[:n] = (keys & ~low) | (np.arange(n, dtype=U) % U(span))
     blocks = padded.reshape(-1, span)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return (np.minimum(back[: n - span + 1], ahead[span - 1 : n]) & low).astype(np.int64)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()[span - 1 : n]
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[: n - span + 1]
+    start = np.arange(n - span + 1)
+    left = (back & ~low) <= (ahead & ~low)
+    block = np.where(left, start, start + span - 1) // span * span
+    return block + (np.where(left, back, ahead) & low).astype(np.int64)
