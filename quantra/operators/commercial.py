@@ -94,8 +94,3 @@ def quotation_totals(results: DataFrame, terms: Terms = Terms()) -> DataFrame:
     out = out.withColumn("vat_amount", part("pre_vat_total", terms.vat)).withColumn("grand_total", F.expr("pre_vat_total + vat_amount").cast(MONEY))
     ready = F.expr("flagged_items = 0 AND subtotal > 0")
     return out.withColumn("bid_ready", ready).withColumn("bid_ready_reason", F.when(ready, F.lit("Ready for issue")).otherwise(F.lit("Human review required before issue"))).withColumn("currency", F.lit(terms.currency))
-
-
-def ordered_sections(totals: DataFrame) -> DataFrame:
-    """Sections of a bill by name."""
-    return totals.withColumn("section_ord", F.row_number().over(Window.partitionBy("boq_id").orderBy("section")))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantra.operators import grid, library
+from quantra.operators import grid, library, sinks
 from quantra.plans.queries_library import MERGE_SQL
 from quantra.sources import tables
 from quantra.sources.fixtures import view, with_views
@@ -74,14 +74,86 @@ def a07_adjustments_scan(spark, sf) -> DataFrame:
     return tables.regional_adjustments(raw).select("ordinal", "section", "factor")
 
 
-@query("""
-WITH e AS (SELECT * FROM (VALUES ('nation', 'n_nationkey'), ('nation', 'n_comment'), ('region', 'r_name'), ('region', 'r_comment'), ('part', 'p_name')) AS t(table_name, column_name)),
-a AS (SELECT 'nation' AS table_name, unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS column_name UNION ALL SELECT 'region', unnest(['r_regionkey', 'r_name']) UNION ALL SELECT 'part', unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']))
-SELECT table_name, string_agg(column_name, ',' ORDER BY column_name) AS missing FROM e WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.table_name = e.table_name AND a.column_name = e.column_name) GROUP BY table_name""")
+# Dimension scans from tables with blanks, words for flags and numbers as text.
+
+
+@query("SELECT p_partkey AS ordinal, p_name AS alias, p_type AS canonical_term, p_brand AS section_bias FROM part WHERE p_partkey % 4 <> 0")
+def a02_aliases_scan(spark, sf) -> DataFrame:
+    raw = view(spark, sf, "part").select(F.col("p_partkey").alias("ordinal"), F.expr("CASE p_partkey % 4 WHEN 0 THEN CASE p_partkey % 8 WHEN 0 THEN '' END ELSE p_name END").alias("alias"), F.col("p_type").alias("canonical_term"), F.col("p_brand").alias("section_bias"))
+    return tables.aliases(raw)
+
+
+@query("SELECT p_partkey AS ordinal, p_name AS trigger_text, p_brand AS inferred_section, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE CAST(p_size AS INT) END AS priority FROM part WHERE p_partkey % 5 <> 0")
+def a03_section_rules_scan(spark, sf) -> DataFrame:
+    raw = view(spark, sf, "part").select(F.col("p_partkey").alias("ordinal"), F.expr("CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END").alias("trigger_text"), F.col("p_brand").alias("inferred_section"), F.expr("CASE WHEN p_partkey % 3 = 0 THEN 'high' ELSE CAST(p_size AS STRING) END").alias("priority"))
+    return tables.section_rules(raw)
+
+
+FLAG = "CASE {k} % 4 WHEN 0 THEN '' WHEN 1 THEN 'No' WHEN 2 THEN ' YES ' ELSE '1' END"
+
+
+@query("SELECT s_suppkey AS ordinal, s_name AS input_code, s_suppkey % 4 <> 1 AS active FROM supplier WHERE s_suppkey % 6 <> 0")
+def a04_inputs_scan(spark, sf) -> DataFrame:
+    raw = view(spark, sf, "supplier").select(F.col("s_suppkey").alias("ordinal"), F.expr("CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE s_name END").alias("input_code"), F.expr(FLAG.format(k="s_suppkey")).alias("active"))
+    return tables.buildup_inputs(raw)
+
+
+@query("SELECT o_orderkey AS ordinal, CAST(o_custkey AS VARCHAR) AS recipe_id, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) END AS factor, CASE WHEN o_orderkey % 2 = 0 THEN 0.0 ELSE 0.05 END::DOUBLE AS waste_factor FROM orders WHERE o_orderkey % 7 <> 0")
+def a05_recipes_scan(spark, sf) -> DataFrame:
+    raw = view(spark, sf, "orders").select(F.col("o_orderkey").alias("ordinal"), F.expr("CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_custkey AS STRING) END").alias("recipe_id"), F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 'n/a' ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS STRING) END").alias("factor"), F.expr("CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '0.05' END").alias("waste_factor"))
+    return tables.buildup_recipes(raw)
+
+
+@query("SELECT c_mktsegment AS category, c_name AS text FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 4 <> 1")
+def a08_b04_assumptions(spark, sf) -> DataFrame:
+    raw = view(spark, sf, "customer").select(F.col("c_mktsegment").alias("category"), F.expr("CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END").alias("text"), F.expr(FLAG.format(k="c_custkey")).alias("active"))
+    return sinks.notice_table(tables.notices(raw))
+
+
+@query("SELECT c_custkey AS doc_id, CAST(1 AS INT) AS line_no, 'R1' AS source_reference, concat(c_name, ' | a, \"b\" | ', c_mktsegment) AS text FROM customer UNION ALL SELECT c_custkey, 3, 'R3', c_mktsegment FROM customer WHERE c_custkey % 2 = 0")
+def a13_csv_tender_lines(spark, sf) -> DataFrame:
+    """Each customer as a CSV text of three rows, the second blank."""
+    text = F.concat(F.col("c_name"), F.lit(',"a, ""b""",, '), "c_mktsegment", F.lit("\n,,\n"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise(F.lit("")))
+    return tables.csv_lines(view(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
+
+
+@query("SELECT concat('bill-', o_orderpriority) AS boq_id, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders GROUP BY o_orderpriority")
+def a16_bill_files(spark, sf) -> DataFrame:
+    """A file a priority, read in one job."""
+    base = f"{library.shared_folder(spark)}/bills-{uuid.uuid4().hex}"
+    rows = view(spark, sf, "orders").select("o_orderpriority", "o_custkey")
+    rows.repartition("o_orderpriority").write.partitionBy("o_orderpriority").parquet(base)
+    files = tables.bill_files(spark, base, "o_custkey long", "o_orderpriority=([^/]+)/")
+    return files.groupBy(F.concat(F.lit("bill-"), "boq_id").alias("boq_id")).agg(F.count("*").alias("n"), F.sum("o_custkey").alias("total"))
+
+
+@query("SELECT o_orderpriority AS boq_id, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'second' ELSE 'first' END AS run, count(*) AS n FROM orders GROUP BY ALL")
+def b17_refresh_on_rerun(spark, sf) -> DataFrame:
+    """All bills written once, then two of them again: the others stay as they were."""
+    path = f"{library.shared_folder(spark)}/refreshed-{uuid.uuid4().hex}"
+    rows = view(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("boq_id"))
+    sinks.overwrite_partitions(rows.withColumn("run", F.lit("first")), path, "boq_id")
+    sinks.overwrite_partitions(rows.where("boq_id IN ('1-URGENT', '2-HIGH')").withColumn("run", F.lit("second")), path, "boq_id")
+    return spark.read.parquet(path).groupBy("boq_id", "run").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, c_name, CAST(NULL AS VARCHAR) AS notes FROM customer UNION ALL SELECT s_suppkey, s_name, 'new' FROM supplier")
+def b18_b16_evolving_table(spark, sf) -> DataFrame:
+    """Rows with a column more are appended to a table; older rows have nothing there."""
+    path = f"{library.shared_folder(spark)}/evolving-{uuid.uuid4().hex}"
+    sinks.append_table(view(spark, sf, "customer").select("c_custkey", "c_name"), path)
+    sinks.append_table(view(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.lit("new").alias("notes")), path)
+    return sinks.conform(spark.read.option("mergeSchema", True).parquet(path), [("notes", "string")])
+
+
+@query("SELECT doc_id % 100 AS table_name, string_agg(DISTINCT lang, ',' ORDER BY lang) AS missing FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id % 100 = d.doc_id % 100 AND x.lang = d.lang AND x.n_chars % 3 = 0) AND doc_id % 100 IN (SELECT doc_id % 100 FROM documents WHERE n_chars % 3 = 0) GROUP BY doc_id % 100")
 def e18_m03_schema_gaps(spark, sf) -> DataFrame:
-    expected = spark.createDataFrame([("nation", "n_nationkey"), ("nation", "n_comment"), ("region", "r_name"), ("region", "r_comment"), ("part", "p_name")], "table_name string, column_name string")
-    actual = spark.createDataFrame([(t, c) for t in ("nation", "region", "part") for c in view(spark, sf, t).columns], "table_name string, column_name string")
-    return library.schema_gaps(expected, actual, []).select("table_name", F.array_join("missing", ",").alias("missing"))
+    """What is expected and what is there, from rows of a table: names are numbers, columns are languages."""
+    rows = view(spark, sf, "documents").select((F.col("doc_id") % 100).cast("string").alias("table_name"), F.col("lang").alias("column_name"), "n_chars")
+    actual = rows.where("n_chars % 3 = 0").drop("n_chars").distinct()
+    optional = [r[0] for r in rows.select("table_name").distinct().join(actual.select("table_name").distinct(), "table_name", "left_anti").collect()]  # at most 100 names
+    got = library.schema_gaps(rows.drop("n_chars").distinct(), actual, optional)
+    return got.select(F.col("table_name").cast("long").alias("table_name"), F.array_join("missing", ",").alias("missing"))
 
 
 @query(MERGE_SQL + " SELECT candidate_row_number, reviewer_status, log_label FROM m")

@@ -50,13 +50,35 @@ def regional_adjustments(raw: DataFrame) -> DataFrame:
     return raw.withColumns({"section": F.coalesce(F.nullif("section", F.lit("")), F.lit("*")), "factor": factor.cast("decimal(9,4)"), "active": active("active")})
 
 
+def notices(raw: DataFrame) -> DataFrame:
+    """Assumptions or exclusions with a text that are active."""
+    return raw.where("text IS NOT NULL AND text <> ''").withColumn("active", active("active")).where("active")
+
+
+#: Optional tables and the columns of the empty ones that stand for them.
+OPTIONAL = {
+    "RegionalAdjustments": "ordinal long, region string, section string, factor decimal(9,4), notes string, active boolean",
+    "Assumptions": "text string, category string, active boolean",
+    "Exclusions": "text string, category string, active boolean",
+}
+
+
 def open_tables(spark: SparkSession, names: list[str] | None = None) -> dict[str, DataFrame]:
-    """The required tables of the catalog; the error lists the missing ones by name."""
+    """The required tables of the catalog (the error lists the missing ones by name) and the optional ones, empty where they are missing."""
     names = names or REQUIRED
     missing = sorted(n for n in names if not spark.catalog.tableExists(n))
     if missing:
         raise ValueError(f"missing tables: {', '.join(missing)}")
-    return {n: spark.table(n) for n in names}
+    found = {n: spark.table(n) for n in names}
+    return found | {n: spark.table(n) if spark.catalog.tableExists(n) else spark.createDataFrame([], schema) for n, schema in OPTIONAL.items()}
+
+
+def csv_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of CSV files -> a tender line for each row: its non-blank cells joined by ' | ', with reference R and the row's number from 1. Cells may be quoted."""
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("k", "row")).where("row <> ''")
+    cells = F.transform(F.regexp_extract_all("row", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda c: F.when(c.startswith('"'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    text = F.array_join(F.filter(F.transform(cells, lambda c: clean_text(c)), lambda c: c != ""), " | ")
+    return rows.select("doc_id", (F.col("k") + 1).alias("line_no"), F.concat(F.lit("R"), F.col("k") + 1).alias("source_reference"), text.alias("text")).where("text <> ''")
 
 
 def structured(spark: SparkSession, path: str | None = None, table: str | None = None, database: str | None = None) -> DataFrame:
@@ -79,6 +101,8 @@ def joined_rows(cells: DataFrame, with_sheet: bool = True) -> DataFrame:
     return rows.select("doc_id", F.col("row").alias("line_no"), reference.alias("source_reference"), "text", "sheet_name")
 
 
-def bill_files(spark: SparkSession, folder: str) -> DataFrame:
-    """All cell files of a folder but lock files in one read; the file's name is the bill."""
-    return spark.read.option("pathGlobFilter", "[!~]*.parquet").parquet(folder).withColumn("boq_file", F.col("_metadata.file_name"))
+def bill_files(spark: SparkSession, folder: str, schema: str | None = None, bill: str = r"([^/]+)\.parquet$") -> DataFrame:
+    """All bill files below a folder but lock files in one read; boq_id is what `bill` finds in a file's path, its name by default."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "[!~]*.parquet")
+    rows = (reader.schema(schema) if schema else reader).parquet(folder)
+    return rows.withColumn("boq_id", F.url_decode(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), bill, 1))))  # a path in a URI: encoded once by the writer, once by the URI
