@@ -6,14 +6,13 @@ part makes no key.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantra.functions.text import active, normalize_region, normalize_text, normalize_unit, plain_normalized, safe_number, text
+from quantra.operators.store import checkpointed
 
 # Source column names by field, in order of preference.
 SOURCE_NAMES = {
@@ -121,66 +120,40 @@ def keyed(rows: DataFrame) -> DataFrame:
     return out.withColumn("code_key", F.nullif(F.trim(text(code)), F.lit(""))).withColumn("text_key", F.when((F.col("__both.d") != "") & (F.col("__both.u") != ""), F.concat_ws("|", "__both.d", "__both.u"))).drop("__both")
 
 
-def _sequential(group: pd.DataFrame) -> pd.DataFrame:
-    codes, texts, keep = set(), set(), []
-    for code, words, fixed in zip(group.code_key, group.text_key, group.fixed):
-        stays = bool(fixed) or not (code is not None and code in codes or words is not None and words in texts)
-        keep.append(stays)
-        if stays:
-            codes.add(code)
-            texts.add(words)
-    return pd.DataFrame({"ordinal": group.ordinal, "kept": keep})
-
-
-def greedy_keep(rows: DataFrame, rounds: int = 4) -> DataFrame:
+def greedy_keep(rows: DataFrame) -> DataFrame:
     """(ordinal, kept): a row is a duplicate iff an earlier kept row has its code key or its text key; duplicates register no keys.
 
-    rows: ordinal, code_key, text_key and optionally fixed (kept from the start). Each round keeps the rows that are first among the open ones on both keys and drops
-    open rows that share a key with a kept one; every round is checkpointed. What a few rounds leave open is settled by connected component of shared keys, one
-    sequential task a component: a chain of alternating keys is inherently sequential, and only such chains get there.
+    rows: ordinal, code_key, text_key and optionally fixed (kept from the start). Each round keeps the open rows that are first among the open ones on both keys and drops
+    open rows that share a key with a kept one, until none is open; every round is checkpointed. The first open row of all is always settled, so it ends; a chain of n rows
+    that alternate in both keys takes about n / 2 rounds, as it is inherently sequential. Minima are grouped (partial sums before the shuffle) and joined back, so no key's rows meet in
+    one task.
     """
     if "fixed" not in rows.columns:
         rows = rows.withColumn("fixed", F.lit(False))
-    state = rows.select("ordinal", "code_key", "text_key", "fixed", F.when(F.col("fixed"), F.lit(True)).alias("kept"))
-    state = _cut(state)
-    own = lambda k: Window.partitionBy(F.coalesce(F.col(k), F.concat(F.lit("\x00"), F.col("ordinal"))))  # noqa: E731  rows without the key stand alone
-    for _ in range(rounds):
-        first = lambda k: F.col(k).isNull() | (F.min(F.when(F.col("kept").isNull(), F.col("ordinal"))).over(own(k)) == F.col("ordinal"))
-        beaten = lambda k: F.col(k).isNotNull() & (F.coalesce(F.min(F.when(F.col("kept"), F.col("ordinal"))).over(own(k)), F.lit(1 << 62)) < F.col("ordinal"))
-        fixed = lambda k: F.col(k).isNotNull() & F.coalesce(F.max(F.col("fixed")).over(own(k)), F.lit(False))
-        marked = state.withColumn("__first", first("code_key") & first("text_key"))
-        marked = marked.withColumn("kept", F.when(F.col("kept").isNull() & F.col("__first") & ~fixed("code_key") & ~fixed("text_key"), F.lit(True)).otherwise(F.col("kept"))).drop("__first")
-        state = _cut(marked.withColumn("kept", F.when(F.col("kept").isNull() & (beaten("code_key") | beaten("text_key") | fixed("code_key") | fixed("text_key")), F.lit(False)).otherwise(F.col("kept"))))
-        if state.where("kept IS NULL").isEmpty():
-            return state.select("ordinal", "kept")
-    open_rows = state.where("kept IS NULL")
-    grouped = _cut(open_rows.select("ordinal", "code_key", "text_key", "fixed", F.col("ordinal").alias("part")))
-    while True:
-        least = grouped
-        for k in ("code_key", "text_key"):
-            least = least.withColumn("part", F.min("part").over(own(k)))
-        least = _cut(least.withColumnRenamed("part", "new_part"))
-        moved = least.join(grouped.select("ordinal", "part"), "ordinal").where("part <> new_part").isEmpty()
-        grouped = least.withColumnRenamed("new_part", "part")
-        if moved:
-            break
-    settle = lambda g: _sequential(g.sort_values("ordinal"))
-    done = grouped.groupBy("part").applyInPandas(settle, "ordinal long, kept boolean")
-    return state.where("kept IS NOT NULL").select("ordinal", "kept").unionByName(done)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    state = rows.select("ordinal", "code_key", "text_key", F.when(F.col("fixed"), F.lit(True)).alias("kept"))
+    # keys of rows that are there from the start beat all others, wherever these stand
+    for key in ("code_key", "text_key"):
+        held = state.where(F.col("kept") & F.col(key).isNotNull()).select(key).distinct().withColumn("__held", F.lit(True))
+        state = state.join(held, key, "left").withColumn("kept", F.when(F.col("kept").isNull() & F.col("__held"), F.lit(False)).otherwise(F.col("kept"))).drop("__held")
+    state = checkpointed(state.select("ordinal", "code_key", "text_key", "kept"))
+    done, open_rows = state.where("kept IS NOT NULL").select("ordinal", "kept"), state.where("kept IS NULL").drop("kept")
+    while not open_rows.isEmpty():
+        marked = open_rows
+        for key, name in (("code_key", "c"), ("text_key", "t")):
+            least = open_rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("ordinal").alias(f"__{name}"))
+            marked = marked.join(least, key, "left")
+        first = lambda name: F.coalesce(F.col(f"__{name}") == F.col("ordinal"), F.lit(True))
+        marked = checkpointed(marked.select("ordinal", "code_key", "text_key", (first("c") & first("t")).alias("kept")))
+        kept = marked.where("kept")
+        judged = marked.where("NOT kept")
+        for key, name in (("code_key", "c"), ("text_key", "t")):
+            by = kept.where(F.col(key).isNotNull()).select(key, F.col("ordinal").alias(f"__{name}"))
+            judged = judged.join(by, key, "left")
+        beaten = F.coalesce(F.col("__c") < F.col("ordinal"), F.lit(False)) | F.coalesce(F.col("__t") < F.col("ordinal"), F.lit(False))
+        judged = checkpointed(judged.select("ordinal", "code_key", "text_key", beaten.alias("beaten")))
+        done = checkpointed(done.unionByName(kept.select("ordinal", "kept")).unionByName(judged.where("beaten").select("ordinal", F.lit(False).alias("kept"))))
+        open_rows = judged.where("NOT beaten").drop("beaten")
+    return done
 
 
 def route_import(existing: DataFrame, arriving: DataFrame, mapper: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantra.operators import grid, library, sinks
+from quantra.operators import grid, library, sinks, store
 from quantra.plans.queries_library import MERGE_SQL
+from quantra.plans.sql_pricing import sql_normalized
 from quantra.sources import tables
 from quantra.sources.fixtures import view, with_views
 from quantra.streaming import incremental
@@ -74,6 +75,48 @@ def a07_adjustments_scan(spark, sf) -> DataFrame:
     return tables.regional_adjustments(raw).select("ordinal", "section", "factor")
 
 
+# Sheets with headings, noise, subtotals, gaps and headers that don't name their columns: classes, header scores, inferred columns and lines by rule.
+FIELD_WORDS = {f: "|".join(w) for f, w in grid.HEADERS.items()}
+LEDGER_SQL = f"""WITH {with_views('ledger')}, g AS MATERIALIZED (SELECT boq_id, sheet_name, row, col, trim(value) AS value, {sql_normalized('value')} AS key, TRY_CAST(replace(trim(value), ',', '') AS DOUBLE) IS NOT NULL AS is_num FROM ledger),
+cls AS (SELECT boq_id, sheet_name, CASE WHEN sheet_name = 'Recap' THEN 'summary' WHEN sheet_name = 'Bill' THEN 'boq' WHEN bool_or(row <= 8 AND contains(key, 'summary')) THEN 'summary' ELSE 'boq' END AS classification FROM g GROUP BY boq_id, sheet_name),
+lv AS MATERIALIZED (SELECT g.* FROM g JOIN cls USING (boq_id, sheet_name) WHERE classification = 'boq'),
+br AS (SELECT boq_id, sheet_name, row, {', '.join(f"min(col) FILTER (regexp_matches(key, '{w}')) AS {f}" for f, w in FIELD_WORDS.items())}, sum(CASE WHEN key IN ('item description', 'description', 'particulars', 'qty', 'quantity', 'rate', 'amount') THEN 2.0 ELSE 0.0 END) AS exact, count(*) FILTER (is_num) AS numbers FROM lv GROUP BY boq_id, sheet_name, row),
+sp AS (SELECT boq_id, sheet_name, CAST(unnest(range(1, max(row) + 1)) AS INT) AS row FROM lv GROUP BY boq_id, sheet_name),
+sc AS (SELECT s.boq_id, s.sheet_name, s.row, b.* EXCLUDE (boq_id, sheet_name, row), (CASE WHEN b.description IS NULL THEN 0 ELSE 5 END) + (CASE WHEN b.unit IS NULL THEN 0 ELSE 3 END) + (CASE WHEN b.quantity IS NULL THEN 0 ELSE 3 END) + (CASE WHEN b.rate IS NULL THEN 0 ELSE 3 END) + (CASE WHEN b.amount IS NULL THEN 0 ELSE 3 END)
+  + coalesce(b.exact, 0) + coalesce((SELECT sum(least(n.numbers, 3) * 0.5) FROM br n WHERE n.boq_id = s.boq_id AND n.sheet_name = s.sheet_name AND n.row > s.row AND n.row <= s.row + 4), 0) AS score FROM sp s LEFT JOIN br b USING (boq_id, sheet_name, row) WHERE s.row <= 20),
+hd AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY boq_id, sheet_name ORDER BY score DESC, row) = 1),
+bl AS (SELECT l.*, h.row AS header_row FROM lv l JOIN hd h USING (boq_id, sheet_name) WHERE l.row > h.row AND l.row <= h.row + 8),
+cs AS (SELECT boq_id, sheet_name, col, count(*) FILTER (value <> '') AS texts, count(*) FILTER (is_num) AS numbers, min(row) FILTER (is_num) AS first_row, min(row) FILTER (value <> '') AS first_text, bool_or(key IN ('m2', 'm3', 'nr', 'sum', 'day', 'item', 'ton')) AS has_unit FROM bl GROUP BY boq_id, sheet_name, col),
+nr AS (SELECT *, row_number() OVER (PARTITION BY boq_id, sheet_name ORDER BY numbers DESC, first_row, col) AS place FROM cs WHERE numbers > 0),
+inf AS (SELECT c.boq_id, c.sheet_name, arg_min(c.col, -c.texts * 1000000 + c.first_text * 100 + c.col) AS i_description, min(c.col) FILTER (c.has_unit) AS i_unit, max(n.col) FILTER (n.place = 1) AS i_first, max(n.col) FILTER (n.place = 2) AS i_second FROM cs c LEFT JOIN nr n ON n.boq_id = c.boq_id AND n.sheet_name = c.sheet_name AND n.col = c.col GROUP BY c.boq_id, c.sheet_name),
+mp AS MATERIALIZED (SELECT h.boq_id, h.sheet_name, h.row AS header_row, coalesce(h.description, i.i_description, 1) AS description_col, coalesce(h.unit, i.i_unit) AS unit_col, coalesce(h.quantity, i.i_first) AS quantity_col, coalesce(h.rate, i.i_second) AS rate_col, coalesce(h.amount, i.i_first) AS amount_col FROM hd h LEFT JOIN inf i USING (boq_id, sheet_name)),
+rs AS (SELECT s.boq_id, s.sheet_name, s.row, coalesce(max(l.value) FILTER (l.col = m.description_col), '') AS description, coalesce(max(l.value) FILTER (l.col = m.unit_col), '') AS unit, {', '.join(f"TRY_CAST(replace(max(l.value) FILTER (l.col = m.{c}_col), ',', '') AS DECIMAL(18,4)) AS {c}" for c in ('quantity', 'rate', 'amount'))}
+  FROM (SELECT boq_id, sheet_name, CAST(unnest(range(1, max(row) + 1)) AS INT) AS row FROM lv GROUP BY boq_id, sheet_name) s JOIN mp m USING (boq_id, sheet_name) LEFT JOIN lv l ON l.boq_id = s.boq_id AND l.sheet_name = s.sheet_name AND l.row = s.row WHERE s.row > m.header_row GROUP BY s.boq_id, s.sheet_name, s.row),
+rt AS (SELECT *, {sql_normalized("concat_ws(' ', nullif(description, ''), nullif(unit, ''))")} AS rtext, description = '' AND unit = '' AND coalesce(quantity, 0) = 0 AND coalesce(rate, 0) = 0 AND coalesce(amount, 0) = 0 AS blank, quantity IS NULL AND rate IS NULL AND amount IS NULL AS bare FROM rs),
+rl AS (SELECT *, regexp_matches(rtext, 'subtotal|sub total|carried forward|brought forward') AS is_subtotal, regexp_matches(rtext, 'total|contract sum') AS is_total FROM rt),
+rk AS (SELECT *, NOT blank AND rtext NOT IN ('', 'page', 'continued', 'subtotal', 'sub total', 'total', 'carried forward', 'brought forward', 'sum') AND NOT ((is_subtotal OR is_total) AND bare) AS line FROM rl),
+ri AS (SELECT *, sum(CASE WHEN blank THEN 0 ELSE 1 END) OVER (PARTITION BY boq_id, sheet_name ORDER BY row) AS island, bool_or(line) OVER (PARTITION BY boq_id, sheet_name ORDER BY row) AS seen FROM rk),
+rj AS (SELECT *, sum(CASE WHEN blank THEN 1 ELSE 0 END) OVER (PARTITION BY boq_id, sheet_name, island ORDER BY row) AS streak FROM ri),
+rz AS (SELECT *, bool_or(seen AND blank AND streak >= 5) OVER (PARTITION BY boq_id, sheet_name ORDER BY row) AS stopped FROM rj)"""
+
+
+@query(LEDGER_SQL + " SELECT boq_id, sheet_name, classification FROM cls")
+def f12_ledger_classes(spark, sf) -> DataFrame:
+    return grid.sheet_classes(view(spark, sf, "ledger"))
+
+
+@query(LEDGER_SQL + " SELECT * FROM mp")
+def f05_g04_inferred_columns(spark, sf) -> DataFrame:
+    cells = view(spark, sf, "ledger")
+    return grid.column_maps(cells.join(grid.sheet_classes(cells).where("classification = 'boq'").drop("classification"), ["boq_id", "sheet_name"], "left_semi"))
+
+
+@query(LEDGER_SQL + " SELECT boq_id, sheet_name, row AS row_number, description, unit, quantity, rate, amount, bare AND (regexp_matches(rtext, 'preliminaries|dayworks|earthworks|concrete|finishes|general items|contractor equipment|contractors equipment') OR (description <> '' AND unit = '')) AS is_heading, is_subtotal, is_total, is_subtotal OR is_total AS is_summary_row FROM rz WHERE line AND NOT stopped")
+def g03_c17_c18_ledger_lines(spark, sf) -> DataFrame:
+    none = view(spark, sf, "merged").where("false")
+    return grid.grid_lines(view(spark, sf, "ledger"), none)
+
+
 # Dimension scans from tables with blanks, words for flags and numbers as text.
 
 
@@ -120,7 +163,7 @@ def a13_csv_tender_lines(spark, sf) -> DataFrame:
 @query("SELECT concat('bill-', o_orderpriority) AS boq_id, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders GROUP BY o_orderpriority")
 def a16_bill_files(spark, sf) -> DataFrame:
     """A file a priority, read in one job."""
-    base = f"{library.shared_folder(spark)}/bills-{uuid.uuid4().hex}"
+    base = f"{store.shared_folder(spark)}/bills-{uuid.uuid4().hex}"
     rows = view(spark, sf, "orders").select("o_orderpriority", "o_custkey")
     rows.repartition("o_orderpriority").write.partitionBy("o_orderpriority").parquet(base)
     files = tables.bill_files(spark, base, "o_custkey long", "o_orderpriority=([^/]+)/")
@@ -130,7 +173,7 @@ def a16_bill_files(spark, sf) -> DataFrame:
 @query("SELECT o_orderpriority AS boq_id, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'second' ELSE 'first' END AS run, count(*) AS n FROM orders GROUP BY ALL")
 def b17_refresh_on_rerun(spark, sf) -> DataFrame:
     """All bills written once, then two of them again: the others stay as they were."""
-    path = f"{library.shared_folder(spark)}/refreshed-{uuid.uuid4().hex}"
+    path = f"{store.shared_folder(spark)}/refreshed-{uuid.uuid4().hex}"
     rows = view(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("boq_id"))
     sinks.overwrite_partitions(rows.withColumn("run", F.lit("first")), path, "boq_id")
     sinks.overwrite_partitions(rows.where("boq_id IN ('1-URGENT', '2-HIGH')").withColumn("run", F.lit("second")), path, "boq_id")
@@ -140,7 +183,7 @@ def b17_refresh_on_rerun(spark, sf) -> DataFrame:
 @query("SELECT c_custkey, c_name, CAST(NULL AS VARCHAR) AS notes FROM customer UNION ALL SELECT s_suppkey, s_name, 'new' FROM supplier")
 def b18_b16_evolving_table(spark, sf) -> DataFrame:
     """Rows with a column more are appended to a table; older rows have nothing there."""
-    path = f"{library.shared_folder(spark)}/evolving-{uuid.uuid4().hex}"
+    path = f"{store.shared_folder(spark)}/evolving-{uuid.uuid4().hex}"
     sinks.append_table(view(spark, sf, "customer").select("c_custkey", "c_name"), path)
     sinks.append_table(view(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.lit("new").alias("notes")), path)
     return sinks.conform(spark.read.option("mergeSchema", True).parquet(path), [("notes", "string")])
@@ -158,7 +201,7 @@ def e18_m03_schema_gaps(spark, sf) -> DataFrame:
 
 @query(MERGE_SQL + " SELECT candidate_row_number, reviewer_status, log_label FROM m")
 def k02_decision_stream(spark, sf) -> DataFrame:
-    base = f"{library.shared_folder(spark)}/decisions-{uuid.uuid4().hex}"
+    base = f"{store.shared_folder(spark)}/decisions-{uuid.uuid4().hex}"
     rows = view(spark, sf, "decisions")
     rows.repartitionByRange(4, "event_id").write.parquet(f"{base}/in")
     incremental.apply_decisions(spark, f"{base}/in", rows.schema, f"{base}/out", f"{base}/progress").awaitTermination()

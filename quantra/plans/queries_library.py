@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantra.operators import library
+from quantra.operators import library, store
 from quantra.plans import imports
 from quantra.plans.sql_pricing import sql_normalized, sql_unit
 from quantra.sources import tables
@@ -107,7 +107,7 @@ def f11_d07_import_summary(spark, sf) -> DataFrame:
 WITH {with_views('offers')} SELECT row_number() OVER (ORDER BY ordinal) AS place, trim(Rate_Code) AS item_code, Particulars AS description, region FROM (SELECT *, {REGION_SQL.format(x='County')} AS region FROM offers) WHERE Particulars <> ''""")
 def a10_d03_import_from_csv(spark, sf) -> DataFrame:
     """The source as a CSV file with a header, in its order."""
-    path = f"{library.shared_folder(spark)}/offers-{uuid.uuid4().hex}"
+    path = f"{store.shared_folder(spark)}/offers-{uuid.uuid4().hex}"
     view(spark, sf, "offers").orderBy("ordinal").drop("ordinal").coalesce(1).write.option("header", True).option("emptyValue", "").csv(path)  # one CSV file, as a user has it
     rows = library.to_library(tables.structured(spark, path), "offers.csv")
     return rows.select(F.row_number().over(Window.orderBy("ordinal")).cast("long").alias("place"), "item_code", "description", "region")

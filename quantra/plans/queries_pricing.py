@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quantra.functions import scores
 from quantra.functions import text as X
-from quantra.operators import buildup, commercial, library, matching, sinks
+from quantra.operators import buildup, commercial, matching, sinks, store
 from quantra.plans import pricing
 from quantra.plans.sql_pricing import ALIAS_SQL, BUILD_SQL, COSTS_SQL, HEADINGS_SQL, LCS_SQL, MATCH_SQL, PRICE_SQL, SCORES_SQL, SECTION_SQL, sql_normalized, sql_unit
 from quantra.sources.fixtures import view, with_views
@@ -280,6 +280,6 @@ def b08_unmatched(spark, sf) -> DataFrame:
 @query(f"{PRICE_SQL} {SUGGESTED_SQL} WHERE NOT (decision = 'matched' AND NOT review_flag)")
 def m04_b09_export_unmatched(spark, sf) -> DataFrame:
     """From the suggestions as a run has stored them."""
-    path = f"{library.shared_folder(spark)}/suggestions-{uuid.uuid4().hex}"
+    path = f"{store.shared_folder(spark)}/suggestions-{uuid.uuid4().hex}"
     m01_b02_price(spark, sf).write.parquet(path)
     return sinks.unmatched_from_stored(spark.read.parquet(path))

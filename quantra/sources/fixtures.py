@@ -79,6 +79,16 @@ VIEWS = {
         FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM {orders}) o CROSS JOIN (SELECT 1 AS col UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) c
         UNION ALL SELECT DISTINCT o_custkey, CASE o_custkey % 4 WHEN 0 THEN 'Summary' ELSE concat('Bill ', CAST(o_custkey % 4 AS VARCHAR(2))) END, CAST(2 + o_custkey % 3 AS INT), h.col, h.name
         FROM {orders} CROSS JOIN (SELECT 1 AS col, 'Particulars' AS name UNION ALL SELECT 2, 'UOM' UNION ALL SELECT 3, 'Qty' UNION ALL SELECT 4, 'Unit Rate') h""",
+    "ledger": """
+        SELECT c.o_custkey AS boq_id, CASE c.o_custkey % 5 WHEN 0 THEN 'Recap' WHEN 1 THEN 'Sheet' ELSE 'Bill' END AS sheet_name, CAST(c.k + 2 + c.o_custkey % 3 + CASE WHEN c.o_custkey % 6 = 0 AND c.k > 3 THEN 5 WHEN c.k > 5 THEN 4 ELSE 0 END AS INT) AS row, x.col,
+          CASE x.col WHEN 1 THEN CASE c.o_orderkey % 10 WHEN 0 THEN 'Concrete works' WHEN 1 THEN 'Continued' WHEN 2 THEN 'Subtotal' WHEN 3 THEN 'carried forward' WHEN 4 THEN 'General notes' ELSE concat('supply of item ', CAST(c.o_orderkey AS VARCHAR(12))) END
+            WHEN 2 THEN CASE WHEN c.o_orderkey % 10 < 5 THEN '' WHEN c.o_orderkey % 3 = 0 THEN 'm2' WHEN c.o_orderkey % 3 = 1 THEN 'item' ELSE 'pcs' END
+            WHEN 3 THEN CASE WHEN c.o_orderkey % 10 < 5 THEN '' ELSE CAST(c.o_orderkey % 50 AS VARCHAR(12)) END WHEN 4 THEN CASE WHEN c.o_orderkey % 10 < 5 OR c.o_orderkey % 4 = 0 THEN '' ELSE CAST(CAST(c.o_totalprice AS DECIMAL(18,2)) AS VARCHAR(24)) END
+            ELSE CASE WHEN c.o_orderkey % 10 = 2 THEN '1,250.50' ELSE '' END END AS value
+        FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM {orders}) c CROSS JOIN (SELECT 1 AS col UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) x
+        UNION ALL SELECT DISTINCT o_custkey, CASE o_custkey % 5 WHEN 0 THEN 'Recap' WHEN 1 THEN 'Sheet' ELSE 'Bill' END, CAST(2 + o_custkey % 3 AS INT), h.col, CASE WHEN h.col > 1 AND o_custkey % 7 = 0 THEN concat('x', CAST(h.col AS VARCHAR(2))) ELSE h.name END
+        FROM {orders} CROSS JOIN (SELECT 1 AS col, 'Particulars' AS name UNION ALL SELECT 2, 'UOM' UNION ALL SELECT 3, 'Qty' UNION ALL SELECT 4, 'Unit Rate' UNION ALL SELECT 5, 'Amount') h
+        UNION ALL SELECT DISTINCT o_custkey, 'Sheet', 1, 1, CASE WHEN o_custkey % 2 = 0 THEN 'Quotation summary' ELSE 'Works' END FROM {orders} WHERE o_custkey % 5 = 1""",
     "merged": "SELECT DISTINCT o_custkey AS boq_id, 1 AS min_row, 1 AS max_row, 1 AS min_col, 4 AS max_col, concat('Customer ', CAST(o_custkey AS VARCHAR(12))) AS anchor FROM {orders} WHERE o_custkey % 5 = 0",
 }
 

@@ -15,14 +15,22 @@ from quantra.operators.library import merge_reviews
 
 
 def price_new_bills(spark: SparkSession, folder: str, schema, price: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Each new file of bill lines is priced once; results go to partitions by boq_id, which a replay overwrites."""
+    """Each new file of bill lines is priced once; a batch's results are one partition, which a replay of the batch overwrites. So there are as many folders as
+    batches, however many bills; `priced_bills` reads the last results of each."""
 
-    def batch(lines: DataFrame, _: int) -> None:
-        price(lines).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("boq_id").parquet(out)
+    def batch(lines: DataFrame, number: int) -> None:
+        price(lines).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
 
     return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def priced_bills(spark: SparkSession, out: str) -> DataFrame:
+    """The results of all batches; of a bill that came again, those of its last batch."""
+    rows = spark.read.parquet(out)
+    last = rows.groupBy("boq_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["boq_id", "batch"], "left_semi").drop("batch")
+
+
 def apply_decisions(spark: SparkSession, folder: str, schema, out: str, checkpoint: str) -> StreamingQuery:
     """Review decisions arrive as files; each batch keeps its last decision a candidate in its own partition. `decided` reads them together."""
 
