@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantra.llm.common import chunks, ranges, row_key, scratch, small, text_bytes
+from quantra.llm.common import chunks, frugal, ranges, row_key, scratch, small, text_bytes
 
 SEGMENT_TOKENS = 1 << 20
 END_ID = 2
@@ -145,7 +145,7 @@ class Encoder:
     a special token's string or with odd white space, and all texts of any other kind of vocabulary, are units as a whole.
     """
 
-    KEPT, CHUNK, CALL = 600_000, 4 << 20, 256
+    KEPT, CHUNK, CALL = 300_000, 2 << 20, 256
 
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -266,7 +266,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     key = row_key().alias("row_key")
     ordered = docs.select("doc_id", "text", key).repartitionByRange("doc_id", "row_key").sortWithinPartitions("doc_id", "row_key")
-    ordered.select("doc_id", "text").mapInArrow(_segments(vocabulary, end_id), SEGMENTS).write.option("compression", "zstd").parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(frugal(_segments(vocabulary, end_id)), SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 
 def _part_starts(segments: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
     segments = spark.read.parquet(path)
-    docs = segments.mapInArrow(_documents, "part int, doc_id long, in_part long, n_tokens long, ids_crc32 long")
+    docs = segments.mapInArrow(frugal(_documents), "part int, doc_id long, in_part long, n_tokens long, ids_crc32 long")
     starts = small(_part_starts(segments), 100_000)
     return docs.join(starts, "part").select("doc_id", (F.col("part_start") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32")
 

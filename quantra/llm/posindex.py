@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantra.llm.common import chunks, row_key, scratch, stored, text_bytes, without
+from quantra.llm.common import chunks, frugal, row_key, scratch, stored, text_bytes, without
 from quantra.llm.texthash import ALNUM, LOWER, U, word_hashes, words
 
 SEGMENT_BYTES, BLOCK_BYTES = 2 << 20, 16 << 20
@@ -54,7 +54,7 @@ def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The stored index of docs (doc_id long, text string); null texts are documents without words."""
-    rows = docs.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(_index_rows, INDEX)
+    rows = docs.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(frugal(_index_rows), INDEX)
     if path is None:
         path = f"{scratch(docs.sparkSession).rstrip('/')}/postings-{uuid.uuid4().hex}"
     rows.write.option("compression", "zstd").parquet(path)
@@ -176,7 +176,7 @@ def phrase_hits(index: DataFrame, benchmark: DataFrame, width: int = 13) -> Data
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         shared = spark.sparkContext.broadcast(windows_of(((r.item_id, terms_of(r.text)) for r in part.toLocalIterator()), width))
-        rows = index.select("segment", "firsts", "terms", "starts", "places").mapInArrow(_search(shared), HITS)
+        rows = index.select("segment", "firsts", "terms", "starts", "places").mapInArrow(frugal(_search(shared)), HITS)
         found.append(stored(rows, "hits") if blocks > 1 else rows)
     out = found[0]
     for more in found[1:]:

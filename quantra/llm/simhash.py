@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantra.llm import trie
-from quantra.llm.common import chunks, lists, row_key, small, stored, text_bytes, without
+from quantra.llm.common import chunks, frugal, lists, row_key, small, stored, text_bytes, without
 from quantra.llm.components import components
 from quantra.llm.texthash import LOWER, SEQUENCE, SPACED, U, mix, word_hashes, words
 
@@ -185,7 +185,7 @@ def _alike(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, s
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     wanted = small(stored(nodes.join(ids, "id").select("id", F.col("doc_id").alias("at_id"), F.col("row_key").alias("at_key")), "near-rows"), 100_000)
     found = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.at_id) & (texts.row_key == wanted.at_key)).select("id", "text")
-    sets = stored(found.mapInArrow(_shingle_sets(shingle), "id long, shingles array<long>"), "shingle-sets").dropDuplicates(["id"])
+    sets = stored(found.mapInArrow(frugal(_shingle_sets(shingle)), "id long, shingles array<long>"), "shingle-sets").dropDuplicates(["id"])
     side = lambda k, name: sets.select(F.col("id").alias(k), F.col("shingles").alias(name))
     common = F.size(F.array_intersect("x", "y"))
     both = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v")
@@ -202,7 +202,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     groups most of their pairs, each text is first held against the least one with an equal least hash, and what links so is one group.
     """
     texts = docs.select("doc_id", "text", row_key().alias("row_key"))
-    prints = stored(texts.mapInArrow(_long_prints(shingle), "doc_id long, row_key long, id long, fp binary, size long, stars array<long>, shape binary"), "long-fingerprints")
+    prints = stored(texts.mapInArrow(frugal(_long_prints(shingle)), "doc_id long, row_key long, id long, fp binary, size long, stars array<long>, shape binary"), "long-fingerprints")
     empty = F.col("size") == 0
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     nodes = prints.where(~empty).groupBy("id", "size", "stars").agg(F.min(F.struct(order.alias("order"), "fp", "shape")).alias("first"))

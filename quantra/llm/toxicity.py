@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantra.llm.common import chunks, stored, text_bytes
+from quantra.llm.common import chunks, frugal, stored, text_bytes
 from quantra.llm.texthash import ALNUM, LOWER, WORD, U, mix, words
 
-BITS = 22
+BITS = 20
 #: Bound on the labelled rows used from each class.
 SAMPLE = 8000
 ROUNDS = 6
@@ -121,7 +121,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tu
         wanted |= (F.col("label") == label) & (draw < min(1.0, sample / n))
     chosen = F.broadcast(known.where(wanted))  # about `sample` rows a label
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(chosen, "doc_id")
-    rows = rows.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(_feature_rows, "doc_id long, label int, places binary")
+    rows = rows.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(frugal(_feature_rows), "doc_id long, label int, places binary")
     return train(stored(rows, "toxicity-sample"))
 
 
@@ -154,7 +154,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     rows every score is 0.5. Repeated rows score alike, ties stay ties, and an empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, sample))
-    scored = docs.select("doc_id", "text").mapInArrow(_scores(model), "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(frugal(_scores(model)), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -175,7 +175,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sampl
             (got,) = score(iter([pa.RecordBatch.from_arrays([batch["text"]], ["text"])]))
             yield batch.filter(pa.array(got["score"].to_numpy() < threshold))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(frugal(rows), docs.schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantra.llm.common import ranges
+from quantra.llm.common import frugal, ranges, released
 from quantra.llm.texthash import U
 
 BUCKET, FRONTIER, PAIRS, BLOCK = 16, 1 << 17, 1 << 20, 1 << 16
@@ -245,4 +245,10 @@ def links(items: DataFrame, width: int, budget: int, leaf: int, close: Callable[
         below, root = forest.links()
         return pa.table([pa.array(ids[below]), pa.array(ids[root])], ["u", "v"])
 
-    return items.select("seg", "key", "id", "payload").mapInArrow(deal, "seg int, pair int, side int, key binary, id binary, payload binary").groupBy("seg", "pair").applyInArrow(join, "u long, v long")
+    def joined(table: pa.Table) -> pa.Table:
+        try:
+            return join(table)
+        finally:
+            released()
+
+    return items.select("seg", "key", "id", "payload").mapInArrow(frugal(deal), "seg int, pair int, side int, key binary, id binary, payload binary").groupBy("seg", "pair").applyInArrow(joined, "u long, v long")
