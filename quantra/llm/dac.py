@@ -286,7 +286,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files: rows as they were written, repeated ones and those without doc_id too; files without documents give none."""
     segments = spark.read.parquet(path)
     docs = segments.mapInArrow(frugal(_documents), "part int, doc_id long, in_part long, n_tokens long, ids_crc32 long")
     starts = small(_part_starts(segments), 100_000)
@@ -325,7 +325,11 @@ def tokens_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
 
 
 def token_table(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Write the token files of docs (in the shared folder unless a path is given) and read their documents back."""
+    """Write the token files of docs (in the shared folder unless a path is given) and read their documents back.
+
+    A null or empty text is its end id; a very long one is a segment of its own; repeated rows each have their place, ties of doc_id in the order of the texts' hashes, rows without
+    doc_id first. An empty table gives an empty result. Other columns are ignored, whatever their names.
+    """
     spark = docs.sparkSession
     path = path or f"{scratch(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path)

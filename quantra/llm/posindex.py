@@ -222,7 +222,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
-    """docs without the contaminated rows; columns as given."""
+    """docs without the contaminated rows; columns as given, whatever their names.
+
+    Null and empty texts stay; a very long text is judged by all its words; repeated rows stay or go together; rows without doc_id are judged like any other. An empty table or
+    benchmark changes nothing.
+    """
     return without(docs, contamination(docs, benchmark, width, share).where("contaminated"))
 
 

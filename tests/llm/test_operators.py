@@ -620,3 +620,34 @@ def test_words_and_sampling():
 def test_registry():
     assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11)) and set(ORACLES) <= set(QUERIES)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_registered_queries_on_written_tables(spark, tmp_path):
+    docs = [(i, t, f"s{(i or 0) % 3}") for i, t in ROWS]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    item = " ".join(split(ROWS[14][1])[20:50])
+    spark.createDataFrame([(7, item), (8, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, int(i % 2)) for i in range(12)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    run = lambda name: [r for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    hex_of = lambda raw: hashlib.sha256(raw).hexdigest()
+    prints = run("op3_simhash_near_dedup")
+    assert sorted((str(r.doc_id), r.fingerprint) for r in prints) == sorted((str(i), f"{brute_print(t):016x}") for i, t in ROWS)
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    same([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in run("op4_substring_dedup")], [(r.doc_id, r.n_words, r.n_removed, hex_of(r.kept.encode())) for r in substring.dedup_substrings(table).collect()])
+    same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run("op6_suffix_dedup")], [(*r[:4], hex_of(bytes(r.kept))) for r in suffix.dedup_bytes(table).collect()])
+    seven = {(r.doc_id, r.n_words): r for r in run("op7_decontamination")}
+    assert seven[14, 200].contaminated and seven[14, 200].n_hit == 30 and seven[14, 200].items_sha256 == hex_of(b"7") and seven[3, 1].items_sha256 == hex_of(b"")
+    tokens = sorted(run("op5_token_output"), key=lambda r: r.start)
+    assert len(tokens) == len(ROWS) and [r.start for r in tokens] == [0, *np.cumsum([r.n_tokens for r in tokens])[:-1]]
+    sizes = run("op8_mixing")
+    assert all(r["size"] == len(split(dict(ROWS).get(r.doc_id))) or r.doc_id in (None, 6, 14) for r in sizes) and all(r.taken <= 2 * r["size"] for r in sizes)
+    ten = run("op10_toxicity")
+    assert len(ten) == len(ROWS) and all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in ten)
+    assert len(run("op2_pii_surrogates")) == len(ROWS)
+
+
+def test_filter_judges_odd_urls(spark):
+    rows = [(None, "http://example.com/en/a"), (1, None), (2, ""), (3, "no scheme"), (4, "http://example.com/en/" + "x" * 200_000), (5, "http://EXAMPLE.com?q"), (5, "http://EXAMPLE.com?q")]
+    pages = spark.createDataFrame([(*r, "v") for r in rows], "page_id long, url string, verdict string")
+    got = sorted((str(r.page_id), r.verdict, r.rule) for r in cascade.judge(pages, spark.createDataFrame(list(cascade.RULES), "rule string, verdict string")).collect())
+    assert [x[0] for x in got] == sorted(str(i) for i, _ in rows) and {x[0] for x in got if x[1] == "block"} == {"None", "4"} and {x[2] for x in got if x[0] in "123"} == {None}

@@ -39,3 +39,26 @@ def test_stages_take_effect(spark, tmp_path):
     assert all(x.n_tokens == len(tokenizer.encode(texts[x.doc_id]).ids) + 1 for x in left.collect())
     again = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
     assert again == sorted(map(tuple, left.collect()))
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    r = random.Random(6)
+    say = lambda n: " ".join(f"w{r.randrange(900)}" for _ in range(n))
+    rows = [(i, say(40), "s", "x", "y", 1.0) for i in range(30)] + [(100, None, "s", None, None, None), (101, "", None, "x", "y", 1.0), (None, say(30), "s", "x", "y", 1.0), (102, say(60_000), "s", "x", "y", 1.0)]
+    rows += [rows[0], rows[0], (103, "one", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row_key string, fp string, score double")
+    none = {"labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for name, columns in none.items():
+        spark.createDataFrame([], columns).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for k, table in enumerate((docs, docs.limit(0))):
+        left = table
+        for name, stage in corpus_pipeline.STAGES:
+            path = str(tmp_path / f"{k}-{name}")
+            stage(spark, left, str(tmp_path)).write.parquet(path)
+            left = spark.read.parquet(path)
+            if name != "token_output":
+                assert left.columns == docs.columns
+            if name in ("toxicity", "decontamination") or k:
+                assert left.count() == (len(rows) if name == "toxicity" and not k else left.count()) and (not k or left.isEmpty())
+        if not k:
+            assert {None, 101, 102, 103} - {x.doc_id for x in left.collect()} <= {None, 101, 103}
