@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantra.operators import grid, library, sinks, store
+from quantra.plans import pricing
 from quantra.plans.queries_library import MERGE_SQL
+from quantra.plans.queries_pricing import ORACLES as ORACLES_OF_PRICING
 from quantra.plans.sql_pricing import sql_normalized
 from quantra.sources import tables
 from quantra.sources.fixtures import view, with_views
@@ -199,6 +201,31 @@ def e18_m03_schema_gaps(spark, sf) -> DataFrame:
     return got.select(F.col("table_name").cast("long").alias("table_name"), F.array_join("missing", ",").alias("missing"))
 
 
+@query(ORACLES_OF_PRICING["m02_batch_quotations"])
+def k01_price_stream(spark, sf) -> DataFrame:
+    """Bills that arrive as files, priced by a stream; a bill is in one file."""
+    base = f"{store.shared_folder(spark)}/bills-{uuid.uuid4().hex}"
+    lines, rates, adjustments = (view(spark, sf, x) for x in ("coded_lines", "library", "adjustments"))
+    lines.repartition(4, "boq_id").write.parquet(f"{base}/in")
+    incremental.price_new_bills(spark, f"{base}/in", lines.schema, lambda new: pricing.quote_by_code(new, rates, adjustments), f"{base}/out", f"{base}/progress").awaitTermination()
+    return incremental.priced_bills(spark, f"{base}/out")
+
+
+OPENED = {"RateLibrary": "library", "Aliases": "aliases", "SectionRules": "rules", "BuildUpInputs": "inputs", "BuildUpRecipes": "recipes", "Controls": "supplier", "CandidateMatches": "candidates", "ReviewLog": "decisions"}
+
+
+@query(f"WITH {with_views(*OPENED.values())} " + " UNION ALL ".join([*(f"SELECT '{n}' AS name, count(*) AS n FROM {t}" for n, t in OPENED.items()), *(f"SELECT '{n}', 0" for n in tables.OPTIONAL)]))
+def a09_open_tables(spark, sf) -> DataFrame:
+    """The rows of a database's tables; optional ones that are missing are empty."""
+    for name, source in OPENED.items():
+        view(spark, sf, source).createOrReplaceTempView(name)
+    found, out = tables.open_tables(spark), None
+    for name, df in found.items():
+        rows = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(MERGE_SQL + " SELECT candidate_row_number, reviewer_status, log_label FROM m")
 def k02_decision_stream(spark, sf) -> DataFrame:
     base = f"{store.shared_folder(spark)}/decisions-{uuid.uuid4().hex}"
