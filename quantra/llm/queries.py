@@ -5,6 +5,7 @@ from __future__ import annotations
 from quantra.llm.cascade import OP9_SQL, op9_url_filter
 from quantra.llm.dac import op5_token_output
 from quantra.llm.mixing import op8_mixing
+from quantra.llm.negatives import OP12_SQL, op12_hard_negatives
 from quantra.llm.posindex import op7_decontamination
 from quantra.llm.simhash import op3_simhash_near_dedup
 from quantra.llm.substring import op4_substring_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op1_vector_top_k": OP1_SQL, "op9_url_filter": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_vector_top_k": OP1_SQL, "op9_url_filter": OP9_SQL, "op12_hard_negatives": OP12_SQL}
