@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quantra.llm.cascade import OP9_SQL, op9_url_filter
 from quantra.llm.dac import op5_token_output
+from quantra.llm.gridcells import OP13_SQL, op13_vector_codes
 from quantra.llm.mixing import op8_mixing
 from quantra.llm.negatives import OP12_SQL, op12_hard_negatives
 from quantra.llm.posindex import op7_decontamination
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLES: dict[str, str] = {"op1_vector_top_k": OP1_SQL, "op9_url_filter": OP9_SQL, "op12_hard_negatives": OP12_SQL}
+ORACLES: dict[str, str] = {"op1_vector_top_k": OP1_SQL, "op9_url_filter": OP9_SQL, "op12_hard_negatives": OP12_SQL, "op13_vector_codes": OP13_SQL}
