@@ -8,6 +8,7 @@ from quantra.llm.gridcells import OP13_SQL, op13_vector_codes
 from quantra.llm.mixing import op8_mixing
 from quantra.llm.negatives import OP12_SQL, op12_hard_negatives
 from quantra.llm.posindex import op7_decontamination
+from quantra.llm.quality import op11_quality_rules
 from quantra.llm.simhash import op3_simhash_near_dedup
 from quantra.llm.substring import op4_substring_dedup
 from quantra.llm.suffix import op6_suffix_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_quality_rules": op11_quality_rules,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_vector_codes": op13_vector_codes,
 }
