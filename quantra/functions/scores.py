@@ -1,16 +1,21 @@
 """String scores 0-100 (L01-L03) over the longest common subsequence, for distinct pairs.
 
-ratio(a, b) = 200 lcs / (|a| + |b|), 100 for two empty texts. The three scores of a pair come from one vectorised function; sorting
-tokens and building the token sets are done in Spark on each side or pair.
+ratio(a, b) = 200 lcs / (|a| + |b|), 100 for two empty texts. Pairs are scored in batches: a pair, or a pair and a window, is a lane of numpy arrays of 64-bit words, and
+one step takes the next character of every lane. Sorting tokens and building the token sets are done in Spark on each side or pair. `lcs`, `ratio` and `partial` say
+the same for one pair, in plain Python.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Lanes of one step at most, so that a task's arrays are bounded however many pairs a batch has.
+LANES = 1 << 16
+
 
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, a bit vector a row (Hyyrö 2004)."""
@@ -64,14 +69,135 @@ def partial(a: str, b: str) -> float:
     return best
 
 
+class Texts:
+    """Distinct texts as character codes (`kinds` of them), one after another, and where each starts; `places` are the bit masks of a text's characters, a word for 64 of them."""
+
+    def __init__(self, texts: list[str]) -> None:
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        self.length = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.start = np.cumsum(self.length) - self.length
+        seen = np.zeros(int(points.max(initial=0)) + 1, bool)
+        seen[points] = True
+        self.kinds = max(1, int(seen.sum()))
+        self.flat = (np.cumsum(seen) - 1)[points]
+        back = np.repeat(2 * self.start + self.length - 1, self.length) - np.arange(len(points))
+        self.backward = self.flat[back]
+        self._places: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
+
+    def places(self, a: np.ndarray, reverse: bool = False) -> np.ndarray:
+        """places[word][text * kinds + character], made for the texts in a and those asked for before."""
+        if reverse not in self._places:
+            self._places[reverse] = np.zeros((-(-int(self.length.max(initial=1)) // 64), len(self.length) * self.kinds), np.uint64), np.zeros(len(self.length), bool)
+        out, made = self._places[reverse]
+        wanted = np.zeros(len(made), bool)
+        wanted[a] = True
+        new = np.flatnonzero(wanted & ~made)
+        new = new[np.argsort(-self.length[new], kind="stable")]
+        made[new] = True
+        flat, length = self.backward if reverse else self.flat, -self.length[new]
+        for k in range(int(-length.min(initial=0))):
+            own = new[: np.searchsorted(length, -k, side="left")]
+            out[k // 64][own * self.kinds + flat[self.start[own] + k]] |= np.uint64(1 << k % 64)
+        return out
+
+    def common(self, a: np.ndarray, start: np.ndarray, length: np.ndarray, reverse: bool = False, growing: bool = False) -> np.ndarray:
+        """For each lane the longest common subsequence of text a with `length` codes from `start` on (of the texts written backward if reverse). growing: instead the best ratio of the whole text a with any beginning of these."""
+        out = np.zeros(len(a), np.float64 if growing else np.int64)
+        size = self.length[a]
+        for words in np.unique((size + 63) // 64):  # texts of as many words together
+            own = np.flatnonzero((size + 63) // 64 == words)
+            if not words:
+                continue
+            for lo in range(0, len(own), LANES):
+                part = own[lo : lo + LANES]
+                part = part[np.argsort(-length[part], kind="stable")]  # lanes that are done are at the end
+                out[part] = self._lanes(int(words), a[part], start[part], length[part], reverse, growing)
+        return out
+
+    def _lanes(self, words: int, a: np.ndarray, start: np.ndarray, length: np.ndarray, reverse: bool, growing: bool) -> np.ndarray:
+        flat, places, base = self.backward if reverse else self.flat, self.places(a, reverse), a * self.kinds
+        size = self.length[a]
+        rows = [np.full(len(a), ~np.uint64(0)) for _ in range(words)]
+        used = [np.where(size >= 64 * (w + 1), ~np.uint64(0), (np.uint64(1) << np.clip(size - 64 * w, 0, 63).astype(np.uint64)) - np.uint64(1)) for w in range(words)]
+        best = np.zeros(len(a))
+        live = np.searchsorted(-length, -np.arange(1, int(length.max(initial=0)) + 1), side="right")  # lanes with at least so many codes
+        for k, n in enumerate(live.tolist()):
+            at, carry = base[:n] + flat[start[:n] + k], None
+            for w in range(words):
+                row = rows[w][:n]
+                hit = row & places[w][at]
+                total = row + hit
+                if w + 1 < words or carry is not None:
+                    over = total < row
+                    if carry is not None:
+                        total += carry
+                        over |= total < carry
+                    carry = over.astype(np.uint64)
+                rows[w][:n] = total | (row - hit)
+            if growing:
+                same = size[:n] - sum(np.bitwise_count(rows[w][:n] & used[w][:n]).astype(np.int64) for w in range(words))
+                np.maximum(best[:n], 200.0 * same / (size[:n] + k + 1), out=best[:n])
+        return best if growing else size - sum(np.bitwise_count(r & u).astype(np.int64) for r, u in zip(rows, used))
+
+
+def _distinct(a, b) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct texts of both sides, and each side's places among them."""
+    codes, texts = pd.factorize(np.concatenate([np.asarray(a, object), np.asarray(b, object)]))
+    return texts.tolist(), codes[: len(a)], codes[len(a) :]
+
+
+def ratios(a, b) -> np.ndarray:
+    """ratio of every pair of two lists."""
+    texts, left, right = _distinct(a, b)
+    return ratios_of(Texts(texts), left, right)
+
+
+def ratios_of(table: Texts, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    swap = table.length[left] > table.length[right]
+    short, long = np.where(swap, right, left), np.where(swap, left, right)
+    total = table.length[left] + table.length[right]
+    same = np.where(left == right, table.length[left], -1)
+    open_pairs = np.flatnonzero(same < 0)
+    same[open_pairs] = table.common(short[open_pairs], table.start[long[open_pairs]], table.length[long[open_pairs]])
+    return np.where(total > 0, 200.0 * same / np.maximum(total, 1), 100.0)
+
+
+def partials(a, b) -> np.ndarray:
+    """partial of every pair of two lists. A pair whose shorter text lies in the longer one is done with that; the others take a lane for each window."""
+    texts, left, right = _distinct(a, b)
+    table = Texts(texts)
+    swap = table.length[left] > table.length[right]
+    short, long = np.where(swap, right, left), np.where(swap, left, right)
+    n, m = table.length[short], table.length[long]
+    out = np.where(n == 0, np.where(m == 0, 100.0, 0.0), 0.0)
+    inside = np.fromiter((texts[x] in texts[y] for x, y in zip(short.tolist(), long.tolist())), bool, len(short))
+    out[inside & (n > 0)] = 100.0
+    at = np.flatnonzero(~inside & (n > 0))
+    for lo in range(0, len(at), LANES >> 4):
+        i = at[lo : lo + (LANES >> 4)]
+        count = m[i] - n[i] + 1
+        lane = np.repeat(np.arange(len(i)), count)
+        shift = np.arange(len(lane)) - np.repeat(np.cumsum(count) - count, count)
+        same = table.common(short[i][lane], table.start[long[i]][lane] + shift, n[i][lane])
+        best = 100.0 * np.maximum.reduceat(same, np.cumsum(count) - count) / n[i]
+        sides = [(short[i], long[i], np.arange(len(i)))]
+        if (even := np.flatnonzero(n[i] == m[i])).size:
+            sides.append((long[i][even], short[i][even], even))
+        for x, y, to in sides:
+            for reverse in (False, True):
+                np.maximum.at(best, to, table.common(x, table.start[y], np.minimum(n[i][to] - 1, table.length[y]), reverse, True))
+        out[i] = best
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio_of(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(ratios(a, b))
 
 
 @F.pandas_udf(T.DoubleType())
 def partial_of(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([partial(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(partials(a, b))
 
 
 def _tokens(x: Column) -> Column:

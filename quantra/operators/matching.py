@@ -1,10 +1,9 @@
 """Section inference and fuzzy matching of bill lines to a rate library.
 
 The text scores depend on two texts alone, and everything else on a few attributes of the line. So lines are reduced to distinct match keys, items to
-distinct texts, and only distinct text pairs are scored (in Arrow batches). Items of one text differ in their bonuses alone: of those that share the
-section, region and unit a key asks for (each or any of the three), only the first few by hint and table order can be among its best. So a key meets a
-bounded number of items a text, whatever the size of the library, and texts that cannot reach a key's best are left out by their bounds. All of
-this is exact. `blocked` scores only pairs of texts that share a word instead of all pairs; a query states what that finds.
+distinct texts, and textindex.py finds for each key the texts that can hold one of its best items, by bounds that are read best first; no text meets all the others. Items of one
+text differ in their bonuses alone: of those that share the section, region and unit a key asks for (each or any of the three), only the first few by
+hint and table order can be among its best. So a key meets a bounded number of items a text, whatever the size of the library. All of this is exact.
 """
 
 from __future__ import annotations
@@ -14,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantra.functions.scores import partial_of, token_set, token_sort
 from quantra.functions.text import let, normalize_text, normalize_unit, sheet_section
+from quantra.operators.textindex import Costs, reachable_texts
 
 
 @dataclass(frozen=True)
@@ -72,22 +71,6 @@ def apply_aliases(lines: DataFrame, aliases: DataFrame, column: str = "descripti
     return done.withColumn("query", F.col("__done.t")).withColumn("alias_hits", F.col("__done.h")).drop("__aliases", "__done")
 
 
-def text_pairs(queries: DataFrame, items: DataFrame, blocked: bool = False) -> DataFrame:
-    """(query, item_text): all distinct pairs, or only those that share a word."""
-    left, right = queries.select("query").distinct(), items.select("item_text").distinct()
-    if not blocked:
-        return left.crossJoin(right)
-    words = lambda x: F.explode(F.array_distinct(F.filter(F.split(x, " +"), lambda w: w != ""))).alias("word")
-    return left.select("query", words("query")).join(right.select("item_text", words("item_text")), "word").select("query", "item_text").distinct()
-
-
-def text_scores(queries: DataFrame, items: DataFrame, blocked: bool = False) -> DataFrame:
-    """(query, item_text, text_score, sort_score, partial_score, set_score) for the distinct pairs."""
-    a, b = F.col("query"), F.col("item_text")
-    scored = text_pairs(queries, items, blocked).select("query", "item_text", token_sort(a, b).alias("sort_score"), partial_of(a, b).alias("partial_score"), token_set(a, b).alias("set_score"))
-    return scored.withColumn("text_score", F.expr("sort_score * 0.45D + partial_score * 0.20D + set_score * 0.35D"))
-
-
 #: A key's best item and its alternates.
 PLACES, ANY = 4, "\x00"
 
@@ -100,29 +83,18 @@ def leading_items(items: DataFrame) -> DataFrame:
     return wide.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PLACES).select("item_text", "at_section", "at_region", "at_unit", "ordinal")
 
 
-def reachable(texts: DataFrame, items: DataFrame, weights: Weights) -> DataFrame:
-    """texts without those whose best possible score is under what PLACES items of another text have at least."""
-    turn = F.row_number().over(Window.partitionBy("item_text").orderBy(F.desc("confidence_hint"), "ordinal"))
-    bounds = items.withColumn("turn", turn).where(F.col("turn") <= PLACES).groupBy("item_text").agg(F.max("confidence_hint").alias("most"), F.max(F.when(F.col("turn") == PLACES, F.col("confidence_hint"))).alias("least"))
-    bounded = texts.join(bounds, "item_text")
-    floor = F.max(F.col("text_score") - weights.unit_penalty * 1.25 + F.col("least")).over(Window.partitionBy("query"))
-    top = F.col("text_score") + F.lit(float(weights.section + weights.region + weights.unit)) + F.col("most")
-    return bounded.withColumn("floor", floor).where(F.col("floor").isNull() | (top >= F.col("floor") - 1e-6)).select(*texts.columns)
-
-
-def candidate_items(keys: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
-    """keys with the texts' scores and the ordinals of all items that can be among their best PLACES."""
-    met = keys.join(texts, "query")
+def candidate_items(met: DataFrame, items: DataFrame) -> DataFrame:
+    """met (keys with an item_text and its scores) with the ordinals of all items that can be among a key's best PLACES."""
+    columns = [c for c in met.columns if c != "item_text"]
     levels = lambda c, *more: F.explode(F.array_distinct(F.array(c, *more, F.lit(ANY))))
     met = met.withColumn("at_section", levels(F.lower("inferred_section"))).withColumn("at_region", levels(F.lower("region"))).withColumn("at_unit", levels(F.col("line_unit"), F.lit("")))
-    columns = [*keys.columns, *(c for c in texts.columns if c != "query")]
-    return met.join(leading_items(items), ["item_text", "at_section", "at_region", "at_unit"]).select(*columns, "ordinal").distinct()
+    return met.join(leading_items(items), ["item_text", "at_section", "at_region", "at_unit"]).select(*columns, "item_text", "ordinal").distinct()
 
 
 KEYS = ["query", "inferred_section", "region", "line_unit", "alias_count", "alias_section"]
 
 
-def best_matches(lines: DataFrame, library: DataFrame, weights: Weights = Weights(), blocked: bool = False) -> DataFrame:
+def best_matches(lines: DataFrame, library: DataFrame, weights: Weights = Weights()) -> DataFrame:
     """One row a line with its best active item, up to three alternates and the decision.
 
     lines: query, alias_hits (apply_aliases), inferred_section, unit, region. score = text score + section, region, unit and alias bonuses - 1.25 penalty for
@@ -132,8 +104,9 @@ def best_matches(lines: DataFrame, library: DataFrame, weights: Weights = Weight
     same = F.filter("alias_hits", lambda h: (h["b"] != "") & (F.col("inferred_section") != "") & (F.lower(h["b"]) == F.lower("inferred_section")))
     keyed = lines.withColumn("line_unit", normalize_unit("unit")).withColumn("alias_count", F.least(F.size("alias_hits"), F.lit(2))).withColumn("alias_section", F.size(same) > 0)
     keys = keyed.select(*KEYS).distinct()
-    texts = reachable(text_scores(keys, items, blocked), items, weights)
-    product = candidate_items(keys, texts, items).join(items.drop("item_text"), "ordinal")
+    costs = Costs(weights.section, weights.region, weights.unit, weights.unit_penalty * 1.25, weights.alias, weights.review)
+    met = reachable_texts(keys, items, costs, PLACES).withColumn("text_score", F.expr("sort_score * 0.45D + partial_score * 0.20D + set_score * 0.35D"))
+    product = candidate_items(met, items).join(items.drop("item_text"), "ordinal")
     both_sections = (F.col("inferred_section") != "") & (F.col("item_section") != "")
     section_same = both_sections & (F.lower("inferred_section") == F.lower("item_section"))
     region_same = (F.col("region") != "") & (F.col("item_region") != "") & (F.lower("region") == F.lower("item_region"))
