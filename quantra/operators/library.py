@@ -1,4 +1,4 @@
-"""Rate library maintenance: import, deduplicate, review, promote.
+"""Rate library maintenance: import, deduplicate, review, merge (D03, D05-D08, D16, E14, E15, E18, F11, G09, J01-J05, J07, M03, M05-M07, M09); promotion.py promotes.
 
 Tables carry `ordinal`, their row order, which the semantics need. Keys of a row: its code, and (normalized description, unit); a blank
 part makes no key.
@@ -42,26 +42,33 @@ SOURCE_NAMES = {
 }
 
 # Columns of the tables that imports and reviews write.
-LIBRARY_COLUMNS = "item_code description normalized_description section subsection unit rate currency region source source_sheet source_page basis crew_type plant_type material_type keywords alias_group build_up_recipe_id confidence_hint notes active".split()
-INPUT_COLUMNS = "input_code input_type description unit rate region source active".split()
-CANDIDATE_COLUMNS = (
-    "timestamp import_batch_id source_file source_sheet target_sheet item_code description normalized_description section subsection unit rate currency region source source_page basis crew_type plant_type material_type keywords alias_group "
-    "build_up_recipe_id confidence_hint notes active duplicate_reason matched_item_code reviewer_status reviewer_name reviewed_at review_decision promote_target approved_item_code approved_description approved_rate approved_canonical_term "
-    "approved_section_bias confidence_override reviewer_note promotion_status promoted_at"
-).split()
-LOG_COLUMNS = "timestamp boq_file sheet_name row_number boq_description decision matched_item_code matched_description confidence_score reviewer_note".split()
-REVIEW_COLUMNS = (
-    "candidate_row_number reviewer_status reviewer_name reviewed_at review_decision promote_target approved_item_code approved_description approved_rate approved_canonical_term approved_section_bias confidence_override reviewer_note source_file "
-    "target_sheet item_code matched_item_code description section subsection unit rate currency region basis duplicate_reason promotion_status"
-).split()
-SNAPSHOT_COLUMNS = (
-    "candidate_row_number reviewer_status reviewer_name reviewed_at review_decision promote_target description normalized_description unit rate region matched_item_code approved_item_code approved_description approved_canonical_term confidence_hint "
-    "confidence_override reviewer_note"
-).split()
-PROMOTION_COLUMNS = (
-    "timestamp candidate_row_number reviewer_status reviewer_name review_decision promote_target promotion_status description normalized_description unit rate approved_rate matched_item_code approved_item_code approved_description approved_canonical_term "
-    "confidence_hint confidence_override reviewer_note"
-).split()
+LIBRARY_COLUMNS = [
+    "item_code", "description", "normalized_description", "section", "subsection", "unit", "rate", "currency", "region", "source", "source_sheet", "source_page", "basis", "crew_type", "plant_type", "material_type", "keywords", "alias_group", "build_up_recipe_id",
+    "confidence_hint", "notes", "active",
+]
+INPUT_COLUMNS = [
+    "input_code", "input_type", "description", "unit", "rate", "region", "source", "active",
+]
+CANDIDATE_COLUMNS = [
+    "timestamp", "import_batch_id", "source_file", "source_sheet", "target_sheet", "item_code", "description", "normalized_description", "section", "subsection", "unit", "rate", "currency", "region", "source", "source_page", "basis",
+    "crew_type", "plant_type", "material_type", "keywords", "alias_group", "build_up_recipe_id", "confidence_hint", "notes", "active", "duplicate_reason", "matched_item_code", "reviewer_status", "reviewer_name", "reviewed_at",
+    "review_decision", "promote_target", "approved_item_code", "approved_description", "approved_rate", "approved_canonical_term", "approved_section_bias", "confidence_override", "reviewer_note", "promotion_status", "promoted_at",
+]
+LOG_COLUMNS = [
+    "timestamp", "boq_file", "sheet_name", "row_number", "boq_description", "decision", "matched_item_code", "matched_description", "confidence_score", "reviewer_note",
+]
+REVIEW_COLUMNS = [
+    "candidate_row_number", "reviewer_status", "reviewer_name", "reviewed_at", "review_decision", "promote_target", "approved_item_code", "approved_description", "approved_rate", "approved_canonical_term", "approved_section_bias",
+    "confidence_override", "reviewer_note", "source_file", "target_sheet", "item_code", "matched_item_code", "description", "section", "subsection", "unit", "rate", "currency", "region", "basis", "duplicate_reason", "promotion_status",
+]
+SNAPSHOT_COLUMNS = [
+    "candidate_row_number", "reviewer_status", "reviewer_name", "reviewed_at", "review_decision", "promote_target", "description", "normalized_description", "unit", "rate", "region", "matched_item_code", "approved_item_code",
+    "approved_description", "approved_canonical_term", "confidence_hint", "confidence_override", "reviewer_note",
+]
+PROMOTION_COLUMNS = [
+    "timestamp", "candidate_row_number", "reviewer_status", "reviewer_name", "review_decision", "promote_target", "promotion_status", "description", "normalized_description", "unit", "rate", "approved_rate", "matched_item_code",
+    "approved_item_code", "approved_description", "approved_canonical_term", "confidence_hint", "confidence_override", "reviewer_note",
+]
 
 # Target table, fields and their presets of the import kinds.
 KINDS = {
@@ -260,43 +267,38 @@ def review_summary(candidates: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("report_rows"), F.count_if(status.isin(APPROVED)).alias("reviewed"), F.count_if(status.isin(REJECTED)).alias("rejected"), F.count_if(status != "pending").alias("training_records"))
 
 
+#: The fields of a candidate that a decision overwrites, with what stands where it says nothing.
+DECIDED = {
+    "reviewer_status": "pending", "reviewer_name": "", "reviewed_at": "", "review_decision": "hold", "promote_target": "candidatematches", "approved_item_code": "", "approved_description": "", "approved_rate": None, "approved_canonical_term": "", "approved_section_bias": "",
+    "confidence_override": None, "reviewer_note": "",
+}
+
+
+def last_decisions(decisions: DataFrame) -> DataFrame:
+    """The last decision of each candidate, by time and event, that is not pending."""
+    live = decisions.where(~F.lower(F.trim(text("reviewer_status"))).isin("", "pending"))
+    return live.groupBy("candidate_row_number").agg(F.max_by(F.struct(*(c for c in decisions.columns if c != "candidate_row_number")), F.struct("ts", "event_id")).alias("d"))
+
+
 def merge_reviews(candidates: DataFrame, decisions: DataFrame, reviewer: str = "reviewer") -> DataFrame:
-    """The last decision of each candidate overwrites its fields if it is not pending; log_label tells how it is logged (anything not approved is logged as rejected)."""
-    columns = [c for c in decisions.columns if c not in ("candidate_row_number", "ts", "event_id")]
-    last = decisions.where("reviewer_status <> 'pending'").groupBy("candidate_row_number").agg(F.max_by(F.struct("ts", *columns), F.struct("ts", "event_id")).alias("d"))
+    """The last decision of each candidate overwrites its fields (those of DECIDED that decisions have, blanks too); log_label tells how it is logged (anything not approved is logged as rejected)."""
     base = candidate_defaults(candidates)
-    joined = base.join(last, "candidate_row_number", "left")
-    new = {c: F.coalesce(F.col(f"d.{c}"), F.col(c) if c in base.columns else F.lit(None)) for c in columns}
-    status = F.lower(F.trim(F.col("d.reviewer_status")))
-    label = F.when(F.col("d").isNotNull(), F.when(status.isin(APPROVED), F.lit("review-approved")).otherwise(F.lit("review-rejected")))
-    out = joined.withColumn("log_label", label).withColumn("reviewer_name", F.when(F.col("d").isNotNull(), F.lit(reviewer))).withColumn("reviewed_at", F.col("d.ts"))
-    return out.withColumns(new).drop("d")
-
-
-def promote(candidates: DataFrame, aliases: DataFrame, library: DataFrame) -> DataFrame:
-    """Approved candidates not promoted before, with target (aliases, ratelibrary or retained) and status (promoted, already_exists,
-    retained_in_candidates). Of several with one key the first is promoted; those already in the target table exist."""
-    ready = candidates.where(F.lower(F.trim("reviewer_status")).isin(APPROVED) & ~F.coalesce("promotion_status", F.lit("")).isin("promoted", "retained_in_candidates"))
-    target = F.lower(F.trim("promote_target"))
-    ready = ready.withColumn("target", F.when(target.isin("aliases", "ratelibrary"), target).otherwise(F.lit("retained")))
-    pair = F.concat_ws("|", F.lower("description"), F.lower("item_code"))
-    triple = F.concat_ws("|", "item_code", normalize_text("description"), normalize_unit("unit"))
-    ready = ready.withColumn("key", F.when(F.col("target") == "aliases", pair).when(F.col("target") == "ratelibrary", triple).otherwise(F.col("candidate_row_number").cast("string")))
-    there = aliases.select(F.lit("aliases").alias("target"), F.concat_ws("|", F.lower("alias"), F.lower("canonical_term")).alias("key"))
-    there = there.unionByName(library.select(F.lit("ratelibrary").alias("target"), F.concat_ws("|", "item_code", normalize_text("description"), normalize_unit("unit")).alias("key"))).distinct().withColumn("exists", F.lit(True))
-    turn = F.row_number().over(Window.partitionBy("target", "key").orderBy("candidate_row_number"))
-    joined = ready.join(there, ["target", "key"], "left").withColumn("turn", turn)
-    status = F.when(F.col("target") == "retained", F.lit("retained_in_candidates")).when(F.coalesce("exists", F.lit(False)) | (F.col("turn") > 1), F.lit("already_exists")).otherwise(F.lit("promoted"))
-    rate = F.coalesce(F.nullif("approved_rate", F.lit(0).cast("decimal(18,2)")), F.col("rate"))
-    return joined.select("candidate_row_number", "target", F.coalesce(status).alias("status"), rate.alias("promoted_rate"))
-
-
-def promotion_log(promoted: DataFrame, candidates: DataFrame, as_of: str) -> DataFrame:
-    """One JSON text of 19 fields for each candidate that `promote` looked at."""
-    status = promoted.select("candidate_row_number", F.col("status").alias("promotion_status"))
-    rows = candidates.drop("promotion_status").join(status, "candidate_row_number").withColumn("timestamp", F.lit(as_of))
-    rows = rows.withColumn("promote_target", F.coalesce(F.nullif(F.lower(F.trim("promote_target")), F.lit("")), F.lit("candidatematches")))
-    return rows.select("candidate_row_number", F.to_json(F.struct(*((F.col(c) if c in rows.columns else F.lit("")).alias(c) for c in PROMOTION_COLUMNS)), {"ignoreNullFields": "false"}).alias("json"))
+    joined = base.join(last_decisions(decisions), "candidate_row_number", "left")
+    here, lower = F.col("d").isNotNull(), ("reviewer_status", "review_decision", "promote_target")
+
+    def decided(name: str) -> Column:
+        value = F.col(f"d.{name}")
+        if DECIDED[name] is None:  # numbers, null where none is given
+            return value
+        value = F.coalesce(F.nullif(F.trim(text(value)), F.lit("")), F.lit(DECIDED[name]))
+        return F.lower(value) if name in lower else value
+
+    new = {c: F.when(here, decided(c)).otherwise(F.col(c) if c in base.columns else F.lit(None)) for c in DECIDED if c in decisions.columns}
+    name = F.coalesce(F.nullif(F.trim(text("d.reviewer_name")), F.lit("")), F.lit(reviewer)) if "reviewer_name" in decisions.columns else F.lit(reviewer)
+    new["reviewer_name"] = F.when(here, name)
+    new["reviewed_at"] = F.when(here, F.coalesce(F.nullif(text("d.reviewed_at"), F.lit("")), text("d.ts")) if "reviewed_at" in decisions.columns else F.col("d.ts"))
+    label = F.when(here, F.when(F.lower(F.trim("d.reviewer_status")).isin(APPROVED), F.lit("review-approved")).otherwise(F.lit("review-rejected")))
+    return joined.withColumn("log_label", label).withColumns(new).drop("d")
 
 
 def merge_candidates(candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from quantra.operators import library
+from quantra.operators import library, promotion
+from quantra.operators.promotion import Promotion
+from quantra.operators.store import stored
 
 
 @dataclass(frozen=True)
@@ -39,7 +41,17 @@ def import_rates(rows: DataFrame, existing: DataFrame, kind: str, as_of: str, so
     return Imported(target, appended, library.candidate_rows(routed, target, source_file, as_of, source_sheet), library.import_summary(rows, routed, target, source_file), routed)
 
 
-def review_cycle(candidates: DataFrame, decisions: DataFrame, aliases: DataFrame, rates: DataFrame, reviewer: str = "reviewer") -> tuple[DataFrame, DataFrame]:
-    """(candidates after their decisions, what is promoted and where)."""
-    merged = library.merge_reviews(library.candidate_defaults(candidates), decisions, reviewer)
-    return merged, library.promote(merged, aliases, rates)
+@dataclass(frozen=True)
+class Review:
+    """What a review makes: the candidates after its decisions, a log row for each, counters, and the promotion of what was approved."""
+
+    merged: DataFrame
+    log: DataFrame
+    summary: DataFrame
+    promotion: Promotion
+
+
+def review_cycle(candidates: DataFrame, decisions: DataFrame, aliases: DataFrame, rates: DataFrame, as_of: str, reviewer: str = "reviewer", file: str = "") -> Review:
+    """Decisions into the candidates, then approved candidates into the tables they name."""
+    merged = stored(library.merge_reviews(candidates, decisions, reviewer), "reviewed")
+    return Review(merged, promotion.review_log(candidates, decisions, file), promotion.merge_summary(candidates, decisions), promotion.promote(merged, aliases, rates, as_of, file))

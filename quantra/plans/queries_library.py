@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantra.operators import library, store
+from quantra.operators import library, promotion, store
 from quantra.plans import imports
 from quantra.plans.sql_pricing import sql_normalized, sql_unit
 from quantra.sources import tables
@@ -151,26 +151,89 @@ def b15_m07_duplicate_log(spark, sf) -> DataFrame:
 
 
 MERGE_SQL = f"""
-WITH {with_views('candidates', 'decisions')}, d AS (SELECT *, row_number() OVER (PARTITION BY candidate_row_number ORDER BY ts DESC, event_id DESC) AS n FROM decisions WHERE reviewer_status <> 'pending'),
-m AS (SELECT c.candidate_row_number, c.section, c.target_sheet, c.material_type, c.plant_type, c.notes, c.item_code, c.description, c.unit, c.rate, coalesce(d.reviewer_status, 'pending') AS reviewer_status, d.approved_rate, CASE WHEN c.promote_target = '' THEN 'candidatematches' ELSE c.promote_target END AS promote_target,
+WITH {with_views('candidates', 'decisions', 'known_aliases', 'known_rates')}, d AS (SELECT *, row_number() OVER (PARTITION BY candidate_row_number ORDER BY ts DESC, event_id DESC) AS n FROM decisions WHERE reviewer_status <> 'pending'),
+m AS MATERIALIZED (SELECT c.candidate_row_number, c.section, c.target_sheet, c.material_type, c.plant_type, c.notes, c.item_code, c.description, c.unit, c.rate, coalesce(d.reviewer_status, 'pending') AS reviewer_status, d.approved_rate,
+  CASE WHEN d.n IS NULL THEN CASE WHEN c.promote_target = '' THEN 'candidatematches' ELSE c.promote_target END WHEN d.promote_target = '' THEN 'candidatematches' ELSE lower(trim(d.promote_target)) END AS promote_target,
+  d.approved_item_code, d.approved_description, d.approved_canonical_term, d.approved_section_bias, d.confidence_override, d.reviewer_note,
   CASE WHEN d.n IS NULL THEN NULL WHEN d.reviewer_status IN ('approved', 'merge', 'approved_for_merge') THEN 'review-approved' ELSE 'review-rejected' END AS log_label FROM candidates c LEFT JOIN d ON d.candidate_row_number = c.candidate_row_number AND d.n = 1)"""
 
 
-@query(MERGE_SQL + " SELECT candidate_row_number, reviewer_status, approved_rate, log_label FROM m")
+DECIDED = "candidate_row_number, reviewer_status, promote_target, approved_item_code, approved_description, approved_canonical_term, approved_section_bias, confidence_override, reviewer_note, log_label"
+
+
+@query(MERGE_SQL + f" SELECT {DECIDED}, approved_rate FROM m")
 def j05_e15_merge_reviews(spark, sf) -> DataFrame:
-    got = library.merge_reviews(view(spark, sf, "candidates"), view(spark, sf, "decisions"))
-    return got.select("candidate_row_number", "reviewer_status", F.col("approved_rate").cast("decimal(18,2)").alias("approved_rate"), "log_label")
+    return _merged(spark, sf).select(*DECIDED.split(", "), F.col("approved_rate").cast("decimal(18,2)").alias("approved_rate"))
 
 
 @query(
     MERGE_SQL
-    + f""", r AS (SELECT *, CASE WHEN promote_target IN ('aliases', 'ratelibrary') THEN promote_target ELSE 'retained' END AS target FROM m WHERE reviewer_status IN ('approved', 'merge', 'approved_for_merge')),
-t AS (SELECT *, row_number() OVER (PARTITION BY target, CASE target WHEN 'aliases' THEN concat_ws('|', lower(description), lower(item_code)) WHEN 'ratelibrary' THEN concat_ws('|', item_code, {sql_normalized('description')}, {sql_unit('unit')}) ELSE CAST(candidate_row_number AS VARCHAR) END ORDER BY candidate_row_number) AS turn FROM r)
-SELECT candidate_row_number, target, CASE WHEN target = 'retained' THEN 'retained_in_candidates' WHEN turn > 1 THEN 'already_exists' ELSE 'promoted' END AS status, CASE WHEN approved_rate <> 0 THEN approved_rate ELSE rate END AS promoted_rate FROM t"""
+    + """ SELECT strftime(d.ts, '%Y-%m-%dT%H:%M:%S') AS "timestamp", 'rates' AS boq_file, 'CandidateMatches' AS sheet_name, d.candidate_row_number AS row_number, c.description AS boq_description, CASE WHEN d.reviewer_status IN ('approved', 'merge') THEN 'review-approved' ELSE 'review-rejected' END AS decision,
+  '' AS matched_item_code, CASE WHEN d.approved_description <> '' THEN d.approved_description ELSE c.description END AS matched_description, coalesce(d.confidence_override, 0.0) AS confidence_score, CASE WHEN d.reviewer_note <> '' THEN d.reviewer_note ELSE 'hold' END AS reviewer_note
+FROM d JOIN candidates c ON c.candidate_row_number = d.candidate_row_number"""
+)
+def j05_b15_review_log(spark, sf) -> DataFrame:
+    return promotion.review_log(view(spark, sf, "candidates"), view(spark, sf, "decisions"), "rates")
+
+
+@query(MERGE_SQL + " SELECT count(*) FILTER (d.reviewer_status <> 'rejected') AS reviewed, count(*) FILTER (d.reviewer_status = 'rejected') AS rejected FROM d JOIN candidates c ON c.candidate_row_number = d.candidate_row_number")
+def f11_merge_summary(spark, sf) -> DataFrame:
+    return promotion.merge_summary(view(spark, sf, "candidates"), view(spark, sf, "decisions"))
+
+
+# Approved candidates with the term and key of their target, and what became of them.
+PROMOTE_SQL = (
+    MERGE_SQL
+    + f""", r AS (SELECT *, CASE WHEN approved_description <> '' THEN approved_description ELSE description END AS said, CASE WHEN approved_item_code <> '' THEN approved_item_code ELSE item_code END AS code FROM m WHERE reviewer_status IN ('approved', 'merge', 'approved_for_merge')),
+q AS (SELECT *, CASE WHEN promote_target = 'aliases' AND approved_canonical_term <> '' THEN approved_canonical_term ELSE said END AS term FROM r),
+z AS (SELECT *, CASE promote_target WHEN 'aliases' THEN concat_ws('|', lower(description), lower(term)) WHEN 'ratelibrary' THEN concat_ws('|', code, {sql_normalized('term')}, {sql_unit('unit')}) ELSE CAST(candidate_row_number AS VARCHAR) END AS k FROM q),
+e AS (SELECT 'aliases' AS t, concat_ws('|', lower(trim(alias)), lower(trim(canonical_term))) AS k FROM known_aliases UNION SELECT 'ratelibrary', concat_ws('|', item_code, {sql_normalized('description')}, {sql_unit('unit')}) FROM known_rates),
+w AS MATERIALIZED (SELECT z.*, promote_target NOT IN ('aliases', 'ratelibrary') OR (e.k IS NULL AND row_number() OVER (PARTITION BY promote_target, z.k ORDER BY candidate_row_number) = 1) AS promoted FROM z LEFT JOIN e ON e.t = z.promote_target AND e.k = z.k),
+p AS MATERIALIZED (SELECT *, CASE WHEN promote_target = 'candidatematches' THEN 'retained_in_candidates' WHEN promoted THEN 'promoted' ELSE 'already_exists' END AS promotion_status FROM w)"""
 )
+
+
+def _promotion(spark, sf) -> promotion.Promotion:
+    return promotion.promote(_merged(spark, sf), view(spark, sf, "known_aliases"), view(spark, sf, "known_rates"), AS_OF, "rates")
+
+
+@query(PROMOTE_SQL + " SELECT candidate_row_number, promote_target AS target, promotion_status, promoted FROM p")
 def j06_e16_e17_promote(spark, sf) -> DataFrame:
-    merged = library.merge_reviews(view(spark, sf, "candidates"), view(spark, sf, "decisions"))
-    return library.promote(merged, view(spark, sf, "aliases"), view(spark, sf, "library"))
+    return _promotion(spark, sf).looked
+
+
+@query(PROMOTE_SQL + " SELECT candidate_row_number, description AS alias, term AS canonical_term, CASE WHEN approved_section_bias <> '' THEN approved_section_bias ELSE section END AS section_bias, CASE WHEN reviewer_note <> '' THEN reviewer_note ELSE 'Promoted from review' END AS notes FROM p WHERE promoted AND promote_target = 'aliases'")
+def e16_promoted_aliases(spark, sf) -> DataFrame:
+    return _promotion(spark, sf).aliases
+
+
+@query(
+    PROMOTE_SQL
+    + f""" SELECT candidate_row_number, code AS item_code, term AS description, {sql_normalized('term')} AS normalized_description, section, '' AS subsection, {sql_unit('unit')} AS unit, CAST(CASE WHEN approved_rate <> 0 THEN approved_rate ELSE rate END AS DECIMAL(18,2)) AS rate, 'KES' AS currency, '' AS region,
+  'Reviewed Match' AS source, 'Candidate Review' AS source_sheet, '' AS source_page, 'Estimator-reviewed promotion' AS basis, '' AS crew_type, plant_type, material_type, '' AS keywords, '' AS alias_group, '' AS build_up_recipe_id, coalesce(confidence_override, 0.0) AS confidence_hint, reviewer_note AS notes, TRUE AS active
+FROM p WHERE promoted AND promote_target = 'ratelibrary'"""
+)
+def e17_promoted_rates(spark, sf) -> DataFrame:
+    return _promotion(spark, sf).library
+
+
+@query(PROMOTE_SQL + f" SELECT m.candidate_row_number, m.reviewer_status, m.promote_target, coalesce(p.promotion_status, 'not_promoted') AS promotion_status, CASE WHEN p.candidate_row_number IS NULL THEN '' ELSE '{AS_OF}' END AS promoted_at FROM m LEFT JOIN p USING (candidate_row_number)")
+def j06_updated_candidates(spark, sf) -> DataFrame:
+    return _promotion(spark, sf).candidates.select("candidate_row_number", "reviewer_status", "promote_target", "promotion_status", "promoted_at")
+
+
+@query(
+    PROMOTE_SQL
+    + f""" SELECT '{AS_OF}' AS "timestamp", 'rates' AS boq_file, CASE promote_target WHEN 'candidatematches' THEN 'CandidateMatches' ELSE promote_target END AS sheet_name, candidate_row_number AS row_number, description AS boq_description, concat('promoted-to-', promote_target) AS decision,
+  approved_item_code AS matched_item_code, said AS matched_description, coalesce(confidence_override, 0.0) AS confidence_score, CASE WHEN reviewer_note <> '' THEN reviewer_note ELSE 'Promoted approved review' END AS reviewer_note FROM p"""
+)
+def j06_b15_promotion_log(spark, sf) -> DataFrame:
+    return _promotion(spark, sf).log
+
+
+@query(PROMOTE_SQL + " SELECT count(*) FILTER (promoted) AS promoted, count(*) FILTER (NOT promoted) AS skipped_duplicates, count(*) AS training_records FROM p")
+def f11_promotion_summary(spark, sf) -> DataFrame:
+    return _promotion(spark, sf).summary
 
 
 def _merged(spark, sf) -> DataFrame:
@@ -198,7 +261,7 @@ def j07_merged_statuses(spark, sf) -> DataFrame:
 @query(
     MERGE_SQL
     + f""" SELECT '{AS_OF}' AS "timestamp", 'rates' AS boq_file, CASE WHEN target_sheet = '' THEN 'RateLibrary' ELSE target_sheet END AS sheet_name, candidate_row_number AS row_number, description AS boq_description, 'candidate-merged' AS decision, item_code AS matched_item_code,
-  description AS matched_description, 0.0::DOUBLE AS confidence_score, 'Merged from CandidateMatches' AS reviewer_note FROM m WHERE {READY_SQL}"""
+  description AS matched_description, 0.0::DOUBLE AS confidence_score, CASE WHEN reviewer_note <> '' THEN reviewer_note ELSE 'Merged from CandidateMatches' END AS reviewer_note FROM m WHERE {READY_SQL}"""
 )
 def b15_merge_log(spark, sf) -> DataFrame:
     return library.merge_log(_merged(spark, sf), AS_OF, "rates")
@@ -220,7 +283,7 @@ def f11_review_summary(spark, sf) -> DataFrame:
     return library.review_summary(_merged(spark, sf))
 
 
-@query(MERGE_SQL + " SELECT candidate_row_number, reviewer_status, promote_target, description, unit, CAST(rate AS DOUBLE) AS rate, '' AS approved_item_code, CAST(18 AS BIGINT) AS fields FROM m WHERE reviewer_status <> 'pending'")
+@query(MERGE_SQL + " SELECT candidate_row_number, reviewer_status, promote_target, description, unit, CAST(rate AS DOUBLE) AS rate, approved_item_code, CAST(18 AS BIGINT) AS fields FROM m WHERE reviewer_status <> 'pending'")
 def b14_review_snapshots(spark, sf) -> DataFrame:
     """The training texts, read back."""
     j = F.from_json("json", "map<string,string>")
@@ -228,13 +291,9 @@ def b14_review_snapshots(spark, sf) -> DataFrame:
     return got.select("candidate_row_number", *(F.col("j")[c].alias(c) for c in ("reviewer_status", "promote_target", "description", "unit")), F.col("j")["rate"].cast("double").alias("rate"), F.col("j")["approved_item_code"].alias("approved_item_code"), F.size("j").cast("long").alias("fields"))
 
 
-@query(
-    MERGE_SQL
-    + f""", r AS (SELECT *, CASE WHEN promote_target IN ('aliases', 'ratelibrary') THEN promote_target ELSE 'retained' END AS target FROM m WHERE reviewer_status IN ('approved', 'merge', 'approved_for_merge')),
-t AS (SELECT *, row_number() OVER (PARTITION BY target, CASE target WHEN 'aliases' THEN concat_ws('|', lower(description), lower(item_code)) WHEN 'ratelibrary' THEN concat_ws('|', item_code, {sql_normalized('description')}, {sql_unit('unit')}) ELSE CAST(candidate_row_number AS VARCHAR) END ORDER BY candidate_row_number) AS turn FROM r)
-SELECT candidate_row_number, '{AS_OF}' AS at, promote_target, CASE WHEN target = 'retained' THEN 'retained_in_candidates' WHEN turn > 1 THEN 'already_exists' ELSE 'promoted' END AS promotion_status, CAST(19 AS BIGINT) AS fields FROM t"""
-)
+@query(PROMOTE_SQL + f" SELECT candidate_row_number, '{AS_OF}' AS at, promote_target, promotion_status, CAST(approved_rate AS DOUBLE) AS approved_rate, approved_canonical_term, description, CAST(19 AS BIGINT) AS fields FROM p")
 def b14_m08_promotion_log(spark, sf) -> DataFrame:
-    merged, promoted = imports.review_cycle(view(spark, sf, "candidates"), view(spark, sf, "decisions"), view(spark, sf, "aliases"), view(spark, sf, "library"))
-    got = library.promotion_log(promoted, merged, AS_OF).select("candidate_row_number", F.from_json("json", "map<string,string>").alias("j"))
-    return got.select("candidate_row_number", F.col("j")["timestamp"].alias("at"), F.col("j")["promote_target"].alias("promote_target"), F.col("j")["promotion_status"].alias("promotion_status"), F.size("j").cast("long").alias("fields"))
+    """The training texts of a whole review cycle, read back."""
+    review = imports.review_cycle(*(view(spark, sf, x) for x in ("candidates", "decisions", "known_aliases", "known_rates")), AS_OF)
+    got = review.promotion.training.select("candidate_row_number", F.from_json("json", "map<string,string>").alias("j"))
+    return got.select("candidate_row_number", F.col("j")["timestamp"].alias("at"), *(F.col("j")[c].alias(c) for c in ("promote_target", "promotion_status", "approved_canonical_term", "description")), F.col("j")["approved_rate"].cast("double").alias("approved_rate"), F.size("j").cast("long").alias("fields"))

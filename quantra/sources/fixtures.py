@@ -65,7 +65,14 @@ VIEWS = {
         FROM {orders}""",
     "decisions": """
         SELECT event_id, ts, user_id AS candidate_row_number, CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'pending' WHEN 'click' THEN 'merge' ELSE 'hold' END AS reviewer_status,
-          CAST(value AS DECIMAL(18,2)) AS approved_rate FROM {events}""",
+          CAST(CASE WHEN event_id % 7 = 0 THEN 0 ELSE value END AS DECIMAL(18,2)) AS approved_rate,
+          CASE event_id % 7 WHEN 0 THEN 'aliases' WHEN 1 THEN 'RateLibrary' WHEN 2 THEN '' WHEN 3 THEN 'archive' WHEN 4 THEN 'Aliases ' ELSE 'ratelibrary' END AS promote_target,
+          CASE event_id % 3 WHEN 0 THEN concat('A', CAST(user_id % 50 AS VARCHAR(8))) ELSE '' END AS approved_item_code, CASE event_id % 4 WHEN 0 THEN concat('Item with ', CAST(user_id % 50 AS VARCHAR(8))) ELSE '' END AS approved_description,
+          CASE event_id % 5 WHEN 0 THEN concat('Term ', CAST(user_id % 40 AS VARCHAR(8))) ELSE '' END AS approved_canonical_term, CASE event_id % 2 WHEN 0 THEN 'Concrete' ELSE '' END AS approved_section_bias,
+          CAST(CASE WHEN event_id % 4 = 1 THEN event_id % 90 END AS DOUBLE) AS confidence_override, CASE event_id % 6 WHEN 0 THEN '' ELSE concat('seen ', CAST(event_id % 11 AS VARCHAR(8))) END AS reviewer_note
+        FROM {events}""",
+    "known_aliases": "SELECT DISTINCT concat('Item ', CAST(p_size AS VARCHAR(8))) AS alias, concat(' item ', CAST(p_size AS VARCHAR(8))) AS canonical_term FROM {part} UNION ALL SELECT DISTINCT concat('item ', CAST(p_size AS VARCHAR(8))), concat('term ', CAST(p_size AS VARCHAR(8))) FROM {part}",
+    "known_rates": "SELECT DISTINCT concat('A', CAST(p_size AS VARCHAR(8))) AS item_code, concat('ITEM ', CAST(p_size AS VARCHAR(8))) AS description, 'm2' AS unit FROM {part}",
     "phrases": """
         SELECT * FROM (VALUES ('securities', 1, 'loser', 1, 'Commercial Manager'), ('securities', 1, 'license', 2, 'Commercial Manager'), ('meetings', 2, 'stupid', 1, 'Estimator'), ('periods', 3, 'the thing', 1, 'Planner'),
           ('pricing_instructions', 4, 'worthless', 1, 'QS'), ('technical_compliance', 5, 'ation the', 1, 'Technical Lead'), ('submission_documents', 6, 'einheit', 1, 'Estimator')) AS t(category, cat_ord, phrase, phrase_ord, owner)""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quantra.functions import scores
 from quantra.functions import text as X
-from quantra.operators import commercial, grid, library, matching, sinks, tender
+from quantra.operators import commercial, grid, library, matching, promotion, sinks, tender
 from quantra.operators.textindex import set_scores
 from quantra.plans import imports, pricing, tenders
 from quantra.sources import tables
@@ -145,8 +145,32 @@ def test_review_and_promotion(spark):
     merged = library.merge_reviews(cand, dec)
     assert {r.candidate_row_number: r.log_label for r in merged.collect()} == {1: "review-approved", 2: "review-approved", 3: "review-approved"}
     db = database(spark)
-    got = {r.candidate_row_number: (r.target, r.status, float(r.promoted_rate)) for r in library.promote(merged, db.aliases, db.library).collect()}
-    assert got == {1: ("aliases", "promoted", 5.0), 2: ("ratelibrary", "promoted", 9.0), 3: ("ratelibrary", "already_exists", 6.0)}
+    made = promotion.promote(merged, db.aliases, db.library, "2026-01-01T00:00:00")
+    assert {r.candidate_row_number: (r.target, r.promotion_status) for r in made.looked.collect()} == {1: ("aliases", "promoted"), 2: ("ratelibrary", "promoted"), 3: ("ratelibrary", "already_exists")}
+    assert [(r.item_code, float(r.rate), r.unit, r.basis) for r in made.library.collect()] == [("X", 9.0, "m3", "Estimator-reviewed promotion")] and made.library.columns[1:] == library.LIBRARY_COLUMNS
+
+
+def test_a_reviewed_alias_is_promoted_once(spark):
+    """One candidate, approved as an alias of another term; a second run finds it handled, and in the table."""
+    names = ["candidate_row_number", *library.CANDIDATE_COLUMNS]
+    given = {"candidate_row_number": 2, "item_code": "PL001X", "description": "Tipper truck hire", "section": "Dayworks", "unit": "day", "rate": 17800.0, "confidence_hint": 72.0, "matched_item_code": "PL001", "promote_target": "candidatematches"}
+    rows = [given, given | {"candidate_row_number": 3, "description": " tipper TRUCK hire "}, given | {"candidate_row_number": 4, "promote_target": "archive", "reviewer_status": "approved"}, given | {"candidate_row_number": 5, "description": "", "promote_target": "ratelibrary", "reviewer_status": "merge"}, given | {"candidate_row_number": 6, "reviewer_status": "Approved "}]
+    kinds = {"candidate_row_number": "long", "rate": "double", "confidence_hint": "double", "confidence_override": "double", "approved_rate": "double", "active": "boolean"}
+    cand = spark.createDataFrame([tuple(r.get(c) for c in names) for r in rows], ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in names))
+    dec = spark.createDataFrame([(1, "2026-03-17", 2, "approved", "aliases", "tipper lorry", 91.0, "Prefer alias"), (2, "2026-03-17", 3, "Approved", "Aliases", "Tipper Lorry", None, ""), (3, "2026-03-18", 99, "approved", "aliases", "x", None, ""), (4, "2026-03-18", 5, " ", "", "", None, "")], "event_id long, ts string, candidate_row_number long, reviewer_status string, promote_target string, approved_canonical_term string, confidence_override double, reviewer_note string")
+    none = spark.createDataFrame([], "alias string, canonical_term string, section_bias string, notes string"), spark.createDataFrame([], "item_code string, description string, unit string")
+    review = imports.review_cycle(cand, dec, *none, "2026-03-20T00:00:00", "Senior QS", "db")
+    made = review.promotion
+    assert [tuple(r)[1:] for r in made.aliases.collect()] == [("Tipper truck hire", "tipper lorry", "Dayworks", "Prefer alias")] and made.aliases.columns[1:] == promotion.ALIAS_COLUMNS
+    assert {r.candidate_row_number: r.promotion_status for r in made.candidates.collect()} == {2: "promoted", 3: "already_exists", 4: "promoted", 5: "already_exists", 6: "retained_in_candidates"}
+    assert tuple(review.summary.first()) == (2, 0) and tuple(made.summary.first()) == (3, 2, 5)
+    log = {r.row_number: r for r in review.log.collect()}
+    assert set(log) == {2, 3} and (log[2].decision, log[2].confidence_score, log[2].matched_item_code, log[2].reviewer_note, log[3].confidence_score, log[3].reviewer_note) == ("review-approved", 91.0, "PL001", "Prefer alias", 72.0, "hold")
+    logged = {r.row_number: (r.sheet_name, r.decision) for r in made.log.collect()}
+    assert logged[2] == ("aliases", "promoted-to-aliases") and logged[4] == ("archive", "promoted-to-archive") and logged[6][0] == "CandidateMatches" and made.log.columns == library.LOG_COLUMNS
+    assert len(json.loads(made.training.first().json)) == 19
+    again = promotion.promote(made.candidates, made.aliases, none[1], "2026-03-21T00:00:00")
+    assert {r.candidate_row_number: r.promotion_status for r in again.looked.collect()} == {3: "already_exists", 5: "already_exists"} and again.aliases.count() == 0
 
 
 def test_tender(spark):
