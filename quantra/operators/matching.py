@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantra.functions.text import let, normalize_text, normalize_unit, sheet_section
+from quantra.functions.phrases import occurring, replaced
+from quantra.functions.text import normalize_text, normalize_unit, sheet_section
 from quantra.operators.textindex import Costs, reachable_texts
 
 
@@ -45,30 +46,18 @@ def priceable(lines: DataFrame) -> DataFrame:
 
 def infer_sections(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds inferred_section: of the rules whose trigger occurs in sheet name, hint, headings and description, the one with the highest priority
-    (table order on ties); else the sheet's hint. Distinct corpora are tested once; the rules are folded into one ordered array."""
-    trigger = rules.select(normalize_text("trigger_text").alias("trigger"), "inferred_section", "priority", "ordinal").where("trigger <> ''")
-    ordered = trigger.agg(F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("p"), "ordinal", "trigger", "inferred_section"))).alias("rules"))
-    def pick(hint: Column) -> Column:
-        parts = F.filter(F.concat(F.array("sheet_name", hint), F.col("headings"), F.array("description")), lambda x: x.isNotNull() & (x != ""))
-        first = let(normalize_text(F.array_join(parts, " ")), lambda corpus: F.try_element_at(F.filter("rules", lambda r: F.contains(corpus, r["trigger"])), F.lit(1))["inferred_section"])
-        return F.coalesce(first, hint)
-
-    return lines.join(F.broadcast(ordered)).withColumn("inferred_section", let(sheet_section("sheet_name"), pick)).drop("rules")  # one row of rules
+    (table order on ties); else the sheet's hint. All triggers are looked for in one pass over a line's corpus."""
+    ranked = rules.select((-F.col("priority")).alias("rank"), "ordinal", "inferred_section", "trigger_text")
+    parts = F.filter(F.concat(F.array("sheet_name", sheet_section("sheet_name")), F.col("headings"), F.array("description")), lambda x: x.isNotNull() & (x != ""))
+    found = lines.withColumn("__found", occurring(normalize_text(F.array_join(parts, " ")), ranked, normalize_text("trigger_text"), "rank", "ordinal"))
+    return found.withColumn("inferred_section", F.coalesce(F.try_element_at("__found", F.lit(1))["inferred_section"], sheet_section("sheet_name"))).drop("__found")
 
 
 def apply_aliases(lines: DataFrame, aliases: DataFrame, column: str = "description") -> DataFrame:
     """Adds query (the normalized text after every alias in table order, whole words only) and alias_hits (struct of alias, section_bias of those
     whose alias occurs as a substring, whether or not a whole word was replaced)."""
-    one = aliases.select("ordinal", normalize_text("alias").alias("a"), normalize_text("canonical_term").alias("c"), "section_bias").where("a <> ''")
-    folded = one.agg(F.array_sort(F.collect_list(F.struct("ordinal", "a", "c", "section_bias"))).alias("__aliases"))
-    start = F.struct(normalize_text(column).alias("t"), F.array().cast("array<struct<a:string,b:string>>").alias("h"))
-
-    def step(acc: Column, x: Column) -> Column:
-        word = F.concat(F.lit(r"\b\Q"), x["a"], F.lit(r"\E\b"))
-        return F.when(F.contains(acc["t"], x["a"]), F.struct(F.regexp_replace(acc["t"], word, x["c"]).alias("t"), F.concat(acc["h"], F.array(F.struct(x["a"].alias("a"), x["section_bias"].alias("b")))).alias("h"))).otherwise(acc)
-
-    done = lines.join(F.broadcast(folded)).withColumn("__done", F.aggregate("__aliases", start, step))  # one row of aliases
-    return done.withColumn("query", F.col("__done.t")).withColumn("alias_hits", F.col("__done.h")).drop("__aliases", "__done")
+    done = replaced(normalize_text(column), aliases, normalize_text("alias"), normalize_text("canonical_term"), F.col("section_bias"), "ordinal")
+    return lines.withColumn("__done", done).withColumn("query", F.col("__done.t")).withColumn("alias_hits", F.col("__done.h")).drop("__done")
 
 
 #: A key's best item and its alternates.
