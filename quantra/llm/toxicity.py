@@ -25,11 +25,11 @@ BITS = 20
 #: Bound on the labelled rows used from each class.
 SAMPLE = 8000
 ROUNDS = 6
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 16.0, 0.5
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 24.0, 0.5
 PAIR, SKIP = U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25)
 STEMS = {5: U(0x8EBC6AF09C88C6E3), 6: U(0x589965CC75374CC3), 7: U(0x1D8E4E27C47D124F)}
 BIAS = 1 << BITS
-CLASS_POWER = 0.75
+CLASS_POWER = 1.25
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
