@@ -119,6 +119,11 @@ def test_surrogates_over_documents(spark, nothing):
     digits = lambda t: re.sub(r"\D", "", t)
     assert digits(texts[1]) == digits(texts[2]) * 2 and "555-2186" not in texts[1] and texts[3] is None and texts[4] == "" and texts[5] == "nothing here"
     assert surrogates.replace_pii(nothing).count() == 0
+    one = lambda: surrogates.replace_pii(table).where("doc_id = 2").first().text
+    spark.conf.set(surrogates.KEY_SETTING, "k")
+    assert one() == texts[2]
+    spark.conf.unset(surrogates.KEY_SETTING)
+    assert one() != texts[2]
 
 
 def test_more_kinds_of_entities():
