@@ -31,10 +31,18 @@ class Terms:
             except (KeyError, ValueError):
                 return default
 
+        # a percent that is given wins as it is; blank texts of controls are no numbers
         status = given.get("default_approval_status") or controls.get("default_approval_status") or "Pending Commercial Review"
         return Terms(number("overheads_pct", "0"), number("profit_pct", "0"), number("risk_pct", "0"), number("vat_pct", "16"), status)
 
 
+def terms_of(controls: DataFrame | None, given: dict[str, str] | None = None) -> Terms:
+    """The terms of a run from its controls table (key, value; one row a key, as A06 leaves it) and what is given, which wins."""
+    names = ["overheads_pct", "profit_pct", "risk_pct", "vat_pct", "default_approval_status"]
+    held = {r.key: r.value or "" for r in controls.where(F.col("key").isin(names)).limit(len(names)).collect()} if controls is not None else {}
+    return Terms.resolve(given or {}, held)
+
+
 def regional_factors(lines: DataFrame, adjustments: DataFrame) -> DataFrame:
     """Adds regional_factor and factor_notes: the first active adjustment for region and section (case ignored), else for the region with section
     blank or *, else 1. The adjustments are one row a region and section, so Spark broadcasts them or not by their size."""

@@ -1,20 +1,22 @@
-"""User-level pricing: price one or many bills in one job."""
+"""User-level pricing: price one or many bills in one job, from lines, from grids of cells or from a folder of bill files."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantra.operators import buildup, commercial, matching
+from quantra.operators import buildup, commercial, grid, matching, sinks
 from quantra.operators.commercial import Terms
 from quantra.operators.matching import Weights
+from quantra.operators.store import stored
+from quantra.sources.tables import bill_files
 
 
 @dataclass(frozen=True)
 class Database:
-    """The dimension tables of a run; adjustments may be empty."""
+    """The dimension tables of a run; adjustments may be empty. controls (key, value), assumptions and exclusions may be missing."""
 
     library: DataFrame
     aliases: DataFrame
@@ -22,11 +24,14 @@ class Database:
     inputs: DataFrame
     recipes: DataFrame
     adjustments: DataFrame
+    controls: DataFrame | None = None
+    assumptions: DataFrame | None = None
+    exclusions: DataFrame | None = None
 
 
 def price(lines: DataFrame, db: Database, weights: Weights = Weights(), terms: Terms = Terms()) -> DataFrame:
     """Results of all priceable lines of all bills. lines: boq_id, sheet_name, row_number, description, unit, quantity, region, is_heading, is_summary_row."""
-    context = matching.priceable(matching.heading_context(lines))
+    context = matching.priceable(matching.heading_context(lines.drop("rate", "amount")))  # a bill's own prices are no prices of the library
     sectioned = matching.apply_aliases(matching.infer_sections(context, db.rules), db.aliases)
     matched = matching.best_matches(sectioned, db.library, weights)
     arbitrated = buildup.arbitrate(matched, buildup.build_ups(sectioned, db.recipes, db.inputs, weights), weights)
@@ -39,6 +44,52 @@ def price(lines: DataFrame, db: Database, weights: Weights = Weights(), terms: T
     return priced.withColumn("flags", commercial.commercial_flags(F.col("flags"))).withColumn("approval_status", commercial.approval_status(terms)).withColumn("flagged", F.size("flags") > 0)
 
 
+@dataclass(frozen=True)
+class Priced:
+    """What a run over bills makes. Tables are lazy but for results and lines, which are stored; `tables` has B01 to B08."""
+
+    lines: DataFrame
+    maps: DataFrame
+    results: DataFrame
+    sections: DataFrame
+    quotes: DataFrame
+    counters: DataFrame
+    terms: Terms
+    tables: dict[str, DataFrame]
+
+
+def price_bills(cells: DataFrame, merged: DataFrame, db: Database, region: str | DataFrame, given: dict[str, str] | None = None, weights: Weights = Weights(), apply: bool = True, overrides: dict[str, int] | None = None, **run: str) -> Priced:
+    """Bills as grids (cells, merged: see grid.py) to their lines, prices, quotations and result tables.
+
+    region: one for all bills, or a table (boq_id, region). Terms come from `given`, else the database's controls, else zero (VAT 16). overrides: columns by field that win over inferred ones.
+    """
+    terms = commercial.terms_of(db.controls, given)
+    maps, found = grid.sheets(cells, merged, overrides)
+    found = found.withColumn("region", F.lit(region)) if isinstance(region, str) else found.join(region.select("boq_id", "region"), "boq_id", "left").withColumn("region", F.coalesce("region", F.lit("")))
+    lines = stored(found, "bill-lines")
+    results = stored(price(lines, db, weights, terms), "priced-lines")
+    sections, quotes = commercial.section_totals(results), stored(commercial.quotation_totals(results, terms), "quotes")
+    counters = results.groupBy("boq_id").agg(F.count("*").alias("processed"), F.count_if(F.col("decision") == "matched").alias("matched"), F.count_if("review_flag").alias("flagged"))
+    notices = {n: sinks.notice_table(t) for n, t in (("assumptions", db.assumptions), ("exclusions", db.exclusions)) if t is not None}
+    tables = {
+        "priced_bill": sinks.priced_bill(lines, results, maps, apply), "suggestions": sinks.suggestions(results), "summary": sinks.summary_rows(quotes, sections, terms), **notices, "basis_of_rates": sinks.basis_of_rates(results),
+        "commercial_review": sinks.commercial_review(results), "audit": sinks.audit_json(results, run or None), "audit_heads": sinks.audit_heads(quotes, sections, terms, **run), "unmatched": sinks.unmatched(results),
+    }
+    return Priced(lines, maps, results, sections, quotes, counters, terms, tables)
+
+
+#: The columns of a bill file: a cell a row.
+CELLS = "sheet_name string, row int, col int, value string"
+
+
+def price_folder(spark: SparkSession, folder: str, db: Database, region: str | DataFrame, given: dict[str, str] | None = None, weights: Weights = Weights(), apply: bool = True, bill: str | None = r"([^/]+)\.parquet$") -> Priced:
+    """All bill files of a folder (A16; cells as CELLS says) in one job. A bill is named by its file, or by what `bill` finds in the path; with bill None the files have boq_id
+    themselves, and may hold many bills. Merged ranges are taken as filled already."""
+    cells = bill_files(spark, folder, CELLS, bill) if bill else bill_files(spark, folder).select("boq_id", "sheet_name", "row", "col", "value")
+    none = spark.createDataFrame([], f"boq_id {dict(cells.dtypes)['boq_id']}, sheet_name string, min_row int, max_row int, min_col int, max_col int, anchor string")
+    return price_bills(cells, none, db, region, given, weights, apply, folder=folder)
+
+
 def quote_by_code(lines: DataFrame, library: DataFrame, adjustments: DataFrame, terms: Terms = Terms()) -> DataFrame:
     """Bills whose lines carry item codes: equi join with the active library, regional rates, quotation totals. lines: boq_id, item_code, quantity, region, approved."""
     items = library.where("active").select("item_code", "section", "rate", "basis")

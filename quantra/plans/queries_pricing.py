@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from quantra.functions import text as X
 from quantra.operators import buildup, commercial, matching, sinks, store
 from quantra.plans import pricing
 from quantra.plans.sql_pricing import ALIAS_SQL, BUILD_SQL, COSTS_SQL, HEADINGS_SQL, LCS_SQL, MATCH_SQL, PRICE_SQL, SCORES_SQL, SECTION_SQL, sql_normalized, sql_unit
+from quantra.sources import tables
 from quantra.sources.fixtures import view, with_views
 
 QUERIES, ORACLES = {}, {}
@@ -194,15 +196,16 @@ def m02_batch_quotations(spark, sf) -> DataFrame:
     return pricing.quote_by_code(*(view(spark, sf, x) for x in ("coded_lines", "library", "adjustments")))
 
 
-@query(
-    QUOTES_SQL
-    + """, w AS (SELECT *, CAST(pre_vat_total + vat_amount AS DECIMAL(18,2)) AS grand_total FROM v), rows_ AS (
-SELECT boq_id, 0 AS s, unnest([1, 2, 3]) AS k, unnest(['Currency', 'Matched items', 'Flagged items']) AS label, unnest(['KES', CAST(matched_items AS VARCHAR), CAST(flagged_items AS VARCHAR)]) AS value FROM w
-UNION ALL SELECT boq_id, 0, 4, 'Status', CASE WHEN flagged_items = 0 AND subtotal > 0 THEN 'Ready for issue' ELSE 'Human review required before issue' END FROM w
-UNION ALL SELECT boq_id, 1, row_number() OVER (PARTITION BY boq_id ORDER BY section), section, CAST(subtotal AS VARCHAR) FROM s WHERE subtotal IS NOT NULL
-UNION ALL SELECT boq_id, 2, unnest([1, 2, 3, 4, 5, 6, 7]), unnest(['Subtotal', 'Overheads', 'Profit', 'Risk', 'Pre-VAT total', 'VAT', 'Grand total']), unnest([CAST(x AS VARCHAR) for x in [subtotal, overhead_amount, profit_amount, risk_amount, pre_vat_total, vat_amount, grand_total]]) FROM w)
+# A bill's summary rows from its totals (w) and its sections (s): boq_id, section, subtotal.
+SUMMARY_SQL = """, w AS (SELECT *, CAST(pre_vat_total + vat_amount AS DECIMAL(18,2)) AS grand_total FROM {totals}), rows_ AS (
+SELECT boq_id, 0 AS s, unnest(range(1, 13)) AS k, unnest(['Field', 'Currency', 'Bid Ready Status', 'Bid Ready Note', 'Matched Items', 'Flagged Items', 'Overheads %', 'Profit %', 'Risk %', 'VAT %', '', 'Section']) AS label,
+  unnest(['Value', 'KES', CASE WHEN flagged_items = 0 AND subtotal > 0 THEN 'YES' ELSE 'NO' END, CASE WHEN flagged_items = 0 AND subtotal > 0 THEN 'Ready for issue' ELSE 'Human review required before issue' END, CAST(matched_items AS VARCHAR), CAST(flagged_items AS VARCHAR), {percents}, '', 'Subtotal']) AS value FROM w
+UNION ALL SELECT boq_id, 1, row_number() OVER (PARTITION BY boq_id ORDER BY section), section, CAST(subtotal AS VARCHAR) FROM {sections} WHERE subtotal IS NOT NULL
+UNION ALL SELECT boq_id, 2, unnest([1, 2, 3, 4, 5, 6, 7]), unnest(['Subtotal', 'Overheads', 'Profit', 'Risk', 'Pre-VAT Total', 'VAT', 'Grand Total']), unnest([CAST(x AS VARCHAR) for x in [subtotal, overhead_amount, profit_amount, risk_amount, pre_vat_total, vat_amount, grand_total]]) FROM w)
 SELECT boq_id, CAST(row_number() OVER (PARTITION BY boq_id ORDER BY s, k) AS INT) AS row_ord, label, value FROM rows_"""
-)
+
+
+@query(QUOTES_SQL + SUMMARY_SQL.format(totals="v", sections="s", percents="'8', '5', '3', '16'"))
 def b03_h05_summary_rows(spark, sf) -> DataFrame:
     items = view(spark, sf, "library").where("active").select("item_code", "section", "rate")
     lines = view(spark, sf, "coded_lines").join(items, "item_code").withColumn("decision", F.lit("matched"))
@@ -226,20 +229,62 @@ def m01_b02_price(spark, sf) -> DataFrame:
     return _rounded(sinks.suggestions(_priced(spark, sf)))
 
 
-@query(
+# Section and bill totals of priced lines.
+TOTALS_SQL = (
     PRICE_SQL
     + """,
 fs AS (SELECT boq_id, section, CAST(round(sum(CASE WHEN decision = 'matched' AND rate IS NOT NULL THEN coalesce(quantity, 0) * rate END), 2) AS DECIMAL(18,2)) AS subtotal, sum(CASE WHEN decision = 'matched' AND rate IS NOT NULL THEN 1 ELSE 0 END) AS matched,
   sum(CASE WHEN decision = 'matched' AND rate IS NOT NULL THEN CAST(review_flag OR len(all_flags) > 0 AS INT) ELSE CAST(review_flag AS INT) END) AS flags, count(*) AS n FROM priced GROUP BY boq_id, section),
 fb AS (SELECT boq_id, CAST(coalesce(sum(subtotal), 0) AS DECIMAL(18,2)) AS subtotal, CAST(sum(matched) AS BIGINT) AS matched_items, CAST(sum(flags) AS BIGINT) AS flagged_items, CAST(sum(n) AS BIGINT) AS processed_items FROM fs GROUP BY boq_id),
 fm AS (SELECT *, CAST(round(subtotal * 0.08, 2) AS DECIMAL(18,2)) AS overhead_amount, CAST(round(subtotal * 0.05, 2) AS DECIMAL(18,2)) AS profit_amount, CAST(round(subtotal * 0.03, 2) AS DECIMAL(18,2)) AS risk_amount FROM fb),
-ft AS (SELECT *, CAST(subtotal + overhead_amount + profit_amount + risk_amount AS DECIMAL(18,2)) AS pre_vat_total FROM fm), fv AS (SELECT *, CAST(round(pre_vat_total * 0.16, 2) AS DECIMAL(18,2)) AS vat_amount FROM ft)
-SELECT *, CAST(pre_vat_total + vat_amount AS DECIMAL(18,2)) AS grand_total, flagged_items = 0 AND subtotal > 0 AS bid_ready, CASE WHEN flagged_items = 0 AND subtotal > 0 THEN 'Ready for issue' ELSE 'Human review required before issue' END AS bid_ready_reason, 'KES' AS currency FROM fv"""
+ft AS (SELECT *, CAST(subtotal + overhead_amount + profit_amount + risk_amount AS DECIMAL(18,2)) AS pre_vat_total FROM fm), fv AS (SELECT *, CAST(round(pre_vat_total * 0.16, 2) AS DECIMAL(18,2)) AS vat_amount FROM ft)"""
 )
+
+
+@query(TOTALS_SQL + " SELECT *, CAST(pre_vat_total + vat_amount AS DECIMAL(18,2)) AS grand_total, flagged_items = 0 AND subtotal > 0 AS bid_ready, CASE WHEN flagged_items = 0 AND subtotal > 0 THEN 'Ready for issue' ELSE 'Human review required before issue' END AS bid_ready_reason, 'KES' AS currency FROM fv")
 def m02_price_batch(spark, sf) -> DataFrame:
     return commercial.quotation_totals(_priced(spark, sf))
 
 
+# Bills as grids of cells, a row lower than the lines they are made of: their totals and summaries are those of the lines.
+
+
+def _bills(spark, sf) -> pricing.Priced:
+    db = dataclasses.replace(_database(spark, sf), controls=tables.controls(view(spark, sf, "controls")))
+    cells = view(spark, sf, "bill_cells")
+    none = view(spark, sf, "merged").where("false")
+    return pricing.price_bills(cells, none, db, view(spark, sf, "bill_regions"), run="cells")
+
+
+@query(TOTALS_SQL + " SELECT *, CAST(pre_vat_total + vat_amount AS DECIMAL(18,2)) AS grand_total, flagged_items = 0 AND subtotal > 0 AS bid_ready, CASE WHEN flagged_items = 0 AND subtotal > 0 THEN 'Ready for issue' ELSE 'Human review required before issue' END AS bid_ready_reason, 'KES' AS currency FROM fv")
+def m01_d14_price_from_cells(spark, sf) -> DataFrame:
+    """Cells to lines, prices and grand totals, with the terms of the controls."""
+    return _bills(spark, sf).quotes
+
+
+@query(
+    PRICE_SQL
+    + """ SELECT l.boq_id, l.sheet_name, CAST(l.row_number + 1 AS INT) AS row_number, l.description, l.quantity, p.decision IS NOT NULL AND p.decision = 'matched' AS priced, CASE WHEN p.decision = 'matched' AND p.rate IS NOT NULL THEN p.rate WHEN l.row_number % 5 = 2 THEN 7.25 END::DECIMAL(18,2) AS rate,
+  CASE WHEN p.decision = 'matched' THEN CAST(round(l.quantity * coalesce(p.rate, CASE WHEN l.row_number % 5 = 2 THEN 7.25 END), 2) AS DECIMAL(18,2)) END AS amount
+FROM lines l LEFT JOIN priced p ON p.boq_id = l.boq_id AND p.sheet_name = l.sheet_name AND p.row_number = l.row_number WHERE NOT l.is_summary_row"""
+)
+def b01_priced_bill_from_cells(spark, sf) -> DataFrame:
+    """The bills with their new rates and amounts; cells that were not priced hold what they held."""
+    made = _bills(spark, sf)
+    done = made.results.select("boq_id", "sheet_name", "row_number", (F.col("decision") == "matched").alias("priced"))
+    rows = made.tables["priced_bill"].join(done, ["boq_id", "sheet_name", "row_number"], "left")
+    return rows.select("boq_id", "sheet_name", "row_number", "description", "quantity", F.coalesce("priced", F.lit(False)).alias("priced"), "rate", "amount")
+
+
+@query(TOTALS_SQL + SUMMARY_SQL.format(totals="fv", sections="(SELECT * FROM fs)", percents="'8', '5', '3', '16'"))
+def m02_b03_price_folder(spark, sf) -> DataFrame:
+    """Bills written as files, many to a file, and priced in one job: their summaries."""
+    base = f"{store.shared_folder(spark)}/bill-files-{uuid.uuid4().hex}"
+    view(spark, sf, "bill_cells").repartition(8, "boq_id").write.parquet(base)
+    made = pricing.price_folder(spark, base, _database(spark, sf), view(spark, sf, "bill_regions"), {"overheads_pct": "8", "profit_pct": "5", "risk_pct": "3"}, bill=None)
+    return made.tables["summary"]
+
+
 @query(PRICE_SQL + " SELECT l.*, CASE WHEN p.decision = 'matched' AND NOT l.is_summary_row THEN p.rate END AS rate, CAST(round(l.quantity * CASE WHEN p.decision = 'matched' AND NOT l.is_summary_row THEN p.rate END, 2) AS DECIMAL(18,2)) AS amount FROM lines l LEFT JOIN priced p ON p.boq_id = l.boq_id AND p.sheet_name = l.sheet_name AND p.row_number = l.row_number")
 def b01_e06_priced_bill(spark, sf) -> DataFrame:
     return sinks.priced_bill(view(spark, sf, "lines"), _priced(spark, sf))

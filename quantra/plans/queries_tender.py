@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantra.operators import tender
+from quantra.operators import store, tender
 from quantra.plans import pricing, tenders
 from quantra.plans.sql_pricing import sql_normalized
+from quantra.sources import tables
 from quantra.sources.fixtures import view, with_views
 
 QUERIES, ORACLES = {}, {}
@@ -70,7 +73,7 @@ def _words(spark, sf) -> tenders.Dictionary:
 
 
 def _bill_rows(spark, sf) -> DataFrame:
-    rows = tender.text_lines(view(spark, sf, "documents"))
+    rows = tables.text_lines(view(spark, sf, "documents"))
     unit, quantity = "CASE line_no % 3 WHEN 0 THEN '' ELSE 'm2' END", "CASE line_no % 2 WHEN 0 THEN CAST(line_no AS DECIMAL(18,4)) END"
     return rows.select("doc_id", F.expr(BILL_SECTION).alias("section"), F.lit("Bill").alias("sheet_name"), F.col("line_no").alias("row_number"), F.col("text").alias("description"), F.expr(unit).alias("unit"), F.expr(quantity).alias("quantity"), F.lit(False).alias("is_heading"), F.lit(False).alias("is_summary_row"), F.concat(F.lit("Bill!R"), "line_no").alias("source_reference"))
 
@@ -80,7 +83,7 @@ def _analysis(spark, sf, bill: bool = False) -> tenders.Analysis:
 
 
 def _lines(spark, sf) -> DataFrame:
-    return tender.text_lines(view(spark, sf, "documents"))
+    return tables.text_lines(view(spark, sf, "documents"))
 
 
 @query(f"WITH {LINES_SQL} SELECT doc_id, line_no, source_reference, md5(text) AS text FROM tl")
@@ -90,11 +93,11 @@ def a12_tender_lines(spark, sf) -> DataFrame:
 
 @query(
     f"""WITH {LINES_SQL}, t AS (SELECT doc_id, arg_min(text, line_no) AS title, count(*) AS line_count, string_agg(text, chr(10) ORDER BY line_no) AS full_text FROM tl GROUP BY doc_id)
-SELECT d.doc_id, concat('doc-', d.doc_id, CASE d.doc_id % 2 WHEN 0 THEN '.txt' ELSE '.MD' END) AS document_name, CASE d.doc_id % 2 WHEN 0 THEN 'txt' ELSE 'md' END AS document_type, CASE WHEN d.doc_id % 50 = 0 THEN 'Given title' ELSE coalesce(t.title, concat('doc-', d.doc_id)) END AS title,
+SELECT d.doc_id, concat('doc-', d.doc_id, CASE d.doc_id % 2 WHEN 0 THEN '.txt' ELSE '.MD' END) AS document_name, 'text' AS document_type, CASE WHEN d.doc_id % 50 = 0 THEN 'Given title' ELSE coalesce(t.title, concat('doc-', d.doc_id)) END AS title,
   coalesce(line_count, 0) AS line_count, md5(coalesce(full_text, '')) AS full_text FROM documents d LEFT JOIN t USING (doc_id)"""
 )
 def a15_tender_documents(spark, sf) -> DataFrame:
-    return tender.assembled(_lines(spark, sf), _docs(spark, sf)).withColumn("full_text", F.md5("full_text"))
+    return tender.assembled(_lines(spark, sf), _docs(spark, sf)).drop("source_path").withColumn("full_text", F.md5("full_text"))
 
 
 @query(f"WITH {with_views('phrases')}, {REQ_SQL} SELECT doc_id, requirement_id, title AS category, description, mandatory, source_reference, CAST(confidence AS DOUBLE) AS confidence, owner, phrase AS matched_phrase, review_flag FROM req")
@@ -184,7 +187,7 @@ ANALYSIS_SQL = f"WITH {with_views('phrases', 'scopes', 'patterns')}, {REQ_SQL}{D
 
 @query(f"{ANALYSIS_SQL} SELECT * FROM sums")
 def m10_f09_d17_tender_summary(spark, sf) -> DataFrame:
-    got = _analysis(spark, sf).summary.drop("document_name", "title", "line_count", "checklist_items")
+    got = _analysis(spark, sf).summary.drop("document_name", "source_path", "document_type", "title", "line_count", "checklist_items")
     return got.withColumns({"detected_scope": F.array_join("detected_scope", ", "), "commercial_clues": F.array_join("commercial_clues", " | "), "review_notes": F.array_join("review_notes", " | ")})
 
 
@@ -197,15 +200,18 @@ UNION ALL SELECT 'gaps', doc_id, concat_ws('|', 1, section_ord, 'Scope Review',
 UNION ALL SELECT 'gaps', doc_id, concat_ws('|', 2, suggestion_ord, 'Draft Review', section, description, source_reference, '', CAST(CAST(greatest(50.0, least(confidence, 72.0)) AS DECIMAL(9,1)) AS VARCHAR), 'Yes', {NOTE['Draft Review']}) FROM draft WHERE suggestion_ord <= 10
 UNION ALL SELECT 'clarifications', doc_id, concat_ws('|', concat('CL-', lpad(k, CAST(greatest(3, len(k)) AS INT), '0')), category, description, source_reference, CAST(CAST(round(confidence, 1) AS DECIMAL(9,1)) AS VARCHAR), action_needed, 'Yes', notes) FROM n
 UNION ALL SELECT 'requirements', doc_id, concat_ws('|', requirement_id, title, description, CASE WHEN mandatory THEN 'Yes' ELSE 'No' END, source_reference, CAST(CAST(round(confidence, 1) AS DECIMAL(9,1)) AS VARCHAR), CASE WHEN review_flag THEN 'Yes' ELSE 'No' END, phrase, text, {TEXT_SQL}) FROM req
-UNION ALL SELECT 'summary', doc_id, concat_ws('|', k, f, v) FROM (SELECT doc_id, unnest([3, 4, 5, 6, 7, 8, 9, 10, 11, 12]) AS k, unnest(['Total Requirements', 'Mandatory Requirements', 'Flagged For Review', 'Checklist Items', 'Detected Scope Sections', 'Draft BOQ Suggestions', 'BOQ Gap Findings', 'Clarification Items', 'Commercial Clues', 'Review Notes']) AS f,
+UNION ALL SELECT 'summary', doc_id, concat_ws('|', k, f, v) FROM (SELECT doc_id, unnest([1, 2, 3, 4]) AS k, unnest(['Document Name', 'Source Path', 'Document Type', 'Title']) AS f, unnest([document_name, concat('in/', document_name), 'text', title]) AS v FROM named
+  UNION ALL SELECT doc_id, unnest([5, 6, 7, 8, 9, 10, 11, 12, 13, 14]) AS k, unnest(['Total Requirements', 'Mandatory Requirements', 'Flagged For Review', 'Checklist Items', 'Detected Scope Sections', 'Draft BOQ Suggestions', 'BOQ Gap Findings', 'Clarification Items', 'Commercial Clues', 'Review Notes']) AS f,
   unnest([CAST(total_requirements AS VARCHAR), CAST(mandatory_requirements AS VARCHAR), CAST(flagged_requirements AS VARCHAR), CAST(total_requirements AS VARCHAR), detected_scope, CAST(draft_suggestions AS VARCHAR), CAST(gap_items AS VARCHAR), CAST(clarifications AS VARCHAR), commercial_clues, review_notes]) AS v FROM sums)"""
 
 
-@query(f"{ANALYSIS_SQL} {CELLS_SQL}")
+NAMED_SQL = """, ttl AS (SELECT doc_id, arg_min(text, line_no) AS title FROM tl GROUP BY doc_id), named AS (SELECT d.doc_id, concat('doc-', d.doc_id, CASE d.doc_id % 2 WHEN 0 THEN '.txt' ELSE '.MD' END) AS document_name, CASE WHEN d.doc_id % 50 = 0 THEN 'Given title' ELSE coalesce(t.title, concat('doc-', d.doc_id)) END AS title FROM documents d LEFT JOIN ttl t USING (doc_id))"""
+
+
+@query(f"{ANALYSIS_SQL}{NAMED_SQL} {CELLS_SQL}")
 def m10_b10_result_tables(spark, sf) -> DataFrame:
-    tables, out = _analysis(spark, sf).tables(), None
-    tables["summary"] = tables["summary"].where("row_ord > 2")
-    for name, df in tables.items():
+    made, out = _analysis(spark, sf).tables(), None
+    for name, df in made.items():
         cells = [F.col(c).cast("decimal(9,1)").cast("string") if c == "confidence" else F.col(c).cast("string") for c in df.columns if c != "doc_id"]
         rows = df.select(F.lit(name).alias("name"), "doc_id", F.concat_ws("|", *cells).alias("cells"))
         out = rows if out is None else out.unionByName(rows)
@@ -221,15 +227,39 @@ def b11_analysis_json(spark, sf) -> DataFrame:
     return got.select("doc_id", "j.line_count", *map(size, ("requirements", "scope", "drafts", "gaps", "clarifications")), F.array_join(F.element_at("j.summary", 1)["review_notes"], " | ").alias("review_notes"))
 
 
-SHORT_SQL = GAP_SQL.replace("text AS description, CASE line_no % 3", "array_to_string(string_split(text, ' ')[1:2], ' ') AS description, CASE line_no % 3")
-
-
-@query(f"WITH {with_views('scopes')}, {LINES_SQL}{SHORT_SQL}{HANDOFF_SQL} SELECT doc_id, count(*) AS handoff_rows, string_agg(source_origin, ',' ORDER BY handoff_ord) AS origins, (SELECT count(*) FROM bill_rows b WHERE b.doc_id = hand.doc_id) AS processed_items FROM hand GROUP BY doc_id")
+@query()
 def m13_b13_tender_price(spark, sf) -> DataFrame:
-    """The tenders priced against bills of their lines' first two words; the JSON texts, read back."""
+    """The tenders priced against bills of all their lines, whole; the JSON texts, read back. SQL is too slow for the scores of whole lines: tests compare prices with plain ones."""
     db = pricing.Database(*(view(spark, sf, x) for x in ("library", "aliases", "rules", "inputs", "recipes", "adjustments")))
-    bill = _bill_rows(spark, sf).withColumn("description", F.substring_index("description", " ", 2))
-    made = tenders.tender_price(_docs(spark, sf), _words(spark, sf), db, "ASIA", bill)
-    kind = "pricing_handoff_rows array<struct<handoff_ord:int,source_origin:string>>, pricing_artifacts array<struct<processed_items:long,grand_total:double>>"
+    made = tenders.tender_price(_docs(spark, sf), _words(spark, sf), db, "ASIA", _bill_rows(spark, sf))
+    kind = "pricing_handoff_rows array<struct<handoff_ord:int,source_origin:string>>, counts struct<existing_boq:long,tender_draft:long,gap_check:long>, quotation_summary struct<processed_items:long,grand_total:double,section_totals:array<struct<section:string,subtotal:double>>>"
     got = made.json.select("doc_id", F.from_json("json", kind).alias("j")).where("j.pricing_handoff_rows IS NOT NULL")
-    return got.select("doc_id", F.size("j.pricing_handoff_rows").cast("long").alias("handoff_rows"), F.array_join("j.pricing_handoff_rows.source_origin", ",").alias("origins"), F.element_at("j.pricing_artifacts", 1)["processed_items"].alias("processed_items"))
+    return got.select("doc_id", F.size("j.pricing_handoff_rows").cast("long").alias("handoff_rows"), F.array_join("j.pricing_handoff_rows.source_origin", ",").alias("origins"), "j.counts.existing_boq", "j.counts.gap_check", "j.quotation_summary.processed_items", "j.quotation_summary.grand_total", F.size("j.quotation_summary.section_totals").alias("sections"))
+
+
+FILES_SQL = """WITH l AS (SELECT s_suppkey AS k, 1 AS line_no, 'L1' AS source_reference, s_name AS text FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 3, 'L3', concat('nation ', s_nationkey) FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT s_suppkey, 1, 'R1', concat(s_name, ' | a, "b" c | ', s_nationkey) FROM supplier WHERE s_suppkey % 2 = 1 UNION ALL SELECT s_suppkey, 2, 'R2', concat('nation ', s_nationkey) FROM supplier WHERE s_suppkey % 2 = 1)"""
+
+
+def _files(spark, sf) -> DataFrame:
+    """Half the suppliers as text files, half as CSV files with cells that hold quotes, commas and line ends; a folder each, read back."""
+    base = f"{store.shared_folder(spark)}/tender-files-{uuid.uuid4().hex}"
+    rows = view(spark, sf, "supplier").withColumn("k", F.col("s_suppkey"))
+    nation = F.concat(F.lit("nation "), "s_nationkey")
+    rows.where("k % 2 = 0").select("k", F.concat(F.col("s_name"), F.lit("\n \t\n"), nation).alias("value")).repartition("k").write.partitionBy("k").text(f"{base}/texts")
+    cells = rows.where("k % 2 = 1").select("k", F.explode(F.array(F.struct(F.lit(1).alias("n"), F.col("s_name").alias("a"), F.lit('a, "b"\nc').alias("b"), F.col("s_nationkey").cast("string").alias("c")), F.struct(F.lit(2).alias("n"), nation.alias("a"), F.lit("").alias("b"), F.lit(" ").alias("c")))).alias("r")).select("k", "r.*")
+    cells.repartition("k").sortWithinPartitions("k", "n").drop("n").write.option("escape", '"').option("emptyValue", "").option("ignoreTrailingWhiteSpace", False).partitionBy("k").csv(f"{base}/tables")
+    return tables.tender_files(spark, base)
+
+
+@query(FILES_SQL + " SELECT * FROM l")
+def a12_a13_tender_files(spark, sf) -> DataFrame:
+    """Files of a folder by their type, to lines."""
+    return tables.document_lines(_files(spark, sf)).select(F.regexp_extract("doc_id", r"k=(\d+)/", 1).cast("long").alias("k"), "line_no", "source_reference", "text")
+
+
+@query(FILES_SQL + " SELECT k, CASE k % 2 WHEN 0 THEN 'text' ELSE 'csv' END AS document_type, arg_min(text, line_no) AS title, count(*) AS line_count FROM l GROUP BY k")
+def a15_m10_file_documents(spark, sf) -> DataFrame:
+    """The documents that an analysis of a folder starts from."""
+    made = tenders.analyze(_files(spark, sf), _words(spark, sf)).documents
+    return made.select(F.regexp_extract("doc_id", r"k=(\d+)/", 1).cast("long").alias("k"), "document_type", "title", "line_count")

@@ -31,6 +31,12 @@ VIEWS = {
           CASE WHEN r.row_number = 1 THEN NULL ELSE CAST(r.l_quantity AS DECIMAL(18,4)) END AS quantity, {REGION.format(key='r.l_orderkey')} AS region,
           r.row_number = 1 AS is_heading, r.row_number % 6 = 0 AS is_summary_row
         FROM {{ranked}} r JOIN {{part}} p ON r.l_partkey = p.p_partkey""",
+    "bill_cells": """
+        SELECT boq_id, sheet_name, row_number + 1 AS row, c.col, CASE c.col WHEN 1 THEN description WHEN 2 THEN unit WHEN 3 THEN coalesce(CAST(quantity AS VARCHAR(24)), '') WHEN 4 THEN CASE WHEN row_number % 5 = 2 THEN '7.25' ELSE '' END ELSE '' END AS value
+        FROM {lines} CROSS JOIN (SELECT 1 AS col UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) c
+        UNION ALL SELECT DISTINCT boq_id, sheet_name, 1, h.col, h.name FROM {lines} CROSS JOIN (SELECT 1 AS col, 'Particulars' AS name UNION ALL SELECT 2, 'UOM' UNION ALL SELECT 3, 'Qty' UNION ALL SELECT 4, 'Unit Rate' UNION ALL SELECT 5, 'Amount') h""",
+    "bill_regions": f"SELECT DISTINCT boq_id, {REGION.format(key='boq_id')} AS region FROM {{lines}}",
+    "controls": "SELECT * FROM (VALUES (1, 'overheads_pct', '8'), (2, 'profit_pct', '4'), (3, ' profit_pct', ' 5 '), (4, 'risk_pct', '3'), (5, 'vat_pct', 'none'), (6, 'default_approval_status', 'Pending Commercial Review'), (7, 'company', 'x')) AS t(ordinal, key, value)",
     "coded_lines": f"""
         SELECT r.l_orderkey AS boq_id, r.row_number, concat('P', CAST(r.l_partkey AS VARCHAR(20))) AS item_code, CAST(r.l_quantity AS DECIMAL(18,4)) AS quantity, g.r_name AS region,
           r.l_returnflag <> 'R' AS approved

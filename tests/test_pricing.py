@@ -175,7 +175,7 @@ def test_a_reviewed_alias_is_promoted_once(spark):
 
 def test_tender(spark):
     docs = spark.createDataFrame([(1, "NOTICE\r\n\r\nTenderers shall submit a bid bond of 2% within 14 days.\nConcrete works:\nconcrete class 25 in bases\nconcrete class 25 in bases\nprovisional sum"), (2, None)], "doc_id long, text string")
-    lines = tender.text_lines(docs)
+    lines = tables.text_lines(docs)
     assert [(r.line_no, r.source_reference) for r in lines.orderBy("line_no").collect()] == [(1, "L1"), (3, "L3"), (4, "L4"), (5, "L5"), (6, "L6"), (7, "L7")]
     phrases = spark.createDataFrame([("securities", 1, "bid bond", 1, "CM")], "category string, cat_ord int, phrase string, phrase_ord int, owner string")
     req = tender.requirements(lines, phrases).first()
@@ -192,7 +192,7 @@ def test_tender(spark):
     assert len(tender.handoff_table(rows, True).columns) == 13 and tender.handoff_table(rows, False).count() == 3 and tender.placeholders(sections, lines.limit(0)).count() == 2
     files = docs.withColumn("path", F.expr("concat('in/t', doc_id, '.txt')")).withColumn("title", F.lit(""))
     named = {r.doc_id: (r.document_name, r.document_type, r.title, r.line_count) for r in tender.assembled(lines, files).collect()}
-    assert named == {1: ("t1.txt", "txt", "NOTICE", 6), 2: ("t2.txt", "txt", "t2", 0)}
+    assert named == {1: ("t1.txt", "text", "NOTICE", 6), 2: ("t2.txt", "text", "t2", 0)}
     with pytest.raises(Exception, match="unsupported tender document"):
         tender.assembled(lines, files.withColumn("path", F.lit("a.pdf"))).collect()
 
@@ -208,7 +208,7 @@ def test_tender_price_without_a_bill(spark):
     priced = {r.description: r.matched_item_code for r in got.results.collect()}
     assert priced == {"hire of 15 tonne tipper lorry": "PL001", "concrete class 25 in bases": "CO001"}
     made = {r.doc_id: json.loads(r.json) for r in got.json.collect()}
-    assert len(made[1]["pricing_handoff_rows"]) == 2 and made[1]["pricing_artifacts"][0]["processed_items"] == 2 and made[2]["tender_summary"][0]["draft_suggestions"] == 0
+    assert len(made[1]["pricing_handoff_rows"]) == 2 and made[1]["quotation_summary"]["processed_items"] == 2 and made[1]["counts"]["tender_draft"] == 2 and made[2]["tender_summary"][0]["draft_suggestions"] == 0
     assert tenders.draft_boq(docs, words).gaps.count() == 0 and set(tenders.gap_check(docs, words).tables()) == {"summary", "checklist", "scope", "drafts", "gaps", "clarifications", "requirements"}
 
 
