@@ -53,9 +53,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Rows of an Arrow batch while the pipeline runs: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS, BATCH_SETTING = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each stage's result written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    try:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        return docs
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
