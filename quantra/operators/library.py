@@ -7,6 +7,7 @@ part makes no key.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,6 +128,10 @@ def keyed(rows: DataFrame) -> DataFrame:
     return out.withColumn("code_key", F.nullif(F.trim(text(code)), F.lit(""))).withColumn("text_key", F.when((F.col("__both.d") != "") & (F.col("__both.u") != ""), F.concat_ws("|", "__both.d", "__both.u"))).drop("__both")
 
 
+#: Pieces of settled rows that are kept side by side before they become one table.
+SETTLED = 64
+
+
 def greedy_keep(rows: DataFrame) -> DataFrame:
     """(ordinal, kept): a row is a duplicate iff an earlier kept row has its code key or its text key; duplicates register no keys.
 
@@ -143,7 +148,7 @@ def greedy_keep(rows: DataFrame) -> DataFrame:
         held = state.where(F.col("kept") & F.col(key).isNotNull()).select(key).distinct().withColumn("__held", F.lit(True))
         state = state.join(held, key, "left").withColumn("kept", F.when(F.col("kept").isNull() & F.col("__held"), F.lit(False)).otherwise(F.col("kept"))).drop("__held")
     state = checkpointed(state.select("ordinal", "code_key", "text_key", "kept"))
-    done, open_rows = state.where("kept IS NOT NULL").select("ordinal", "kept"), state.where("kept IS NULL").drop("kept")
+    done, open_rows = [state.where("kept IS NOT NULL").select("ordinal", "kept")], state.where("kept IS NULL").drop("kept")
     while not open_rows.isEmpty():
         marked = open_rows
         for key, name in (("code_key", "c"), ("text_key", "t")):
@@ -158,9 +163,11 @@ def greedy_keep(rows: DataFrame) -> DataFrame:
             judged = judged.join(by, key, "left")
         beaten = F.coalesce(F.col("__c") < F.col("ordinal"), F.lit(False)) | F.coalesce(F.col("__t") < F.col("ordinal"), F.lit(False))
         judged = checkpointed(judged.select("ordinal", "code_key", "text_key", beaten.alias("beaten")))
-        done = checkpointed(done.unionByName(kept.select("ordinal", "kept")).unionByName(judged.where("beaten").select("ordinal", F.lit(False).alias("kept"))))
+        done += [kept.select("ordinal", "kept"), judged.where("beaten").select("ordinal", F.lit(False).alias("kept"))]
+        if len(done) > SETTLED:  # rarely: what each round settles is written with the round, and once more here
+            done = [checkpointed(reduce(DataFrame.unionByName, done))]
         open_rows = judged.where("NOT beaten").drop("beaten")
-    return done
+    return reduce(DataFrame.unionByName, done)
 
 
 def route_import(existing: DataFrame, arriving: DataFrame, mapper: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -280,10 +287,12 @@ def last_decisions(decisions: DataFrame) -> DataFrame:
     return live.groupBy("candidate_row_number").agg(F.max_by(F.struct(*(c for c in decisions.columns if c != "candidate_row_number")), F.struct("ts", "event_id")).alias("d"))
 
 
-def merge_reviews(candidates: DataFrame, decisions: DataFrame, reviewer: str = "reviewer") -> DataFrame:
-    """The last decision of each candidate overwrites its fields (those of DECIDED that decisions have, blanks too); log_label tells how it is logged (anything not approved is logged as rejected)."""
+def merge_reviews(candidates: DataFrame, decisions: DataFrame, reviewer: str = "reviewer", settled: bool = False) -> DataFrame:
+    """The last decision of each candidate overwrites its fields (those of DECIDED that decisions have, blanks too); log_label tells how it is logged (anything not approved is logged as rejected). settled: decisions
+    have one row a candidate already."""
     base = candidate_defaults(candidates)
-    joined = base.join(last_decisions(decisions), "candidate_row_number", "left")
+    last = decisions.select("candidate_row_number", F.struct(*(c for c in decisions.columns if c != "candidate_row_number")).alias("d")) if settled else last_decisions(decisions)
+    joined = base.join(last, "candidate_row_number", "left")
     here, lower = F.col("d").isNotNull(), ("reviewer_status", "review_decision", "promote_target")
 
     def decided(name: str) -> Column:

@@ -32,11 +32,28 @@ class Weights:
     unit_penalty: float = 18
 
 
+#: Rows of a sheet that one task scans for headings; longer sheets are several blocks.
+BLOCK = 4096
+
+
 def heading_context(lines: DataFrame, last: int = 5) -> DataFrame:
-    """Adds headings: the last five heading texts before the row in its sheet. One sheet is one window partition, as its order is its meaning."""
-    w = Window.partitionBy("boq_id", "sheet_name").orderBy("row_number").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.when(F.col("is_heading"), F.col("description"))).over(w)
-    return lines.withColumn("headings", F.slice(seen, F.greatest(F.size(seen) - last + 1, F.lit(1)), last))
+    """Adds headings: the last five heading texts before the row in its sheet.
+
+    A scan in two passes: blocks of rows are scanned by themselves, and a block begins with what the blocks before it end with (their last five, the only state that matters), so a
+    sheet of any length is spread over tasks.
+    """
+    sheet = ["boq_id", "sheet_name"]
+    tail = lambda x: F.slice(x, F.greatest(F.size(x) - last + 1, F.lit(1)), last)
+    blocked = lines.withColumn("__block", F.floor(F.col("row_number") / BLOCK))
+    ends = blocked.where("is_heading").groupBy(*sheet, "__block").agg(tail(F.transform(F.array_sort(F.collect_list(F.struct("row_number", "description"))), lambda x: x["description"])).alias("end"))
+    # of the blocks with headings, a block needs at most the five before it
+    seen = blocked.select(*sheet, "__block").distinct().join(ends, [*sheet, "__block"], "left")
+    before = F.collect_list("end").over(Window.partitionBy(*sheet).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    carried = seen.withColumn("carry", tail(F.flatten(tail(before)))).where("size(carry) > 0").select(*sheet, "__block", "carry")
+    own = F.collect_list(F.when(F.col("is_heading"), F.col("description"))).over(Window.partitionBy(*sheet, "__block").orderBy("row_number").rowsBetween(Window.unboundedPreceding, -1))
+    joined = blocked.withColumn("__own", tail(own)).join(carried, [*sheet, "__block"], "left")
+    none = F.array().cast("array<string>")
+    return joined.withColumn("headings", tail(F.concat(F.coalesce("carry", none), "__own"))).drop("__block", "__own", "carry")
 
 
 def priceable(lines: DataFrame) -> DataFrame:

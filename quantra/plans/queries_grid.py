@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantra.operators import grid, library, sinks, store
+from quantra.operators import commercial, grid, library, sinks, store
 from quantra.plans import pricing
 from quantra.plans.queries_library import MERGE_SQL
 from quantra.plans.queries_pricing import ORACLES as ORACLES_OF_PRICING
@@ -177,8 +177,8 @@ def b17_refresh_on_rerun(spark, sf) -> DataFrame:
     """All bills written once, then two of them again: the others stay as they were."""
     path = f"{store.shared_folder(spark)}/refreshed-{uuid.uuid4().hex}"
     rows = view(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("boq_id"))
-    sinks.overwrite_partitions(rows.withColumn("run", F.lit("first")), path, "boq_id")
-    sinks.overwrite_partitions(rows.where("boq_id IN ('1-URGENT', '2-HIGH')").withColumn("run", F.lit("second")), path, "boq_id")
+    sinks.refresh(rows.withColumn("run", F.lit("first")), path, "boq_id")
+    sinks.refresh(rows.where("boq_id IN ('1-URGENT', '2-HIGH')").withColumn("run", F.lit("second")), path, "boq_id")
     return spark.read.parquet(path).groupBy("boq_id", "run").agg(F.count("*").alias("n"))
 
 
@@ -201,13 +201,14 @@ def e18_m03_schema_gaps(spark, sf) -> DataFrame:
     return got.select(F.col("table_name").cast("long").alias("table_name"), F.array_join("missing", ",").alias("missing"))
 
 
-@query(ORACLES_OF_PRICING["m02_batch_quotations"])
+@query(ORACLES_OF_PRICING["m02_price_batch"])
 def k01_price_stream(spark, sf) -> DataFrame:
-    """Bills that arrive as files, priced by a stream; a bill is in one file."""
+    """Bills that arrive as files, priced by a stream as a batch prices them; a bill is in one file."""
     base = f"{store.shared_folder(spark)}/bills-{uuid.uuid4().hex}"
-    lines, rates, adjustments = (view(spark, sf, x) for x in ("coded_lines", "library", "adjustments"))
+    lines = view(spark, sf, "lines")
+    db = pricing.Database(*(view(spark, sf, x) for x in ("library", "aliases", "rules", "inputs", "recipes", "adjustments")))
     lines.repartition(4, "boq_id").write.parquet(f"{base}/in")
-    incremental.price_new_bills(spark, f"{base}/in", lines.schema, lambda new: pricing.quote_by_code(new, rates, adjustments), f"{base}/out", f"{base}/progress").awaitTermination()
+    incremental.price_new_bills(spark, f"{base}/in", lines.schema, lambda new: commercial.quotation_totals(pricing.price(new, db)), f"{base}/out", f"{base}/progress").awaitTermination()
     return incremental.priced_bills(spark, f"{base}/out")
 
 

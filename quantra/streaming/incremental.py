@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quantra.operators.library import merge_reviews
+from quantra.operators.sinks import refresh
 
 
 def price_new_bills(spark: SparkSession, folder: str, schema, price: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
@@ -32,15 +33,19 @@ def priced_bills(spark: SparkSession, out: str) -> DataFrame:
 
 
 def apply_decisions(spark: SparkSession, folder: str, schema, out: str, checkpoint: str) -> StreamingQuery:
-    """Review decisions arrive as files; each batch keeps its last decision a candidate in its own partition. `decided` reads them together."""
+    """Review decisions arrive as files. The table they are kept in has the last decision of each candidate, one row, in a fixed number of buckets; a batch reads and replaces those it
+    touches. A decision that comes late, or again, changes nothing, so a replayed batch is harmless and the order of the files does not matter."""
+
+    def last(held: DataFrame, rows: DataFrame) -> DataFrame:
+        both = held.unionByName(rows)
+        return both.groupBy("candidate_row_number").agg(F.max_by(F.struct(*(c for c in both.columns if c != "candidate_row_number")), F.struct("ts", "event_id")).alias("d")).select("candidate_row_number", "d.*")
 
     def batch(rows: DataFrame, number: int) -> None:
-        last = rows.where("reviewer_status <> 'pending'").groupBy("candidate_row_number").agg(F.max_by(F.struct(*rows.columns), F.struct("ts", "event_id")).alias("d")).select("d.*")
-        last.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+        refresh(rows.where("reviewer_status <> 'pending'"), out, "candidate_row_number", last)
 
     return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def decided(candidates: DataFrame, decisions: DataFrame, reviewer: str = "reviewer") -> DataFrame:
-    """The candidates after all decisions that have arrived."""
-    return merge_reviews(candidates, decisions.drop("batch"), reviewer)
+    """The candidates after all decisions that have arrived: a join, as the table has one row a candidate."""
+    return merge_reviews(candidates, decisions.drop("bucket"), reviewer, settled=True)

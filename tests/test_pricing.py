@@ -260,8 +260,9 @@ def test_scans_and_sinks(spark, tmp_path):
         tables.open_tables(spark, ["RateLibrary", "Aliases"])
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "boq_id int, v string")
     out = str(tmp_path / "t")
-    sinks.overwrite_partitions(rows, out, "boq_id")
-    sinks.overwrite_partitions(rows.where("boq_id = 2").withColumn("v", F.lit("c")), out, "boq_id")
+    sinks.refresh(rows, out, "boq_id")
+    for _ in range(2):
+        sinks.refresh(rows.where("boq_id = 2").withColumn("v", F.lit("c")), out, "boq_id")
     assert {(r.boq_id, r.v) for r in spark.read.parquet(out).collect()} == {(1, "a"), (2, "c")}
     assert sinks.conform(rows, [("v", "string"), ("w", "double")]).columns == ["boq_id", "v", "w"]
     with pytest.raises(ValueError):
@@ -277,3 +278,20 @@ def test_incremental_pricing_equals_batch(spark, tmp_path):
     rows.where("boq_id >= 2").write.mode("append").parquet(str(tmp_path / "in"))
     go()
     assert {(r.boq_id, r.total) for r in incremental.priced_bills(spark, str(tmp_path / "out")).collect()} == {(r.boq_id, r.total) for r in total(rows).collect()}
+
+
+def test_decisions_arrive_late_and_again(spark, tmp_path):
+    """Files in any order, one of them twice: the table has the last decision of each candidate once, as the batch has it."""
+    r = random.Random(5)
+    schema = "event_id long, ts string, candidate_row_number long, reviewer_status string, approved_rate double"
+    rows = [(n, f"2024-01-{1 + n % 28:02d}", r.randrange(40), r.choice(["approved", "rejected", "pending", "hold"]), float(n)) for n in range(200)]
+    table = spark.createDataFrame(rows, schema)
+    cand = spark.createDataFrame([(k, "", "") for k in range(45)], "candidate_row_number long, reviewer_status string, promote_target string")
+    for part in ("event_id >= 120", "event_id < 60", "event_id BETWEEN 60 AND 119", "event_id < 60"):
+        table.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        incremental.apply_decisions(spark, str(tmp_path / "in"), table.schema, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    held = spark.read.parquet(str(tmp_path / "out"))
+    live = table.where("reviewer_status <> 'pending'")
+    assert held.count() == live.select("candidate_row_number").distinct().count()
+    key = lambda df: sorted((x.candidate_row_number, x.reviewer_status, x.approved_rate, x.log_label) if x.approved_rate is not None else (x.candidate_row_number, x.reviewer_status, -1.0, x.log_label) for x in df.collect())
+    assert key(incremental.decided(cand, held)) == key(library.merge_reviews(cand, table))
