@@ -229,7 +229,7 @@ def b11_analysis_json(spark, sf) -> DataFrame:
 
 @query()
 def m13_b13_tender_price(spark, sf) -> DataFrame:
-    """The tenders priced against bills of all their lines, whole; the JSON texts, read back. SQL is too slow for the scores of whole lines: tests compare prices with plain ones."""
+    """The tenders priced against bills of all their lines, whole; the JSON texts, read back. SQL is too slow for the scores of whole lines; tests hold what small tenders match."""
     db = pricing.Database(*(view(spark, sf, x) for x in ("library", "aliases", "rules", "inputs", "recipes", "adjustments")))
     made = tenders.tender_price(_docs(spark, sf), _words(spark, sf), db, "ASIA", _bill_rows(spark, sf))
     kind = "pricing_handoff_rows array<struct<handoff_ord:int,source_origin:string>>, counts struct<existing_boq:long,tender_draft:long,gap_check:long>, quotation_summary struct<processed_items:long,grand_total:double,section_totals:array<struct<section:string,subtotal:double>>>"
