@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from quantra.operators import grid, matching
+from quantra.plans import pricing
 
 
 def test_merged_ranges_meet_cells_by_tiles(spark):
@@ -57,3 +58,31 @@ def test_a_sheet_of_a_million_rows(spark):
     got = matching.heading_context(lines).where("row_number IN (0, 4999, 5000, 999999)").select("row_number", "headings").collect()
     heads = lambda *k: [f"t{x}000" if x else "t0" for x in k]
     assert {x.row_number: x.headings for x in got} == {0: [], 4999: heads(0, 1, 2, 3, 4), 5000: heads(0, 1, 2, 3, 4), 999999: heads(995, 996, 997, 998, 999)}
+
+
+def test_lines_that_agree_are_priced_once(spark, monkeypatch):
+    """The steps that look at texts get distinct lines, whatever the number of lines."""
+    seen = {}
+
+    def counted(name):
+        f = getattr(matching, name)
+
+        def run(rows, *more):
+            seen[name] = rows.count()
+            return f(rows, *more)
+
+        monkeypatch.setattr(matching, name, run)
+
+    for name in ("infer_sections", "apply_aliases", "best_matches"):
+        counted(name)
+    lines = spark.sql("SELECT id DIV 10 AS boq_id, 'Sheet' AS sheet_name, CAST(id % 10 AS INT) AS row_number, CASE id % 10 WHEN 0 THEN 'Works' ELSE concat('item ', id % 3) END AS description, CASE id % 2 WHEN 0 THEN 'm2' END AS unit, CAST(id AS DECIMAL(18,4)) AS quantity, 'N' AS region, id % 10 = 0 AS is_heading, false AS is_summary_row FROM range(2000)")
+    empty = lambda s: spark.createDataFrame([], s)
+    db = pricing.Database(
+        spark.createDataFrame([(k, f"I{k}", f"item {k}", "A", "m2", 10 + k, "N", "list", 1.0, True) for k in range(3)], "ordinal int, item_code string, description string, section string, unit string, rate int, region string, basis string, confidence_hint double, active boolean"),
+        empty("ordinal int, alias string, canonical_term string, section_bias string"), empty("ordinal int, trigger_text string, inferred_section string, priority int"), empty("ordinal int, input_code string, rate decimal(18,2), region string, active boolean"),
+        empty("ordinal int, recipe_id string, output_description string, output_unit string, section string, component_code string, factor double, waste_factor double"), empty("ordinal int, region string, section string, factor decimal(9,4), notes string, active boolean"),
+    )
+    got = pricing.price(lines, db).select("boq_id", "row_number", "quantity", "description", "unit", "matched_item_code", "headings").collect()
+    assert len(got) == 1800 and {int(r.quantity) for r in got} == {k for k in range(2000) if k % 10}
+    assert all(r.matched_item_code == f"I{r.description[-1]}" and r.headings == ["Works"] and r.boq_id * 10 + r.row_number == r.quantity for r in got)
+    assert seen == dict.fromkeys(("infer_sections", "apply_aliases", "best_matches"), 6)
