@@ -109,8 +109,7 @@ def f12_ledger_classes(spark, sf) -> DataFrame:
 
 @query(LEDGER_SQL + " SELECT * FROM mp")
 def f05_g04_inferred_columns(spark, sf) -> DataFrame:
-    cells = view(spark, sf, "ledger")
-    return grid.column_maps(cells.join(grid.sheet_classes(cells).where("classification = 'boq'").drop("classification"), ["boq_id", "sheet_name"], "left_semi"))
+    return grid.bill_maps(view(spark, sf, "ledger"))
 
 
 @query(LEDGER_SQL + " SELECT boq_id, sheet_name, row AS row_number, description, unit, quantity, rate, amount, bare AND (regexp_matches(rtext, 'preliminaries|dayworks|earthworks|concrete|finishes|general items|contractor equipment|contractors equipment') OR (description <> '' AND unit = '')) AS is_heading, is_subtotal, is_total, is_subtotal OR is_total AS is_summary_row FROM rz WHERE line AND NOT stopped")

@@ -86,3 +86,39 @@ def test_lines_that_agree_are_priced_once(spark, monkeypatch):
     assert len(got) == 1800 and {int(r.quantity) for r in got} == {k for k in range(2000) if k % 10}
     assert all(r.matched_item_code == f"I{r.description[-1]}" and r.headings == ["Works"] and r.boq_id * 10 + r.row_number == r.quantity for r in got)
     assert seen == dict.fromkeys(("infer_sections", "apply_aliases", "best_matches"), 6)
+
+
+def test_cells_are_read_once_and_lines_are_those_of_the_rule(spark):
+    """Without merged ranges a cell is read once, and sheets of many shapes give the header, columns and lines that the rules say."""
+    r = random.Random(8)
+    head = ["Particulars", "UOM", "Qty", "Unit Rate", "Amount"]
+    rows = []
+    for b in range(30):
+        at = 1 + b % 4
+        rows += [(b, "Sheet" if b % 3 else "Bill", at, c + 1, h) for c, h in enumerate(head) if c < 3 or b % 2]
+        k = at
+        for n in range(12):
+            k += r.choice([1, 1, 1, 2, 6])
+            rows += [(b, "Sheet" if b % 3 else "Bill", k, c + 1, v) for c, v in enumerate([f"item {n}", "m2", str(n + 1), "2.5", ""]) if c < 4]
+    rows += [(30, "Sheet", 1, 1, "Match"), (30, "Sheet", 1, 2, "suggestions"), (30, "Sheet", 9, 1, "x"), (31, "Sheet", 9, 1, "recap")]
+    schema, read = "boq_id int, sheet_name string, row int, col int, value string", spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for x in batches:
+            read.add(len(x))
+            yield x
+
+    table = spark.createDataFrame(rows, schema)
+    none = spark.createDataFrame([], "boq_id int, sheet_name string, min_row int, max_row int, min_col int, max_col int, anchor string")
+    maps, lines = grid.sheets(table.mapInPandas(counted, schema), none)
+    got = {(x.boq_id, x.row_number): (x.description, x.unit, x.quantity, x.rate) for x in lines.collect()}
+    assert read.value == len(rows)
+    assert {x.boq_id: x.header_row for x in maps.collect() if x.boq_id < 30} == {b: 1 + b % 4 for b in range(30)} and {x.boq_id for x in maps.collect()} == {*range(30), 31}
+    for b in range(30):
+        own, last = sorted({x[2] for x in rows if x[0] == b and x[2] > 1 + b % 4}), None
+        for k in own:
+            if last is not None and k - last > 5:
+                assert (b, k) not in got
+                break
+            assert got[b, k][1:] == ("m2", got[b, k][2], 2.5) and got[b, k][0] == f"item {int(got[b, k][2]) - 1}"
+            last = k
