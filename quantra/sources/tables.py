@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantra.functions.text import active, clean_text, normalize_text, plain_number, text
+from quantra.operators.store import stored
 
 REQUIRED = ["RateLibrary", "Aliases", "SectionRules", "BuildUpInputs", "BuildUpRecipes", "Controls", "CandidateMatches", "ReviewLog"]
 
@@ -156,11 +157,11 @@ def document_type(path: Column | str) -> Column:
 
 
 def tender_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The text and CSV files of a folder as documents: doc_id (the file's path below the folder), path, text. Other files and files without a byte are left alone; each file is one row, whatever its size."""
+    """The text and CSV files of a folder as documents: doc_id (the file's path below the folder), path, text. Other files and files without a byte are left alone; each file is one row, whatever its size. The rows are written to a table."""
     names = "*.{" + ",".join(c for k in ("txt", "md", "csv") for c in (k, k.upper())) + "}"
     files = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", True).load(folder)
     below = F.regexp_replace("path", f"^.*?{re.escape(folder.rstrip('/').split('://')[-1].lstrip('/'))}/", "")
-    return files.select(below.alias("doc_id"), "path", F.decode("content", "UTF-8").alias("text"))
+    return stored(files.select(below.alias("doc_id"), "path", F.decode("content", "UTF-8").alias("text")), "tender-files")  # each file is opened once, however many steps read its text
 
 
 def document_lines(docs: DataFrame, cells: DataFrame | None = None) -> DataFrame:
