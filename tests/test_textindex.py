@@ -139,3 +139,31 @@ def test_an_empty_library(spark):
     lines = spark.createDataFrame([(1, "s", 1, "red ring", "m2", "", "")], "boq_id int, sheet_name string, row_number int, query string, unit string, inferred_section string, region string")
     (got,) = matching.best_matches(lines.withColumn("alias_hits", F.array().cast("array<struct<a:string,b:string>>")), lib).collect()
     assert got.decision == "unmatched" and got.matched_item_code is None
+
+
+def test_a_text_scores_all_windows_of_longer_keys_at_once():
+    r = random.Random(7)
+    for size in (1, 2, 5, 16, 17, 32, 33, 64):
+        text = "".join(r.choice("abc d") for _ in range(size))
+        keys = ["".join(r.choice("abcx d") for _ in range(size + r.randint(1, 40))) for _ in range(20)]
+        alphabet = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+        points = np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32)
+        codes = np.array([alphabet.tolist().index(p) if p in alphabet else len(alphabet) for p in points.tolist()])
+        sizes = np.array([len(k) for k in keys])
+        assert textindex._dense_partials(text, alphabet, codes, np.cumsum(sizes) - sizes, sizes) == pytest.approx([scores.partial(text, k) for k in keys])
+
+
+@pytest.mark.parametrize(("windows", "few"), [(1 << 18, 1 << 10), (300, 1 << 10), (1 << 18, 0)])
+def test_long_keys_are_scored_against_few_texts(windows, few, monkeypatch):
+    monkeypatch.setattr(textindex, "WINDOWS", windows)
+    monkeypatch.setattr(textindex, "FEW", few)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdeghilmnoprst") for _ in range(r.randint(3, 7)))
+    texts = sorted({f"{word()} {word()}" for _ in range(64)})
+    queries = [" ".join(word() for _ in range(30)) for _ in range(40)]
+    index = Index([(t, "", "", "", 0.0) for t in texts], {}, COSTS)
+    keys = pd.DataFrame({"query": queries, "section": "", "region": "", "unit": "", "more": 0.0})
+    got = index.reach(keys).groupby("query")["item_text"].agg(set)
+    for q in queries:
+        assert max(texts, key=lambda t: whole(q, t)) in got[q]
+    assert index.scored <= len(queries) * 24  # of 64; all of them without the windows
