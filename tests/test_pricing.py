@@ -295,3 +295,16 @@ def test_decisions_arrive_late_and_again(spark, tmp_path):
     assert held.count() == live.select("candidate_row_number").distinct().count()
     key = lambda df: sorted((x.candidate_row_number, x.reviewer_status, x.approved_rate, x.log_label) if x.approved_rate is not None else (x.candidate_row_number, x.reviewer_status, -1.0, x.log_label) for x in df.collect())
     assert key(incremental.decided(cand, held)) == key(library.merge_reviews(cand, table))
+
+
+def test_documents_of_one_partition_are_dealt_to_tasks_and_gaps_are_written_once(spark):
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('concrete class ', id, ' in bases\\nhire of tipper') AS text").coalesce(1)
+    scopes = spark.createDataFrame([("Concrete", 1, "concrete", 1), ("Dayworks", 2, "tipper", 1)], "section string, sec_ord int, keyword string, key_ord int")
+    phrases = spark.createDataFrame([], "category string, cat_ord int, phrase string, phrase_ord int, owner string")
+    patterns = spark.createDataFrame([], "category string, cat_ord int, pattern string")
+    bill = docs.selectExpr("doc_id", "CASE WHEN doc_id % 2 = 0 THEN 'Concrete' ELSE 'Other' END AS section", "'S' AS sheet_name", "1 AS row_number", "concat('class ', doc_id % 4) AS description", "'m3' AS unit", "CAST(1 AS DECIMAL(18,4)) AS quantity", "false AS is_heading", "false AS is_summary_row", "'S!R1' AS source_reference")
+    got = tenders.analyze(docs, tenders.Dictionary(phrases, scopes, patterns), bill)
+    assert len(got.lines.inputFiles()) > 1
+    assert got.gaps.inputFiles() and all("/gaps-" in f for f in got.gaps.inputFiles())
+    missing = {(r.doc_id, r.section) for r in got.gaps.where("gap_type = 'Missing Item'").collect()}
+    assert missing == {(d, "Dayworks") for d in range(40)} | {(d, "Concrete") for d in range(40) if d % 2 or not f"concrete class {d} in bases".count(f"class {d % 4}")}
