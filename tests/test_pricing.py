@@ -308,3 +308,16 @@ def test_documents_of_one_partition_are_dealt_to_tasks_and_gaps_are_written_once
     assert got.gaps.inputFiles() and all("/gaps-" in f for f in got.gaps.inputFiles())
     missing = {(r.doc_id, r.section) for r in got.gaps.where("gap_type = 'Missing Item'").collect()}
     assert missing == {(d, "Dayworks") for d in range(40)} | {(d, "Concrete") for d in range(40) if d % 2 or not f"concrete class {d} in bases".count(f"class {d % 4}")}
+
+
+def test_the_first_items_of_a_kind_are_all_that_is_read_again(spark):
+    names = "ordinal int, item_text string, item_section string, item_region string, item_unit string, item_unit_key string, confidence_hint double"
+    r = random.Random(5)
+    rows = [(k, r.choice(["red ring", "bolt"]), r.choice(["A", "a", None]), r.choice(["N", ""]), r.choice(["m2", "SQM", ""]), "m2", float(r.randrange(4))) for k in range(400)]
+    items = spark.createDataFrame(rows, names).coalesce(1)
+    kept = matching.first_items(items)
+    kinds = {}
+    for k, text, section, region, unit, key, hint in rows:
+        kinds.setdefault((text, section and section.lower(), region.lower(), unit and key), []).append((-hint, k))
+    assert {x.ordinal for x in kept.collect()} == {k for found in kinds.values() for _, k in sorted(found)[: matching.PLACES]}
+    assert {tuple(x) for x in matching.leading_items(kept).collect()} == {tuple(x) for x in matching.leading_items(items).collect()}
