@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 
 import pytest
@@ -321,3 +322,29 @@ def test_the_first_items_of_a_kind_are_all_that_is_read_again(spark):
         kinds.setdefault((text, section and section.lower(), region.lower(), unit and key), []).append((-hint, k))
     assert {x.ordinal for x in kept.collect()} == {k for found in kinds.values() for _, k in sorted(found)[: matching.PLACES]}
     assert {tuple(x) for x in matching.leading_items(kept).collect()} == {tuple(x) for x in matching.leading_items(items).collect()}
+
+
+def test_whole_bills_equal_lines_joined_to_their_prices(spark):
+    """Headings and totals keep their rows without a price, also where a priceable line looks just like them."""
+    from decimal import Decimal as D
+
+    tip = ("15 tonne tipper", "day", D(2), "Nyanza")
+    rows = [(1, "Plant", 1, *tip, False, False), (1, "Plant", 2, *tip, True, False), (1, "Plant", 3, *tip, False, True), (2, "Plant", 1, *tip, None, False), (2, "Bill 1", 2, "Blinding layer", "m3", D(3), "Nyanza", False, False), (2, "Bill 1", 3, "Total", "", None, "Nyanza", False, True)]
+    lines = spark.createDataFrame([*rows, (3, "Plant", 1, *tip, False, False)], LINES)
+    db = database(spark)
+    plain = sinks.priced_bill(lines, pricing.price(lines, db))
+    got = sinks.whole_bill(pricing.price_whole(lines, db), lines.columns)
+    assert got.columns == plain.columns and got.dtypes == plain.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    assert {(r.boq_id, r.row_number): r.amount for r in got.collect() if r.amount is not None} == {(1, 1): D("38850.00"), (2, 2): D("16692.30"), (3, 1): D("38850.00")}
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="the driver's tables are not here")
+def test_a_priced_bill_reads_its_lines_once(spark):
+    from quantra.plans.queries_pricing import QUERIES
+
+    got = QUERIES["b01_e06_priced_bill"](spark, SMALL)
+    assert not [f for f in got.inputFiles() if "lineitem" in f]
