@@ -206,7 +206,7 @@ def k01_price_stream(spark, sf) -> DataFrame:
     base = f"{store.shared_folder(spark)}/bills-{uuid.uuid4().hex}"
     lines = view(spark, sf, "lines")
     db = pricing.Database(*(view(spark, sf, x) for x in ("library", "aliases", "rules", "inputs", "recipes", "adjustments")))
-    lines.repartition(4, "boq_id").write.parquet(f"{base}/in")
+    store.spread(lines, "boq_id").write.parquet(f"{base}/in")
     incremental.price_new_bills(spark, f"{base}/in", lines.schema, lambda new: commercial.quotation_totals(pricing.price(new, db)), f"{base}/out", f"{base}/progress").awaitTermination()
     return incremental.priced_bills(spark, f"{base}/out")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import random
@@ -348,3 +349,21 @@ def test_a_priced_bill_reads_its_lines_once(spark):
 
     got = QUERIES["b01_e06_priced_bill"](spark, SMALL)
     assert not [f for f in got.inputFiles() if "lineitem" in f]
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="the driver's tables are not here")
+def test_streamed_bills_are_written_by_all_tasks_of_a_shuffle(spark):
+    from quantra.operators.store import shared_folder
+    from quantra.plans.queries_grid import QUERIES
+
+    folder = shared_folder(spark).removeprefix("file:")
+    held, old = set(glob.glob(f"{folder}/bills-*")), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tasks stay apart
+        QUERIES["k01_price_stream"](spark, SMALL)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    (made,) = set(glob.glob(f"{folder}/bills-*")) - held
+    assert len(glob.glob(f"{made}/in/*.parquet")) == 7
