@@ -367,3 +367,38 @@ def test_streamed_bills_are_written_by_all_tasks_of_a_shuffle(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     (made,) = set(glob.glob(f"{folder}/bills-*")) - held
     assert len(glob.glob(f"{made}/in/*.parquet")) == 7
+
+
+def _many(spark):
+    """Lines of two bills, some alike in all but bill, row and quantity, with headings, quotes, line ends and nulls."""
+    from decimal import Decimal as D
+
+    rows = []
+    for b in (1, 2, 3):
+        rows += [(b, "Plant", 1, f"Heading {b % 2}", "", None, "Nyanza", True, False), (b, "Plant", 2, "15 tonne tipper", "day", D(b), "Nyanza", False, False), (b, "Plant", 3, 'Say "so"\n\tor \\ not', None, None, "Coast", False, False)]
+        rows += [(b, "Plant", 4, "Blinding layer", "m3", D("0.0001"), "Nyanza", False, False), (b, "Bill 1", 5, None, "m3", D("12345678901234.5"), None, False, False), (b, "Bill 1", 6, "", "", D(0), "", False, False), (b, "Bill 1", 7, "Total", "", None, "Nyanza", False, True)]
+    return spark.createDataFrame(rows, LINES)
+
+
+def test_stored_suggestions_are_whole(spark, tmp_path):
+    """Lines and cases apart hold every suggestion, row by row and column by column."""
+    lines, db = _many(spark), database(spark)
+    cases = pricing.price_cases(lines, db)
+    sinks.store_suggestions(cases.lines, sinks.said_of_cases(cases.priced, cases.keys), cases.keys, f"{tmp_path}/s")
+    plain, got = sinks.suggestions(pricing.price(lines, db)), sinks.stored_suggestions(spark, f"{tmp_path}/s")
+    assert got.dtypes == plain.dtypes and len(got.columns) == 24 and got.count() == 15
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    assert sorted(map(str, sinks.unmatched_from_stored(got).collect())) == sorted(map(str, sinks.unmatched_from_stored(plain).collect()))
+    assert spark.read.parquet(f"{tmp_path}/s/cases").count() < 15
+
+
+def test_lines_are_not_shuffled_where_only_their_contexts_are_many(spark, monkeypatch):
+    """Sections and cases are few enough to be sent, the combinations of headings and cases are not."""
+    from quantra.operators import store
+
+    lines = spark.sql("SELECT id DIV 4 AS boq_id, 'Plant' AS sheet_name, CAST(id % 4 AS INT) AS row_number, CASE id % 4 WHEN 0 THEN concat('Heading ', id DIV 4 % 20) ELSE '15 tonne tipper' END AS description, concat('u', id % 4) AS unit, CAST(1 AS DECIMAL(18,4)) AS quantity, concat('r', id DIV 80) AS region, id % 4 = 0 AS is_heading, false AS is_summary_row FROM range(800)")
+    plain = sorted(map(str, sinks.suggestions(pricing.price(lines, database(spark))).collect()))
+    monkeypatch.setattr(store, "SENT_ROWS", 100)  # 600 contexts, 20 sections, 30 cases
+    got = pricing.price(lines, database(spark))
+    assert "BroadcastHashJoin" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan
+    assert sorted(map(str, sinks.suggestions(got).collect())) == plain and len(plain) == 600
