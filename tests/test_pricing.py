@@ -399,6 +399,24 @@ def test_lines_are_not_shuffled_where_only_their_contexts_are_many(spark, monkey
     lines = spark.sql("SELECT id DIV 4 AS boq_id, 'Plant' AS sheet_name, CAST(id % 4 AS INT) AS row_number, CASE id % 4 WHEN 0 THEN concat('Heading ', id DIV 4 % 20) ELSE '15 tonne tipper' END AS description, concat('u', id % 4) AS unit, CAST(1 AS DECIMAL(18,4)) AS quantity, concat('r', id DIV 80) AS region, id % 4 = 0 AS is_heading, false AS is_summary_row FROM range(800)")
     plain = sorted(map(str, sinks.suggestions(pricing.price(lines, database(spark))).collect()))
     monkeypatch.setattr(store, "SENT_ROWS", 100)  # 600 contexts, 20 sections, 30 cases
-    got = pricing.price(lines, database(spark))
-    assert "BroadcastHashJoin" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # small files say nothing here
+        got = pricing.price(lines, database(spark))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert sorted(map(str, sinks.suggestions(got).collect())) == plain and len(plain) == 600
+
+
+def test_audit_texts_made_by_case_are_those_of_whole_rows(spark):
+    lines, db = _many(spark), database(spark)
+    cases = pricing.price_cases(lines, db)
+    run = {"run": 'o"ne', "more": "x"}
+    got = sinks.audited(cases.whole(sinks.audited_cases(cases.priced, cases.keys, run)))
+    plain = sinks.audit_json(pricing.price(lines, db), run)
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) and got.count() == 15
+    wide = cases.whole(sinks.audited_cases(cases.priced, cases.keys, run)).withColumn("quantity", F.col("quantity").cast("double") / 3)
+    texts = sinks.audit_json(pricing.price(lines, db).withColumn("quantity", F.col("quantity").cast("double") / 3), run)
+    assert sorted(map(str, sinks.audited(wide).collect())) == sorted(map(str, texts.collect()))
