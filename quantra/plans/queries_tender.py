@@ -253,9 +253,9 @@ def _files(spark, sf) -> DataFrame:
     base = f"{store.shared_folder(spark)}/tender-files-{uuid.uuid4().hex}"
     rows = view(spark, sf, "supplier").withColumn("k", F.col("s_suppkey"))
     nation = F.concat(F.lit("nation "), "s_nationkey")
-    rows.where("k % 2 = 0").select("k", F.concat(F.col("s_name"), F.lit("\n \t\n"), nation).alias("value")).repartition("k").write.options(**COMMIT).partitionBy("k").text(f"{base}/texts")
+    rows.where("k % 2 = 0").select("k", F.concat(F.col("s_name"), F.lit("\n \t\n"), nation).alias("value")).transform(store.spread, "k").write.options(**COMMIT).partitionBy("k").text(f"{base}/texts")
     cells = rows.where("k % 2 = 1").select("k", F.explode(F.array(F.struct(F.lit(1).alias("n"), F.col("s_name").alias("a"), F.lit('a, "b"\nc').alias("b"), F.col("s_nationkey").cast("string").alias("c")), F.struct(F.lit(2).alias("n"), nation.alias("a"), F.lit("").alias("b"), F.lit(" ").alias("c")))).alias("r")).select("k", "r.*")
-    cells.repartition("k").sortWithinPartitions("k", "n").drop("n").write.options(**COMMIT).option("escape", '"').option("emptyValue", "").option("ignoreTrailingWhiteSpace", False).partitionBy("k").csv(f"{base}/tables")
+    cells.transform(store.spread, "k").sortWithinPartitions("k", "n").drop("n").write.options(**COMMIT).option("escape", '"').option("emptyValue", "").option("ignoreTrailingWhiteSpace", False).partitionBy("k").csv(f"{base}/tables")
     return tables.tender_files(spark, base)
 
 

@@ -6,12 +6,13 @@ import csv
 import dataclasses
 import io
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quantra.operators import commercial, sinks
-from quantra.plans import pricing, tenders
+from quantra.plans import pricing, queries_tender, tenders
 from quantra.sources import tables
 
 CSV = [
@@ -142,3 +143,10 @@ def test_tender_files_are_read_once(spark, tmp_path):
     docs = tables.tender_files(spark, str(tmp_path))
     (tmp_path / "a.txt").unlink()
     assert [(r.doc_id, r.line_no, r.text) for r in tables.document_lines(docs).orderBy("line_no").collect()] == [("a.txt", 1, "one"), ("a.txt", 2, "two")]
+
+
+def test_documents_files_are_written_by_many_tasks(spark):
+    """A small table is a single task's after a shuffle that Spark sizes itself, though each of its rows becomes a folder and a file."""
+    made = queries_tender._files(spark, "/root/testdata/sf0.001").select("path").collect()
+    tasks = {re.search(r"part-(\d+)-", r.path)[1] for r in made}
+    assert len(made) == spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count() and len(tasks) > 1
