@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quantra.operators import grid, matching
+from quantra.operators import grid, matching, tender
 from quantra.plans import pricing
 
 
@@ -122,3 +122,13 @@ def test_cells_are_read_once_and_lines_are_those_of_the_rule(spark):
                 break
             assert got[b, k][1:] == ("m2", got[b, k][2], 2.5) and got[b, k][0] == f"item {int(got[b, k][2]) - 1}"
             last = k
+
+
+def test_handoff_rows_are_dealt_once(spark):
+    """First rows and their numbers are found where a document's rows are: texts are not shuffled a second time."""
+    drafts = spark.createDataFrame([(1, 1, "A", "two words", "m", "TBD", "x", "L1", 60.0), (1, 2, "A", "Two  Words", "m", "TBD", "x", "L2", 60.0)], "doc_id int, suggestion_ord int, section string, description string, unit string, quantity_placeholder string, source_basis string, source_reference string, confidence double")
+    bill = spark.createDataFrame([(1, "A", "Bill", k, t, "m", 1.0, False, False, f"Bill!R{k}") for k, t in ((1, "one"), (2, "ONE"), (3, "two"))], "doc_id int, section string, sheet_name string, row_number int, description string, unit string, quantity double, is_heading boolean, is_summary_row boolean, source_reference string")
+    made = tender.handoff(drafts, drafts, bill.withColumn("quantity", F.col("quantity").cast("decimal(18,4)")), include_gaps=False)
+    assert [(r.handoff_ord, r.source_origin, r.description) for r in made.orderBy("handoff_ord").collect()] == [(1, "existing_boq", "one"), (2, "existing_boq", "two"), (3, "tender_draft", "two words")]
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
