@@ -167,3 +167,13 @@ def test_long_keys_are_scored_against_few_texts(windows, few, monkeypatch):
     for q in queries:
         assert max(texts, key=lambda t: whole(q, t)) in got[q]
     assert index.scored <= len(queries) * 24  # of 64; all of them without the windows
+
+
+def test_matches_go_by_the_number_of_a_key(spark):
+    """Queries may be whole document lines: what is ranked and grouped carries a key's number, not its text."""
+    lib = spark.createDataFrame([(1, "I1", "red ring", "A", "m2", 10, "", "", 0.0, True)], "ordinal int, item_code string, description string, section string, unit string, rate int, region string, basis string, confidence_hint double, active boolean")
+    lines = spark.createDataFrame([(n, "s", n, q, "m2", "", "") for n, q in enumerate(("red ring", "red rings", "red ring"))], "boq_id int, sheet_name string, row_number int, query string, unit string, inferred_section string, region string")
+    best = matching.best_matches(lines.withColumn("alias_hits", F.array().cast("array<struct<a:string,b:string>>")), lib)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(key_id" in plan and "windowspecdefinition(query" not in plan
+    assert [(r.boq_id, r.matched_item_code, r.decision) for r in best.orderBy("boq_id").collect()] == [(0, "I1", "matched"), (1, "I1", "matched"), (2, "I1", "matched")]
