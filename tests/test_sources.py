@@ -11,7 +11,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quantra.operators import commercial, sinks
+from quantra.operators import commercial, matching, sinks
 from quantra.plans import pricing, queries_tender, tenders
 from quantra.sources import tables
 
@@ -150,3 +150,21 @@ def test_documents_files_are_written_by_many_tasks(spark):
     made = queries_tender._files(spark, "/root/testdata/sf0.001").select("path").collect()
     tasks = {re.search(r"part-(\d+)-", r.path)[1] for r in made}
     assert len(made) == spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count() and len(tasks) > 1
+
+
+def test_bills_from_cells_store_their_lines_once(spark, monkeypatch):
+    """Results are lines with their cases, and the priced bill is made of them: as from results that are joined to the lines."""
+    from tests.test_pricing import database
+
+    names = []
+    for module in (pricing, matching):
+        own = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, name, own=own: names.append(name) or own(df, name))
+    cells = spark.createDataFrame([(b, "Bill 1", r, c + 1, v) for b in ("one", "two") for r, vs in GRID.items() for c, v in enumerate(vs)], "boq_id string, " + pricing.CELLS)
+    none = spark.createDataFrame([], "boq_id string, sheet_name string, min_row int, max_row int, min_col int, max_col int, anchor string")
+    made = pricing.price_bills(cells, none, database(spark), "Nyanza")
+    assert not {"bill-lines", "priced-lines"} & set(names) and names.count("headed-lines") == 1
+    rows = lambda df: sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr)
+    assert rows(made.tables["priced_bill"]) == rows(sinks.priced_bill(made.lines, made.results, made.maps)) and made.lines.count() > made.results.count() == 6
+    assert rows(made.sections) == rows(commercial.section_totals(made.results)) and rows(made.quotes) == rows(commercial.quotation_totals(made.results, made.terms))
+
