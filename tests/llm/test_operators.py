@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import math
 import random
@@ -160,6 +161,32 @@ def test_surrogates_of_many_names_stay_distinct(spark):
     assert len({r.made for r in made}) == len(names) and not {r.made for r in made} & {n.lower() for n in names}
 
 
+def test_dates_change_places():
+    days = [datetime.date(1988, 1, 1) + datetime.timedelta(days=n) for n in range(1500)]
+    for form in ("%d.%m.%Y", "%Y-%m-%d", "%m/%d/%y"):
+        dates = [d.strftime(form) for d in days]
+        made = [surrogates.surrogate(b"k", "date", d) for d in dates]
+        assert len(set(made)) == len(dates) and not any(a == b for a, b in zip(dates, made))
+        assert all(datetime.datetime.strptime(x, form).year // 10 == d.year // 10 for x, d in zip(made, days))
+    odd = [f"{a}/{b}/{c}" for a in range(10) for b in range(10) for c in range(10)] + ["99.99.9999", "1234-56-7890"]
+    made = [surrogates.surrogate(b"k", "date", d) for d in odd]
+    assert len(set(made)) == len(odd) and not any(a == b for a, b in zip(odd, made)) and all(re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) for a, b in zip(odd, made))
+
+
+def test_what_draws_leave_open_is_dealt_to_free_numbers(spark):
+    """A format of 8,000 numbers of which ten are free holds ten more entities, and no eleventh."""
+    numbers = [surrogates.surrogate(b"k", "phone", "+3511234", surrogates.MOST_ROUNDS + n) for n in range(8000)]
+    assert len(set(numbers)) == 8000
+    free = set(random.Random(5).sample(numbers, 10))
+    taken = spark.createDataFrame([("phone", x) for x in numbers if x not in free], "kind string, made string")
+    rest = spark.createDataFrame([("phone", f"+351000{n}", 0) for n in range(10)], "kind string, value string, outer int")
+    made = surrogates._placed(rest, taken, b"k").collect()
+    assert {r.made for r in made} == free and len({r.value for r in made}) == len(made) == 10
+    assert all(surrogates.surrogate(b"k", r.kind, r.value, r.attempt, r.outer) == r.made for r in made)
+    with pytest.raises(ValueError, match="fewer surrogates"):
+        surrogates._placed(rest.unionByName(spark.createDataFrame([("phone", "+3511999", 0)], rest.schema)), taken, b"k")
+
+
 # 3
 
 
